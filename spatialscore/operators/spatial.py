@@ -140,19 +140,21 @@ def _distance(ax: str, ay: str, bx: str, by: str) -> Column:
 
 def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "east", py: str = "north",
             rx: str = "east", ry: str = "north", k: int = 1, exclude_zero: bool = False,
-            group: list[str] = (), max_dist: float | None = None, cap: int | None = None) -> DataFrame:
+            group: list[str] = (), max_dist: float | None = None, cap: int | None = None,
+            carry: list[str] = ()) -> DataFrame:
     """The k nearest references of every point, ties by reference id.
 
-    Result: ``pid, *group, rid, d, rank``. With ``group`` a point only sees references of its group.
+    Result: ``pid, *group, rid, *carry, d, rank``; ``carry`` names columns of the references. With ``group`` a point only sees references of its group.
     ``exclude_zero`` leaves out references at the point's own place, ``max_dist`` (J6) those farther.
     """
-    group = list(group)
+    group, carry = list(group), list(carry)
     cap = cap or max(8, k)
     r = refs.select(*group, F.col(rid).alias("rid"), F.col(rx).cast("double").alias("x"),
-                    F.col(ry).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+                    F.col(ry).cast("double").alias("y"), *[F.col(c).alias(f"_c_{c}") for c in carry]).where("x IS NOT NULL AND y IS NOT NULL")
     # Of references at one place only the k lowest ids can be among the k nearest.
     if k == 1:
-        r = r.groupBy(*group, "x", "y").agg(F.min("rid").alias("rid"))
+        first = F.min(F.struct("rid", *[f"_c_{c}" for c in carry])).alias("_f")
+        r = r.groupBy(*group, "x", "y").agg(first).select(*group, "x", "y", "_f.*")
     else:
         w = Window.partitionBy(*group, "x", "y").orderBy("rid")
         r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
@@ -167,12 +169,13 @@ def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "e
     if max_dist is not None:
         pairs = pairs.where(F.col("d") <= max_dist)
     if k == 1:
-        best = pairs.groupBy("pid", *group).agg(F.min(F.struct("d", "rid")).alias("b"))
-        out = best.select("pid", *group, F.col("b.rid").alias("rid"), F.col("b.d").alias("d"), F.lit(1).alias("rank"))
+        best = pairs.groupBy("pid", *group).agg(F.min(F.struct("d", "rid", *[f"_c_{c}" for c in carry])).alias("b"))
+        out = best.select("pid", *group, F.col("b.rid").alias("rid"), *[F.col(f"b._c_{c}").alias(c) for c in carry],
+                          F.col("b.d").alias("d"), F.lit(1).alias("rank"))
     else:
         w = Window.partitionBy("pid", *group).orderBy("d", "rid")
         out = (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-               .select("pid", *group, "rid", "d", "rank"))
+               .select("pid", *group, "rid", *[F.col(f"_c_{c}").alias(c) for c in carry], "d", "rank"))
     return out.withColumnRenamed("pid", pid) if pid not in ("pid", *group) else out
 
 
