@@ -63,7 +63,7 @@ def ordered(df: DataFrame, keys: list[str], value: str, tie: str, sums: dict[str
             n_buckets: int | None = None, hash_order: bool = False) -> DataFrame:
     """Add per-group order statistics without putting a group into one task.
 
-    New columns: ``rn`` (1-based, by value then tie), ``rank`` (first rn of equal values), ``n``
+    New columns: ``rn`` (1-based, by value then tie), ``rank`` (first rn of equal values), ``group_n``
     (group size) and, for each item of ``sums``, a running sum including the row.
     Rows whose ``value`` is NULL must be removed before.
     """
@@ -81,7 +81,7 @@ def ordered(df: DataFrame, keys: list[str], value: str, tie: str, sums: dict[str
         F.col("_b1").alias("_o1"), F.col("_b2").alias("_o2"),
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
         F.coalesce(F.sum("_c").over(before_b1), F.lit(0)).alias("_off1"),
-        F.sum("_c").over(by_key).alias("n"),
+        F.sum("_c").over(by_key).alias("group_n"),
         *[F.sum(f"_s_{o}").over(before).alias(f"_s_{o}") for o in sums],
     )
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
@@ -95,7 +95,7 @@ def ordered(df: DataFrame, keys: list[str], value: str, tie: str, sums: dict[str
         *df.columns,
         (F.col("_off") + F.row_number().over(local)).alias("rn"),
         rank.alias("rank"),
-        "n",
+        "group_n",
         *[(F.coalesce(F.col(f"_s_{o}"), F.lit(0)) + F.sum(src).over(upto)).alias(o) for o, src in sums.items()],
     )
     return out
@@ -107,17 +107,17 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, tie: str, probs:
     o = ordered(df.where(F.col(value).isNotNull()).select(*keys, value, tie), keys, value, tie, n_buckets=n_buckets)
     aggs = []
     for name, p in probs.items():
-        h = (F.col("n") - 1) * F.lit(float(p))
+        h = (F.col("group_n") - 1) * F.lit(float(p))
         lo = F.floor(h)
         a = F.max(F.when(F.col("rn") == lo + 1, F.col(value)))
-        b = F.max(F.when(F.col("rn") == F.least(lo + 2, F.col("n")), F.col(value)))
+        b = F.max(F.when(F.col("rn") == F.least(lo + 2, F.col("group_n")), F.col(value)))
         frac = F.max(h - lo)
         aggs.append((a + (b - a) * frac).alias(name))
-    return o.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    return o.groupBy(*keys).agg(F.max("group_n").alias("n"), *aggs)
 
 
 def hash_ordered(df: DataFrame, keys: list[str], id_col: str, seed: int = 0) -> DataFrame:
-    """Repeatable random order per group: ``rn`` and ``n`` by portable hash, then id."""
+    """Repeatable random order per group: ``rn`` and ``group_n`` by portable hash, then id."""
     h = df.withColumn("_h", portable_hash(id_col, seed))
     return ordered(h, keys, "_h", id_col, hash_order=True).drop("_h", "rank")
 

@@ -48,11 +48,11 @@ def equal_count_distance(single: DataFrame, dist: str, tie: str, n_breaks: int |
     """
     cut = single if max_dist is None else single.where(F.col(dist) < max_dist)
     o = ordered(cut.where(F.col(dist).isNotNull()), [], dist, tie)
-    per = F.lit(n_per_bin) if n_per_bin else F.ceil(F.col("n") / F.lit(float(n_breaks)))
+    per = F.lit(n_per_bin) if n_per_bin else F.ceil(F.col("group_n") / F.lit(float(n_breaks)))
     o = o.withColumn("_per", per.cast("bigint")).withColumn("bin", F.ceil(F.col("rank") / F.col("_per")).cast("int"))
     # Seam i lies between order positions i * per and i * per + 1.
     pos = (F.col("rn") - 1) % F.col("_per")
-    last = (pos == F.col("_per") - 1) & (F.col("rn") < F.col("n"))
+    last = (pos == F.col("_per") - 1) & (F.col("rn") < F.col("group_n"))
     first = (pos == 0) & (F.col("rn") > 1)
     seams = (
         o.where(last | first)
@@ -70,7 +70,7 @@ def equal_count_distance(single: DataFrame, dist: str, tie: str, n_breaks: int |
     return out.withColumns({
         "bin_low": F.coalesce("_lo", F.lit(0.0)), "bin_high": F.coalesce(F.col("_hi"), top),
     }).withColumn("nn_dist", F.col("bin_low") + (F.col("bin_high") - F.col("bin_low")) / 2.0).drop(
-        "_hi", "_lo", "_per", "rn", "rank", "n")
+        "_hi", "_lo", "_per", "rn", "rank", "group_n")
 
 
 def scores_by_distance(single: DataFrame, dist: str, tie: str, breaks: int | list[float] = 30,

@@ -43,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, names: list[str] | Non
 def read_whitespace(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Table whose columns are parted by runs of blanks, first line a header."""
     fields = StructType.fromDDL(schema).fields
-    lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\\s+", " ")), " ").alias("_p"))
+    lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("_p"))
     head = [f.name for f in fields]
     rows = lines.where(F.size("_p") == len(head)).where(F.concat_ws(" ", "_p") != " ".join(head))
     return rows.select(*[F.get("_p", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
