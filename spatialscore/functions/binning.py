@@ -17,9 +17,12 @@ def right_closed_bin(x, breaks: list[float]) -> Column:
     return F.when(inside, F.greatest(F.lit(1), below)).cast("int")
 
 
-def even_bin(x, lo, width, n_bins) -> Column:
-    """Right-closed bin for breaks lo + i * width, by arithmetic and one step of correction."""
-    x, lo, width = as_col(x), as_col(lo), as_col(width)
+def even_bin(x, lo, width, n_bins, hi) -> Column:
+    """Right-closed bin for breaks lo + i * width up to ``hi``, by arithmetic and one step of correction.
+
+    The last break is exactly ``hi``, so rounding in lo + n * width cannot push the largest value out.
+    """
+    x, lo, width, hi = as_col(x), as_col(lo), as_col(width), as_col(hi)
     n_bins = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
     guess = F.ceil((x - lo) / width)
     fixed = (
@@ -27,8 +30,7 @@ def even_bin(x, lo, width, n_bins) -> Column:
         .when(x > lo + guess * width, guess + 1)
         .otherwise(guess)
     )
-    inside = (x >= lo) & (fixed <= n_bins)
-    return F.when(inside, F.greatest(F.lit(1).cast("bigint"), fixed)).cast("int")
+    return F.when(x.between(lo, hi), F.least(F.greatest(F.lit(1).cast("bigint"), fixed), n_bins)).cast("int")
 
 
 def even_midpoint(b, lo, width) -> Column:

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_buckets
+from ..session import cut_lineage, default_buckets
 
 # Fixed values of the portable integer hash.
 HASH_PRIME = 1000003
@@ -68,6 +68,9 @@ def ordered(df: DataFrame, keys: list[str], value: str, tie: str, sums: dict[str
     Rows whose ``value`` is NULL must be removed before.
     """
     sums = sums or {}
+    if not hash_order:
+        # The value order reads its input three times: work it out once.
+        df = cut_lineage(df)
     ranged = with_ranges(df, value, tie, n_buckets, hash_order)
     part = ranged.groupBy(*keys, "_b1", "_b2").agg(
         F.count(F.lit(1)).alias("_c"), *[F.sum(src).alias(f"_s_{out}") for out, src in sums.items()]

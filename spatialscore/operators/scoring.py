@@ -14,7 +14,12 @@ SCORES = ["bias", "var", "mse", "rmse", "crps", "interval_score", "coverage", "w
 def gaussian_crps(truth, mean, sd) -> Column:
     """A4: sd (z (2 cdf(z) - 1) + 2 pdf(z) - 1/sqrt(pi))."""
     y, m, s = as_col(truth), as_col(mean), as_col(sd)
-    z = (y - m) / s
+    return standard_crps((y - m) / s, s)
+
+
+def standard_crps(z, sd) -> Column:
+    """A4 from the standardised error."""
+    z, s = as_col(z), as_col(sd)
     return s * (z * (F.lit(2.0) * norm_cdf(z) - 1.0) + F.lit(2.0) * norm_pdf(z) - F.lit(INV_SQRT_PI))
 
 
@@ -85,7 +90,8 @@ def single_scores(df: DataFrame, truth: str, est: str | None = None, sd: str | N
     if draws is not None:
         crps = D.ensemble_crps("_sorted", y)
     elif sd is not None:
-        crps = gaussian_crps(y, est, sd)
+        base = base.withColumn("_z", (y - F.col(est)) / F.col(sd))
+        crps = standard_crps("_z", sd)
     else:
         crps = F.lit(None).cast("double")
     if fuzzy:

@@ -232,7 +232,7 @@ def bounded_blocks(df: DataFrame, x: str, y: str, id_col: str, max_rows: int) ->
         *df.columns, F.concat_ws("_", "lvl", "cx", "cy", part).alias("block"))
 
 
-def nearest_centroid(df: DataFrame, x: str, y: str, centroids: list[tuple[float, float]]) -> Column:
+def nearest_centroid(x: str, y: str, centroids: list[tuple[float, float]]) -> Column:
     """1-based index of the nearest centroid, the first on ties."""
     options = [
         F.struct(((F.col(x) - F.lit(cx)) ** 2 + (F.col(y) - F.lit(cy)) ** 2).alias("d"), F.lit(i).alias("i"))

@@ -20,9 +20,8 @@ def scalar(df: DataFrame, expr: Column) -> Column:
 
 def even_distance_bins(single: DataFrame, dist: str, breaks: int = 30) -> tuple[DataFrame, Column]:
     """B1: ``breaks - 1`` right-closed bins from 0 to the largest distance."""
-    width = scalar(single, F.max(dist) / F.lit(float(breaks - 1)))
-    with_w = single.withColumn("_w", width)
-    return with_w.withColumn("bin", even_bin(dist, F.lit(0.0), "_w", breaks - 1)), F.col("_w")
+    with_w = single.withColumn("_top", scalar(single, F.max(dist).cast("double"))).withColumn("_w", F.col("_top") / F.lit(float(breaks - 1)))
+    return with_w.withColumn("bin", even_bin(dist, F.lit(0.0), "_w", breaks - 1, "_top")).drop("_top"), F.col("_w")
 
 
 def scores_by_even_distance(single: DataFrame, dist: str, breaks: int = 30, keys: list[str] = (),
@@ -179,3 +178,29 @@ def score_spread(df: DataFrame, keys: list[str], metric: str, tie: str) -> DataF
     """Minimum, quartiles and maximum per group, exact and without one task per group."""
     return group_quantiles(df, keys, metric, tie,
                            {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0})
+
+
+def range_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataFrame:
+    """``n`` equal-width right-closed bins over the range; the outer breaks lie 0.1 % outside."""
+    lim = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    box = df.withColumns({c: lim.select(c).scalar() for c in ("_lo", "_hi")})
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(n))
+    above = reduce(lambda a, b: a + b, [
+        F.when(F.col(col) > F.col("_lo") + F.lit(float(i)) * step, 1).otherwise(0) for i in range(1, n)], F.lit(1))
+    return box.withColumn(out, F.when(F.col(col).isNotNull(), above)).drop("_lo", "_hi")
+
+
+def stacked_subsets(single: DataFrame, dist: str, keys: list[str], combos: list[str], breaks: int) -> DataFrame:
+    """Binned scores for every combination of observation set and prediction subset.
+
+    ``combos`` name the distance columns (one per observation set); a row counts in the subset of all
+    predictions and in its own.
+    """
+    own = F.when(F.col("urban"), F.lit("urban")).otherwise(F.lit("rural"))
+    long = single.select("*", F.explode(F.array(F.lit("all"), own)).alias("pred_set"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("obs_set"), F.col(c).alias(dist)) for c in combos])))
+    top = long.groupBy("obs_set", "pred_set").agg(F.max(dist).cast("double").alias("_top")).withColumn("_w", F.col("_top") / F.lit(float(breaks - 1)))
+    binned = long.join(top, ["obs_set", "pred_set"]).withColumn("bin", even_bin(dist, F.lit(0.0), "_w", breaks - 1, "_top"))
+    return binned.where(F.col("bin").isNotNull()).groupBy(*keys, "obs_set", "pred_set", "bin").agg(
+        F.count(F.lit(1)).alias("n_per_bin"), F.max("_w").alias("_w"), *score_aggregates()).withColumn(
+        "nn_dist", even_midpoint("bin", F.lit(0.0), "_w")).drop("_w")

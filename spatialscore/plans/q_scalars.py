@@ -297,7 +297,7 @@ def _(spark, sf):
         Tf.correlation("dist", "mixture", [F.lit(1.0), F.lit(8.0)], 0.5, [0.3, 0.7]).alias("mix"))
 
 
-@query("p31_standardised_residual", "preds", "SELECT id, model, (est - truth) / sd AS z FROM preds", rnd="z")
+@query("p31_standardised_residual", "preds", "SELECT id, model, (est - truth) / sd AS z FROM preds", rnd="z", digits=9)
 def _(spark, sf):
     return V.preds(spark, sf).select("id", "model", Tf.standardised_residual("est", "truth", "sd").alias("z"))
 
