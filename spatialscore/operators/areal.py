@@ -162,8 +162,8 @@ def convex_hull(df: DataFrame, x: str, y: str) -> DataFrame:
     width = max(1, int(math.sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     merged = parts.repartition(width).mapInPandas(local, schema)
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"vertex": np.arange(1, len(h) + 1), "x": h[:, 0], "y": h[:, 1]})
+    def last(batches):
+        for pdf in local(batches):
+            yield pdf.assign(vertex=np.arange(1, len(pdf) + 1))[["vertex", "x", "y"]]
 
-    return merged.groupBy(F.lit(1)).applyInPandas(last, "vertex long, x double, y double")
+    return merged.coalesce(1).mapInPandas(last, "vertex long, x double, y double")

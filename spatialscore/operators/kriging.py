@@ -57,7 +57,8 @@ def _chunked(train: DataFrame, test: DataFrame, key: list[str], chunk_rows: int)
         "_chunk", F.pmod(F.xxhash64(*test.columns), F.col("_parts")).cast("int")).drop("_parts")
     copies = train.join(parts, key).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return copies, salted
+    # Fresh column identities: both sides may come from the same table.
+    return copies.toDF(*copies.columns), salted.toDF(*salted.columns)
 
 
 def krige_groups(train: DataFrame, test: DataFrame, key: list[str], pid: str, cov: Callable, nugget: float = 0.0,

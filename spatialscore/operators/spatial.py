@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -345,18 +347,54 @@ def grid_lags(grid: DataFrame, lags: list[tuple[int, int]], value: str = "value"
     return left.join(right, ["jx", "jy"]).select("ix", "iy", "dx", "dy", "v0", "v1")
 
 
-def variogram(grid: DataFrame, lags: list[tuple[int, int]], value: str = "value") -> DataFrame:
-    """Mean squared difference per lag."""
-    d = F.col("v1") - F.col("v0")
-    return grid_lags(grid, lags, value).groupBy("dx", "dy").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("gamma"))
+def variogram(grid: DataFrame, lags: list[tuple[int, int]], value: str = "value", tile: int = 128) -> DataFrame:
+    """Mean squared difference per lag.
 
-
-def directional_variogram(vg: DataFrame, lon_step: float, lat_step: float) -> DataFrame:
-    """Lags along five directions, with the lag length; the two mixed directions need the 1:2 or 2:1 grid step."""
+    Cells are sent to square tiles with a margin as wide as the largest lag, so a cell travels about
+    once however many lags there are, and a tile (bounded by its side) does all lags with array shifts.
+    """
+    west, east = max(0, -min(dx for dx, _ in lags)), max(0, max(dx for dx, _ in lags))
+    south, north = max(0, -min(dy for _, dy in lags)), max(0, max(dy for _, dy in lags))
+
+    def tiles(c, low, high):
+        # A tile needs cells from `low` before its first to `high` after its last one.
+        return F.explode(F.sequence(F.floor((F.col(c) - high) / tile), F.floor((F.col(c) + low) / tile)))
+
+    cells = grid.where(F.col(value).isNotNull()).select("ix", "iy", F.col(value).cast("double").alias("v"))
+    sent = cells.select("*", tiles("ix", west, east).alias("tx")).select("*", tiles("iy", south, north).alias("ty"))
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = key
+        a = np.full((tile + west + east, tile + south + north), np.nan)
+        a[pdf["ix"].to_numpy() - tx * tile + west, pdf["iy"].to_numpy() - ty * tile + south] = pdf["v"].to_numpy()
+        core = a[west:west + tile, south:south + tile]
+        rows = []
+        for dx, dy in lags:
+            d = a[west + dx:west + dx + tile, south + dy:south + dy + tile] - core
+            ok = ~np.isnan(d)
+            rows.append((dx, dy, int(ok.sum()), float((d[ok] ** 2).sum())))
+        return pd.DataFrame(rows, columns=["dx", "dy", "n", "ss"])
+
+    parts = sent.groupBy("tx", "ty").applyInPandas(one, "dx int, dy int, n long, ss double")
+    total = parts.groupBy("dx", "dy").agg(F.sum("n").alias("n"), F.sum("ss").alias("ss")).where("n > 0")
+    return total.select("dx", "dy", "n", (F.col("ss") / F.col("n")).alias("gamma"))
+
+
+def directional_variogram(vg: DataFrame, nx: int, ny: int, lon_step: float, lat_step: float) -> DataFrame:
+    """Five directions of a table with lags 1..nx by 1..ny, with the lag length.
+
+    1: lags (i, 1), 2: (2 k + 1, k + 1), 3: (i, i), 4: (k + 1, 2 k + 1), 5: (1, i). In the first and
+    last the length counts the running axis only.
+    """
+    m = (min(nx, ny) - 1) // 2
     dx, dy = F.col("dx"), F.col("dy")
-    direction = (
-        F.when((dx > 0) & (dy == 0), 1).when((dx == 0) & (dy > 0), 2).when((dx == dy) & (dx > 0), 3)
-        .when((dx == 2 * dy) & (dy > 0), 4).when((dy == 2 * dx) & (dx > 0), 5))
-    h = F.sqrt((dx * lon_step) * (dx * lon_step) + (dy * lat_step) * (dy * lat_step))
-    return vg.withColumns({"direction": direction, "h": h}).where(F.col("direction").isNotNull())
+    u, v = dx * lon_step, dy * lat_step
+    both = F.sqrt(u * u + v * v)
+    rule = lambda cond, n, h: F.when(cond, F.struct(F.lit(n).alias("direction"), h.alias("h")))
+    found = F.filter(F.array(
+        rule((dy == 1) & (dx <= 2 * m), 1, u),
+        rule((dy >= 2) & (dy - 1 <= m) & (dx == 2 * dy - 1), 2, both),
+        rule((dx == dy) & (dx <= 2 * m), 3, both),
+        rule((dx >= 2) & (dx - 1 <= m) & (dy == 2 * dx - 1), 4, both),
+        rule((dx == 1) & (dy <= 2 * m), 5, v)), lambda s: s.isNotNull())
+    return vg.where((dx >= 1) & (dy >= 1)).select("*", F.inline(found))

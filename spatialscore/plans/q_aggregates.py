@@ -145,9 +145,9 @@ def _(spark, sf):
     return Sc.quick_check(p, ["model"], "truth", "est", "lo", "hi")
 
 
-@query("a16_cv_error_per_task", "single", "SELECT model, fold, count(*) AS n, avg(sq_err) AS mse FROM single WHERE fold < 5 GROUP BY model, fold", rnd="mse")
+@query("a16_cv_error_per_task", "single", "SELECT model, fold, count(*) AS n, avg(sq_err) AS mse FROM single GROUP BY model, fold", rnd="mse")
 def _(spark, sf):
-    return V.single(spark, sf).where("fold < 5").groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("sq_err").alias("mse"))
+    return V.single(spark, sf).groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("sq_err").alias("mse"))
 
 
 @query("a17_residual_by_covariate", "single", """
@@ -381,7 +381,7 @@ def _(spark, sf):
 NINE = """
     pairs AS (SELECT a.id, min(d) AS nn_all, min(d) FILTER (WHERE u) AS nn_urban, min(d) FILTER (WHERE NOT u) AS nn_rural FROM
       (SELECT a.id, b.urban AS u, sqrt((a.east - b.east) * (a.east - b.east) + (a.north - b.north) * (a.north - b.north)) AS d
-       FROM points a, points b WHERE a.id % 10 = 0 AND b.id % 10 <> 0) a WHERE d > 0 GROUP BY a.id),
+       FROM points a, points b WHERE a.role = 'test' AND b.role = 'train') a WHERE d > 0 GROUP BY a.id),
     long AS (SELECT s.*, pred_set, obs_set, nn FROM (SELECT * FROM single WHERE model = 'A') s JOIN
       (SELECT id, 'nn_all' AS obs_set, nn_all AS nn FROM pairs UNION ALL SELECT id, 'nn_urban', nn_urban FROM pairs UNION ALL SELECT id, 'nn_rural', nn_rural FROM pairs) USING (id),
       (SELECT 'all' AS pred_set UNION ALL SELECT 'urban' UNION ALL SELECT 'rural') WHERE pred_set = 'all' OR (pred_set = 'urban') = urban),
@@ -394,7 +394,7 @@ NINE = """
        rnd=EIGHT_R + " nn_dist", ints="bin", ctes=NINE)
 def _(spark, sf):
     p = V.points(spark, sf)
-    nn = stratified_nearest(p.where("id % 10 = 0"), p.where("id % 10 <> 0"), "id", "id").drop("urban")
+    nn = stratified_nearest(p.where("role = 'test'"), p.where("role = 'train'"), "id", "id").drop("urban")
     s = V.single(spark, sf).where("model = 'A'").join(nn, "id")
     return St.stacked_subsets(s, "nn", [], ["nn_all", "nn_urban", "nn_rural"], 10)
 

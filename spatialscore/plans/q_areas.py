@@ -183,12 +183,20 @@ def _(spark, sf):
     return Sp.variogram(V.grid(spark, sf), LAGS)
 
 
-@query("d19_directional_variogram", "grid", """
-    SELECT * FROM (SELECT dx, dy, n, gamma, sqrt((dx * 0.5::DOUBLE) * (dx * 0.5::DOUBLE) + (dy * 0.8::DOUBLE) * (dy * 0.8::DOUBLE)) AS h,
-      CAST(CASE WHEN dx > 0 AND dy = 0 THEN 1 WHEN dx = 0 AND dy > 0 THEN 2 WHEN dx = dy AND dx > 0 THEN 3 WHEN dx = 2 * dy AND dy > 0 THEN 4
-        WHEN dy = 2 * dx AND dx > 0 THEN 5 END AS BIGINT) AS direction FROM vg) WHERE direction IS NOT NULL""", rnd="gamma h", ints="dx dy", ctes=VARIO)
+DIRECTED = """
+    lagged AS (SELECT dx, dy, count(*) AS n, avg((b.value - a.value) * (b.value - a.value)) AS gamma FROM grid a, range(1, 9) x(dx), range(1, 9) y(dy), grid b
+      WHERE b.ix = a.ix + dx AND b.iy = a.iy + dy AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY dx, dy),
+    directed AS (SELECT 1 AS direction, dx * 0.5::DOUBLE AS h, * FROM lagged WHERE dy = 1 AND dx <= 6
+      UNION ALL SELECT 2, sqrt((dx * 0.5::DOUBLE) * (dx * 0.5::DOUBLE) + (dy * 0.8::DOUBLE) * (dy * 0.8::DOUBLE)), * FROM lagged WHERE (dx, dy) IN ((3, 2), (5, 3), (7, 4))
+      UNION ALL SELECT 3, sqrt((dx * 0.5::DOUBLE) * (dx * 0.5::DOUBLE) + (dy * 0.8::DOUBLE) * (dy * 0.8::DOUBLE)), * FROM lagged WHERE dx = dy AND dx <= 6
+      UNION ALL SELECT 4, sqrt((dx * 0.5::DOUBLE) * (dx * 0.5::DOUBLE) + (dy * 0.8::DOUBLE) * (dy * 0.8::DOUBLE)), * FROM lagged WHERE (dx, dy) IN ((2, 3), (3, 5), (4, 7))
+      UNION ALL SELECT 5, dy * 0.8::DOUBLE, * FROM lagged WHERE dx = 1 AND dy <= 6)"""
+SQUARE = [(dx, dy) for dx in range(1, 9) for dy in range(1, 9)]
+
+
+@query("d19_directional_variogram", "grid", "SELECT direction, dx, dy, n, gamma, h FROM directed", rnd="gamma h", ints="dx dy direction", ctes=DIRECTED)
 def _(spark, sf):
-    return Sp.directional_variogram(Sp.variogram(V.grid(spark, sf), LAGS), 0.5, 0.8)
+    return Sp.directional_variogram(Sp.variogram(V.grid(spark, sf), SQUARE), 8, 8, 0.5, 0.8)
 
 
 @query("d20_simulation_se", "long_draws", "SELECT vec_id, sqrt(var_samp(v) + 0.25::DOUBLE) AS se FROM long_draws GROUP BY vec_id", rnd="se")

@@ -49,20 +49,20 @@ def _(spark, sf):
 
 
 @query("j04_prediction_and_truth", "points preds", """
-    SELECT p.id, q.model, p.truth, q.est FROM points p JOIN (SELECT east, north, model, est FROM preds WHERE fold = 2) q USING (east, north)""", rnd="truth est")
+    SELECT p.id, q.model, p.truth, q.est FROM points p JOIN (SELECT east, north, model, est FROM preds) q USING (east, north)""", rnd="truth est")
 def _(spark, sf):
-    q = V.preds(spark, sf).where("fold = 2").select("east", "north", "model", "est")
+    q = V.preds(spark, sf).select("east", "north", "model", "est")
     return V.points(spark, sf).join(q, ["east", "north"]).select("id", "model", "truth", "est")
 
 
 NEAREST = f"""
     ranked AS (SELECT a.id, b.id AS rid, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS r
-      FROM points a, points b WHERE a.id % 10 = 0 AND b.id % 10 <> 0)"""
+      FROM points a, points b WHERE a.role = 'test' AND b.role = 'train')"""
 
 
 def split(spark, sf):
     p = V.points(spark, sf)
-    return p.where("id % 10 = 0"), p.where("id % 10 <> 0")
+    return p.where("role = 'test'"), p.where("role = 'train'")
 
 
 @query("j05_nearest_observation", "points", "SELECT id, rid, d FROM ranked WHERE r = 1", rnd="d", ctes=NEAREST)
@@ -71,7 +71,7 @@ def _(spark, sf):
     return Sp.nearest(test, train, "id", "id").select("id", "rid", "d")
 
 
-@query("j06_within_radius", "points", "SELECT a.id, rid, d FROM (SELECT id FROM points WHERE id % 10 = 0) a LEFT JOIN (SELECT * FROM ranked WHERE r = 1 AND d <= 0.2::DOUBLE) USING (id)",
+@query("j06_within_radius", "points", "SELECT a.id, rid, d FROM (SELECT id FROM points WHERE role = 'test') a LEFT JOIN (SELECT * FROM ranked WHERE r = 1 AND d <= 0.2::DOUBLE) USING (id)",
        rnd="d", ctes=NEAREST)
 def _(spark, sf):
     test, train = split(spark, sf)
@@ -80,10 +80,10 @@ def _(spark, sf):
 
 @query("j07_stratified_distances", "points", f"""
     SELECT a.id, a.urban, min({DIST}) AS nn_all, min({DIST}) FILTER (WHERE b.urban) AS nn_urban, min({DIST}) FILTER (WHERE NOT b.urban) AS nn_rural
-    FROM points a, points b WHERE a.id % 10 = 0 AND b.id % 3 <> 1 AND {DIST} > 0 GROUP BY a.id, a.urban""", rnd="nn_all nn_urban nn_rural")
+    FROM points a, points b WHERE {DIST} > 0 GROUP BY a.id, a.urban""", rnd="nn_all nn_urban nn_rural")
 def _(spark, sf):
     p = V.points(spark, sf)
-    return Sp.stratified_nearest(p.where("id % 10 = 0"), p.where("id % 3 <> 1"), "id", "id")
+    return Sp.stratified_nearest(p, p, "id", "id")
 
 
 @query("j08_nearest_centroid", "points", f"""

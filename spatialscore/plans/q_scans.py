@@ -68,10 +68,10 @@ def _(spark, sf):
 
 
 @query("s07_rekey_predictions", "points preds", """
-    SELECT p.id, p.truth, q.est FROM points p LEFT JOIN (SELECT east, north, est FROM preds WHERE model = 'B' AND fold <> 3) q
+    SELECT p.id, p.truth, q.est FROM points p LEFT JOIN (SELECT east, north, est FROM preds WHERE model = 'B' AND region <> 'ASIA') q
     ON p.east = q.east AND p.north = q.north""", rnd="truth est")
 def _(spark, sf):
-    method = V.preds(spark, sf).where("model = 'B' AND fold <> 3").select("east", "north", "est")
+    method = V.preds(spark, sf).where("model = 'B' AND region <> 'ASIA'").select("east", "north", "est")
     return Tb.rekey(method, V.points(spark, sf), ["east", "north"]).select("id", "truth", "est")
 
 

@@ -39,7 +39,8 @@ def points(spark, sf_dir) -> DataFrame:
     """The obs points without the joins, for work that needs places and values only."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), _east("o_orderkey").alias("east"), _north("o_orderkey").alias("north"),
-        (F.col("o_orderkey") % 3 == 0).alias("urban"), (F.col("o_totalprice") / 1000).alias("truth"))
+        (F.col("o_orderkey") % 3 == 0).alias("urban"), (F.col("o_totalprice") / 1000).alias("truth"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "test").otherwise("train").alias("role"))
 
 
 def preds(spark, sf_dir) -> DataFrame:
@@ -163,7 +164,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         JOIN region ON n_regionkey = r_regionkey"""),
     "points": ((), f"""
         SELECT o_orderkey AS id, {east_sql('o_orderkey')} AS east, {north_sql('o_orderkey')} AS north,
-               (o_orderkey % 3 = 0) AS urban, o_totalprice / 1000 AS truth FROM orders"""),
+               (o_orderkey % 3 = 0) AS urban, o_totalprice / 1000 AS truth,
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 'test' ELSE 'train' END AS role FROM orders"""),
     "preds": (("obs",), """
         SELECT id, m.model, county, region, urban, east, north, truth,
                truth + (CAST((id * 31 + m.k * 577) % 2001 - 1000 AS DOUBLE) / 1000) * (10 + 5 * m.k) AS est,
