@@ -1,14 +1,16 @@
 """Nearest neighbours, areas, rasters and grid lags as equi joins on cells (J3, J5-J12, J18, M3 blocks).
 
 References are summarised in a pyramid of cells (each level splits a cell in 4 x 4). Every cell keeps
-its count and the box of its members, a cell with few members is a leaf. A search goes down one level
-per round: it joins each point's open cells with their children and drops children that are farther
-than the k-th neighbour can be. All joins are equi joins with a small fan-out per point, dense places
-only get deeper cells, and a leaf is bounded, so no cell's members are ever paired with all points.
+its count and the box of its members; a cell with few members is a leaf. The cells that hold a point
+bound its k-th distance; the search starts at the few cells that this circle meets and goes down one
+level per round, dropping cells that are farther than the bound. All joins are equi joins with a small
+fan-out per point, dense places only get deeper cells, and a leaf is bounded, so no cell's members are
+ever paired with all points.
 """
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -21,7 +23,6 @@ from ..session import cut_lineage
 
 SIDE = 4          # cells per side that a cell is split into
 MAX_LEVEL = 20    # 4^20 cells per side is finer than the coordinates' precision needs
-ROUNDS_PER_CUT = 5  # search rounds between two materialised states
 SEGMENT = 3       # extra levels built at once below cells that are still too full
 
 
@@ -39,8 +40,20 @@ def _cell(col: str, origin: float, extent: float, level: int) -> Column:
     return F.floor((F.col(col) - F.lit(origin)) / F.lit(size)).cast("bigint")
 
 
-def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int) -> tuple[DataFrame, DataFrame, int]:
-    """Cells of all levels, the references with their leaf cell, and the deepest level.
+@dataclass(frozen=True)
+class Pyramid:
+    """Cells of all levels down to the leaves, the references with their leaf cell, and the frame."""
+
+    cells: DataFrame
+    leaves: DataFrame
+    depth: int
+    x0: float
+    y0: float
+    extent: float
+
+
+def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int) -> Pyramid:
+    """Summarise references.
 
     ``refs`` should hold each coordinate pair few times per group. Both results are materialised,
     as every search round reads them.
@@ -64,7 +77,11 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int) -
                 F.sum("n").alias("n"), F.min("bx0").alias("bx0"), F.max("bx1").alias("bx1"),
                 F.min("by0").alias("by0"), F.max("by1").alias("by1"))
             .withColumn("leaf", (F.col("lvl") > 0) & ((F.col("n") <= cap) | (F.col("lvl") >= MAX_LEVEL))))
-        cell_parts.append(cells)
+        # Cells below a leaf are of no use to a search.
+        split = cells.where(~F.col("leaf")).select(*group, (F.col("lvl") + 1).alias("lvl"), F.col("cx").alias("_px"), F.col("cy").alias("_py"))
+        under = cells.withColumns({"_px": F.floor(F.col("cx") / SIDE), "_py": F.floor(F.col("cy") / SIDE)})
+        used = under.join(split, [*group, "lvl", "_px", "_py"], "left_semi").drop("_px", "_py")
+        cell_parts.append(cells.where(F.col("lvl") == first).unionByName(used.where(F.col("lvl") > first)))
         leaf_level = (
             spread.select(*group, "_fx", "_fy", "lvl", "cx", "cy")
             .join(cells.where("leaf").select(*group, "lvl", "cx", "cy"), [*group, "lvl", "cx", "cy"])
@@ -80,59 +97,78 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int) -
         open_refs = placed.where(F.col("_leaf").isNull()).select(*refs.columns)
         top, bottom = bottom, min(bottom + SEGMENT, MAX_LEVEL)
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return union(cell_parts), cut_lineage(union(leaf_parts)), bottom
+    return Pyramid(union(cell_parts), cut_lineage(union(leaf_parts)), bottom, x0, y0, ext)
 
 
-def _search(points: DataFrame, cells: DataFrame, leaves: DataFrame, depth: int, group: list[str],
-            need: int) -> DataFrame:
+def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> DataFrame:
     """Pairs (point, reference) that contain each point's ``need`` nearest references.
 
     ``points`` has ``pid, px, py`` and the group columns; the result keeps all columns of a reference.
     """
-    pcols = ["pid", *group, "px", "py"]
-    child = cells.where(F.col("lvl") > 0).select(
-        *group, (F.col("lvl") - 1).alias("lvl"), F.floor(F.col("cx") / SIDE).alias("cx"),
-        F.floor(F.col("cy") / SIDE).alias("cy"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"),
-        "n", "bx0", "bx1", "by0", "by1", "leaf")
+    cells, depth = pyr.cells, pyr.depth
+    pkey = ["pid", *group]
+    pcols = [*pkey, "px", "py", "ub2"]
     gap = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
     far = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(hi) - F.col(p)))
     near2 = gap("px", "bx0", "bx1") ** 2 + gap("py", "by0", "by1") ** 2
     far2 = far("px", "bx0", "bx1") ** 2 + far("py", "by0", "by1") ** 2
-    # A relative slack keeps rounding in the squares from dropping a tied cell.
-    slack = 1.0 + 1e-12
-
-    state = ["n", "near2", "far2", "leaf"]
-    cand = points.select(*pcols, F.lit(0).alias("lvl"), F.lit(0).cast("bigint").alias("cx"),
-                         F.lit(0).cast("bigint").alias("cy"), F.lit(0).cast("bigint").alias("n"),
-                         F.lit(0.0).alias("near2"), F.lit(0.0).alias("far2"), F.lit(False).alias("leaf"))
-    kid = child.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("lvl").alias("_kl"), F.col("cx").alias("_kx"),
-                       F.col("cy").alias("_ky"), "_cx", "_cy", F.col("n").alias("_n"), "bx0", "bx1", "by0", "by1",
-                       F.col("leaf").alias("_leaf"))
-    for level in range(depth):
+    slack = 1.0 + 1e-12  # rounding in the squares must not drop a tied cell
+    size = F.lit(pyr.extent) / F.pow(F.lit(float(SIDE)), F.col("lvl"))
+    index = lambda v, origin: F.floor((v - F.lit(origin)) / size).cast("bigint")
+
+    # Bound: the farthest corner of the smallest cell around the point that has enough members.
+    around = points.select(*pkey, "px", "py", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lvl")).withColumns({
+        "cx": F.when(F.col("lvl") == 0, F.lit(0)).otherwise(index(F.col("px"), pyr.x0)),
+        "cy": F.when(F.col("lvl") == 0, F.lit(0)).otherwise(index(F.col("py"), pyr.y0))})
+    bound = around.join(cells, [*group, "lvl", "cx", "cy"]).groupBy(*pkey).agg(
+        F.max("px").alias("px"), F.max("py").alias("py"),
+        F.coalesce(F.min(F.when(F.col("n") >= need, far2)), F.lit(float("inf"))).alias("ub2"))
+
+    # Start: cells of the level whose cells are at least as wide as the circle, and coarser leaves.
+    r = F.sqrt("ub2") * (1.0 + 1e-9) + F.lit(pyr.extent * 1e-12)
+    level = F.floor(F.log(F.lit(pyr.extent) / (2.0 * F.col("r"))) / math.log(SIDE))
+    start = bound.withColumn("r", r).withColumn("l0", F.when(
+        F.col("ub2") < float("inf"), F.greatest(F.lit(0), F.least(F.lit(depth), level))).otherwise(0).cast("int"))
+    span = lambda p, o: F.when(F.col("lvl") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(
+        F.sequence(index(F.col(p) - F.col("r"), o), index(F.col(p) + F.col("r"), o)))
+    start = (
+        start.select(*pcols, "r", "l0", F.explode(F.sequence(F.lit(0), F.col("l0"))).alias("lvl"))
+        .select("*", F.explode(span("px", pyr.x0)).alias("cx")).select("*", F.explode(span("py", pyr.y0)).alias("cy")))
+    cand = (
+        start.join(cells, [*group, "lvl", "cx", "cy"])
+        .where((F.col("leaf") | (F.col("lvl") == F.col("l0"))) & (near2 <= F.col("ub2") * slack))
+        .select(*pcols, "lvl", "cx", "cy", "n", near2.alias("near2"), far2.alias("far2"), "leaf"))
+
+    kid = cells.where(F.col("lvl") > 0).select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], (F.col("lvl") - 1).alias("_kl"),
+        F.floor(F.col("cx") / SIDE).alias("_kx"), F.floor(F.col("cy") / SIDE).alias("_ky"), F.col("cx").alias("_cx"),
+        F.col("cy").alias("_cy"), F.col("n").alias("_n"), "bx0", "bx1", "by0", "by1", F.col("leaf").alias("_leaf"))
+    per_point = Window.partitionBy(*pkey)
+    while True:
+        cand = cut_lineage(cand)
+        if cand.where(~F.col("leaf")).isEmpty():
+            break
         # A leaf stays as it is: its join key is NULL, so the left join keeps it without children.
-        open_lvl = F.when(~F.col("leaf"), F.col("lvl"))
-        cond = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"_g_{g}") for g in group] + [
-            open_lvl == F.col("_kl"), F.col("cx") == F.col("_kx"), F.col("cy") == F.col("_ky")])
         is_leaf = F.col("leaf")
+        cond = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"_g_{g}") for g in group] + [
+            F.when(~is_leaf, F.col("lvl")) == F.col("_kl"), F.col("cx") == F.col("_kx"), F.col("cy") == F.col("_ky")])
         pick = lambda old, new: F.when(is_leaf, F.col(old)).otherwise(new)
-        both = cand.join(kid.where(F.col("_kl") == level), cond, "left").where(is_leaf | F.col("_kl").isNotNull()).select(
-            *pcols, pick("lvl", F.lit(level + 1)).alias("lvl"), pick("cx", F.col("_cx")).alias("cx"),
+        both = cand.join(kid, cond, "left").select(
+            *pcols, pick("lvl", F.col("lvl") + 1).alias("lvl"), pick("cx", F.col("_cx")).alias("cx"),
             pick("cy", F.col("_cy")).alias("cy"), pick("n", F.col("_n")).alias("n"), pick("near2", near2).alias("near2"),
-            pick("far2", far2).alias("far2"), pick("leaf", F.col("_leaf")).alias("leaf"))
-        per_point = Window.partitionBy("pid", *group)
+            pick("far2", far2).alias("far2"), pick("leaf", F.col("_leaf")).alias("leaf")
+        ).where(F.col("near2") <= F.col("ub2") * slack)
         if need == 1:
-            bound = F.min("far2").over(per_point)
+            tight = F.min("far2").over(per_point)
         else:
             both = both.withColumn("_cum", F.sum("n").over(
                 per_point.orderBy("far2", "lvl", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)))
-            bound = F.min(F.when(F.col("_cum") >= need, F.col("far2"))).over(per_point)
+            tight = F.min(F.when(F.col("_cum") >= need, F.col("far2"))).over(per_point)
         cand = (
-            both.withColumn("_bound", bound)
-            .where(F.col("_bound").isNull() | (F.col("near2") <= F.col("_bound") * slack))
-            .select(*pcols, "lvl", "cx", "cy", *state))
-        if level % ROUNDS_PER_CUT == ROUNDS_PER_CUT - 1 and level < depth - 1:
-            cand = cut_lineage(cand)
-    return cand.select(*pcols, "lvl", "cx", "cy").join(leaves, [*group, "lvl", "cx", "cy"]).drop("lvl", "cx", "cy")
+            both.withColumn("ub2", F.least(F.col("ub2"), tight)).where(F.col("near2") <= F.col("ub2") * slack)
+            .select(*pcols, "lvl", "cx", "cy", "n", "near2", "far2", "leaf"))
+    return cand.select(*pkey, "px", "py", "lvl", "cx", "cy").join(
+        pyr.leaves, [*group, "lvl", "cx", "cy"]).drop("lvl", "cx", "cy")
 
 
 def _distance(ax: str, ay: str, bx: str, by: str) -> Column:
@@ -160,12 +196,12 @@ def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "e
     else:
         w = Window.partitionBy(*group, "x", "y").orderBy("rid")
         r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-    cells, leaves, depth = build_pyramid(r, group, "x", "y", cap)
+    pyr = build_pyramid(r, group, "x", "y", cap)
     p = points.select(*group, F.col(pid).alias("pid"), F.col(px).cast("double").alias("px"),
                       F.col(py).cast("double").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
     # References at the point's own place may fill the bound: one place more, with all its copies.
     need = k if not exclude_zero else (2 if k == 1 else 2 * k)
-    pairs = _search(p, cells, leaves, depth, group, need).withColumn("d", _distance("px", "py", "x", "y"))
+    pairs = _search(p, pyr, group, need).withColumn("d", _distance("px", "py", "x", "y"))
     if exclude_zero:
         pairs = pairs.where(F.col("d") > 0)
     if max_dist is not None:
@@ -227,10 +263,10 @@ def bounded_blocks(df: DataFrame, x: str, y: str, id_col: str, max_rows: int) ->
 
     A leaf of the pyramid is a block; rows that share one place beyond the bound are cut by id hash.
     """
-    cells, leaves, _ = build_pyramid(df, [], x, y, max_rows)
-    sizes = cells.where("leaf").select("lvl", "cx", "cy", F.ceil(F.col("n") / F.lit(float(max_rows))).alias("_parts"))
+    pyr = build_pyramid(df, [], x, y, max_rows)
+    sizes = pyr.cells.where("leaf").select("lvl", "cx", "cy", F.ceil(F.col("n") / F.lit(float(max_rows))).alias("_parts"))
     part = F.pmod(F.xxhash64(id_col), F.col("_parts"))
-    return leaves.join(sizes, ["lvl", "cx", "cy"]).select(
+    return pyr.leaves.join(sizes, ["lvl", "cx", "cy"]).select(
         *df.columns, F.concat_ws("_", "lvl", "cx", "cy", part).alias("block"))
 
 

@@ -13,6 +13,15 @@ def read_observations(spark: SparkSession, path: str, schema: StructType | str)
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a stored table at least one task per core: few large row groups would leave cores idle.
+
+    Meant for scans (it only plans them); a table with enough splits is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_swaths(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", **options) -> DataFrame:
     """All files of a folder (or one file) as one table with the name of the file a row came from."""
     df = spark.read.schema(schema).format(fmt).options(**options).load(path)
