@@ -196,5 +196,11 @@ def bisquare(d, r) -> Column:
 def wendland(d, theta) -> Column:
     """Compact Wendland function of order 2 in two dimensions, 0 from ``theta`` on."""
     s = as_col(d) / as_col(theta)
-    one = F.lit(1.0) - s
-    return F.when(s < 1.0, F.pow(one, 6) * (F.lit(35.0) * s * s + F.lit(18.0) * s + 3.0) / 3.0).otherwise(F.lit(0.0))
+    return F.when(s < 1.0, wendland_inside(s)).otherwise(F.lit(0.0))
+
+
+def wendland_inside(s) -> Column:
+    """The same for a scaled distance known to be below 1."""
+    s = as_col(s)
+    sq = (F.lit(1.0) - s) * (F.lit(1.0) - s)
+    return sq * sq * sq * ((F.lit(35.0) * s + 18.0) * s + 3.0) / 3.0

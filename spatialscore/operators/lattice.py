@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.transforms import wendland
+from ..functions.transforms import wendland_inside
 
 # Basis radius in knot spacings, and how layers refine.
 OVERLAP = 2.5
@@ -100,9 +100,10 @@ def basis_entries(points: DataFrame, layers: list[Layer], pid: str, x: str, y: s
     p = p.select("*", axis("px", "x0", "nx").alias("kx")).select("*", axis("py", "y0", "ny").alias("ky"))
     dx = F.col("px") - (F.col("x0") + F.col("kx") * F.col("w"))
     dy = F.col("py") - (F.col("y0") + F.col("ky") * F.col("w"))
-    p = p.withColumn("a", wendland(F.sqrt(dx * dx + dy * dy), F.col("w") * OVERLAP))
-    return p.where(F.col("a") > 0).select(
-        F.col("pid").alias(pid), "layer", (F.col("kx").cast("bigint") * F.col("ny") + F.col("ky")).alias("knot"), "a")
+    p = p.select("pid", "layer", "ny", "kx", "ky", (F.sqrt(dx * dx + dy * dy) / (F.col("w") * OVERLAP)).alias("s"))
+    return p.where(F.col("s") < 1.0).select(
+        F.col("pid").alias(pid), "layer", (F.col("kx").cast("bigint") * F.col("ny") + F.col("ky")).alias("knot"),
+        wendland_inside("s").alias("a"))
 
 
 def sparse_apply(entries: DataFrame, coef: DataFrame, pid: str, by_layer: bool = False, value: str = "c") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import as_col
 from ..session import cut_lineage
 
-SIDE = 4          # cells per side that a cell is split into
+SIDE = 4          # cells per side that a cell is split into (two bits of the index)
 MAX_LEVEL = 20    # 4^20 cells per side is finer than the coordinates' precision needs
 SEGMENT = 3       # extra levels built at once below cells that are still too full
 
@@ -52,14 +52,16 @@ class Pyramid:
     extent: float
 
 
-def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int) -> Pyramid:
+def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
+                  frame: tuple[float, float, float, int] | None = None) -> Pyramid:
     """Summarise references.
 
     ``refs`` should hold each coordinate pair few times per group. Both results are materialised,
     as every search round reads them.
     """
-    x0, y0, ext, n = _frame(refs, x, y)
-    top, bottom = 0, max(1, math.ceil(math.log(max(n / cap, 1.0)) / math.log(SIDE**2)) + 1)
+    x0, y0, ext, n = frame or _frame(refs, x, y)
+    # Cells of the deepest first level hold a third of a leaf on average.
+    top, bottom = 0, max(1, math.ceil(math.log(max(3.0 * n / cap, 1.0)) / math.log(SIDE**2)))
     open_refs = refs
     cell_parts, leaf_parts = [], []
     while True:
@@ -70,8 +72,8 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int) -
         first = top if top == 0 else top + 1
         levels = F.explode(F.sequence(F.lit(first), F.lit(bottom)))
         spread = fine.select("*", levels.alias("lvl")).withColumns({
-            "cx": F.floor(F.col("_fx") / F.pow(F.lit(float(SIDE)), F.lit(bottom) - F.col("lvl"))).cast("bigint"),
-            "cy": F.floor(F.col("_fy") / F.pow(F.lit(float(SIDE)), F.lit(bottom) - F.col("lvl"))).cast("bigint")})
+            # Two bits per level: an ancestor's index is the index shifted right.
+            "cx": F.expr(f"shiftright(_fx, 2 * ({bottom} - lvl))"), "cy": F.expr(f"shiftright(_fy, 2 * ({bottom} - lvl))")})
         cells = cut_lineage(
             spread.groupBy(*group, "lvl", "cx", "cy").agg(
                 F.sum("n").alias("n"), F.min("bx0").alias("bx0"), F.max("bx1").alias("bx1"),
@@ -110,10 +112,11 @@ def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> Dat
     pcols = [*pkey, "px", "py", "ub2"]
     gap = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
     far = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(hi) - F.col(p)))
-    near2 = gap("px", "bx0", "bx1") ** 2 + gap("py", "by0", "by1") ** 2
-    far2 = far("px", "bx0", "bx1") ** 2 + far("py", "by0", "by1") ** 2
+    sq = lambda c: c * c  # a product, as the power function is far slower
+    near2 = sq(gap("px", "bx0", "bx1")) + sq(gap("py", "by0", "by1"))
+    far2 = sq(far("px", "bx0", "bx1")) + sq(far("py", "by0", "by1"))
     slack = 1.0 + 1e-12  # rounding in the squares must not drop a tied cell
-    size = F.lit(pyr.extent) / F.pow(F.lit(float(SIDE)), F.col("lvl"))
+    size = F.lit(pyr.extent) / F.expr("shiftleft(1L, 2 * lvl)")
     index = lambda v, origin: F.floor((v - F.lit(origin)) / size).cast("bigint")
 
     # Bound: the farthest corner of the smallest cell around the point that has enough members.
@@ -189,6 +192,7 @@ def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "e
     cap = cap or max(8, k)
     r = refs.select(*group, F.col(rid).alias("rid"), F.col(rx).cast("double").alias("x"),
                     F.col(ry).cast("double").alias("y"), *[F.col(c).alias(f"_c_{c}") for c in carry]).where("x IS NOT NULL AND y IS NOT NULL")
+    frame = _frame(r, "x", "y")
     # Of references at one place only the k lowest ids can be among the k nearest.
     if k == 1:
         first = F.min(F.struct("rid", *[f"_c_{c}" for c in carry])).alias("_f")
@@ -196,7 +200,7 @@ def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "e
     else:
         w = Window.partitionBy(*group, "x", "y").orderBy("rid")
         r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-    pyr = build_pyramid(r, group, "x", "y", cap)
+    pyr = build_pyramid(r, group, "x", "y", cap, frame)
     p = points.select(*group, F.col(pid).alias("pid"), F.col(px).cast("double").alias("px"),
                       F.col(py).cast("double").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
     # References at the point's own place may fill the bound: one place more, with all its copies.
@@ -273,7 +277,7 @@ def bounded_blocks(df: DataFrame, x: str, y: str, id_col: str, max_rows: int) ->
 def nearest_centroid(x: str, y: str, centroids: list[tuple[float, float]]) -> Column:
     """1-based index of the nearest centroid, the first on ties."""
     options = [
-        F.struct(((F.col(x) - F.lit(cx)) ** 2 + (F.col(y) - F.lit(cy)) ** 2).alias("d"), F.lit(i).alias("i"))
+        F.struct(((F.col(x) - F.lit(cx)) * (F.col(x) - F.lit(cx)) + (F.col(y) - F.lit(cy)) * (F.col(y) - F.lit(cy))).alias("d"), F.lit(i).alias("i"))
         for i, (cx, cy) in enumerate(centroids, start=1)]
     return F.array_min(F.array(*options))["i"]
 
@@ -305,14 +309,13 @@ def area_candidates(points: DataFrame, rings: DataFrame, x: str, y: str, levels:
     boxed = rings.withColumns({"rx0": F.array_min(xs), "rx1": F.array_max(xs), "ry0": F.array_min(ys), "ry1": F.array_max(ys)})
     ext = F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0"), F.lit(1e-9))
     filed = boxed.withColumn("glvl", F.ceil(F.log2(ext)).cast("int"))
-    size = F.pow(F.lit(2.0), F.col("glvl"))
-    idx = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    filed = filed.withColumn("gsize", F.pow(F.lit(2.0), F.col("glvl")))
+    idx = lambda c: F.floor(F.col(c) / F.col("gsize")).cast("bigint")
     filed = filed.withColumn("gx", F.explode(F.sequence(idx("rx0"), idx("rx1")))).withColumn(
         "gy", F.explode(F.sequence(idx("ry0"), idx("ry1"))))
     used = sorted(r[0] for r in filed.select("glvl").distinct().collect())  # one number per box size class
-    pts = points.withColumn("glvl", F.explode(F.array(*[F.lit(u) for u in used]))) if used else points.withColumn(
-        "glvl", F.lit(0)).where(F.lit(False))
-    pts = pts.withColumns({"gx": idx(x), "gy": idx(y)})
+    sizes = F.array(*[F.struct(F.lit(u).alias("glvl"), F.lit(2.0**u).alias("gsize")) for u in used or [0]])
+    pts = points.select("*", F.inline(sizes)).withColumns({"gx": idx(x), "gy": idx(y)}).drop("gsize")
     inbox = (F.col(x) >= F.col("rx0")) & (F.col(x) <= F.col("rx1")) & (F.col(y) >= F.col("ry0")) & (F.col(y) <= F.col("ry1"))
     return pts.join(filed, ["glvl", "gx", "gy"]).where(inbox)
 
