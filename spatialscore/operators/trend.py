@@ -60,30 +60,38 @@ def detrend(df: DataFrame, y: str, terms: dict[str, Column]) -> DataFrame:
     return df.withColumn("fitted", t.fitted()).withColumn("residual", F.col(y) - F.col("fitted"))
 
 
-def exponential_variogram(h: Column, range_: Column, sill: Column, nugget: Column) -> Column:
-    return nugget + sill * (F.lit(1.0) - F.exp(-h / range_))
+def variogram_fit(vg: DataFrame, bounds: dict[str, tuple[float, float]], steps: int = 64, rounds: int = 3) -> DataFrame:
+    """Unweighted least squares of nugget + sill (1 - exp(-h / range)) inside a box.
 
-
-def variogram_fit(vg: DataFrame, bounds: dict[str, tuple[float, float]], steps: int = 8, rounds: int = 3) -> DataFrame:
-    """Unweighted least squares for range, sill and nugget inside a box.
-
-    Each round puts a grid of ``steps`` values per parameter over the box (all lags times all grid
-    points, both bounded by the settings) and the next box is one grid step around the best point.
+    Given the range the rest is linear, so every range on a grid needs only sums over the lags: the free
+    solution if it lies in the box, else the best point of the four sides. Each round puts ``steps``
+    ranges over one grid step around the best one so far.
     """
-    names = ["range", "sill", "nugget"]
-    box = {n: (float(bounds[n][0]), float(bounds[n][1])) for n in names}
+    (s0, s1), (n0, n1) = ((float(a), float(b)) for a, b in (bounds["sill"], bounds["nugget"]))
+    first = lo, hi = tuple(map(float, bounds["range"]))
+    clip = lambda v, a, b: F.least(F.greatest(v, F.lit(a)), F.lit(b))
     best = None
     for i in range(rounds):
-        width = {n: (box[n][1] - box[n][0]) / (steps - 1) for n in names}
-        g = vg.select("h", "gamma", F.explode(F.sequence(F.lit(0), F.lit(steps**3 - 1))).alias("point"))
-        for j, n in enumerate(names):
-            g = g.withColumn(n, F.lit(box[n][0]) + F.floor(F.col("point") / steps**j) % steps * F.lit(width[n]))
-        res = F.col("gamma") - exponential_variogram(F.col("h"), *[F.col(n) for n in names])
-        sse = g.groupBy("point", *names).agg(F.sum(res * res).alias("sse"))
-        best = arg_max(sse.withColumn("_neg", F.round(-F.col("sse"), 9)), "_neg", "point").select(*names, "sse")
+        width = (hi - lo) / (steps - 1)
+        g = vg.select("h", "gamma", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("point"))
+        g = g.withColumn("range", F.lit(lo) + F.col("point") * F.lit(width)).withColumn("g", F.lit(1.0) - F.exp(-F.col("h") / F.col("range")))
+        t = g.groupBy("point", "range").agg(
+            F.count(F.lit(1)).cast("double").alias("m"), F.sum("g").alias("sg"), F.sum(F.col("g") * F.col("g")).alias("sgg"),
+            F.sum("gamma").alias("sy"), F.sum(F.col("g") * F.col("gamma")).alias("sgy"), F.sum(F.col("gamma") * F.col("gamma")).alias("syy"))
+        m, sg, sgg, sy, sgy, syy = (F.col(c) for c in ("m", "sg", "sgg", "sy", "sgy", "syy"))
+        free_s = (m * sgy - sg * sy) / (m * sgg - sg * sg)
+        free_n = (sy - free_s * sg) / m
+        side_n = lambda s: clip((sy - F.lit(s) * sg) / m, n0, n1)
+        side_s = lambda n: clip((sgy - F.lit(n) * sg) / sgg, s0, s1)
+        points = [(clip(free_s, s0, s1), clip(free_n, n0, n1)), (F.lit(s0), side_n(s0)), (F.lit(s1), side_n(s1)),
+                  (side_s(n0), F.lit(n0)), (side_s(n1), F.lit(n1))]
+        sse = lambda s, n: syy - 2.0 * n * sy - 2.0 * s * sgy + n * n * m + 2.0 * n * s * sg + s * s * sgg
+        t = t.select("point", "range", F.array_min(F.array(*[
+            F.struct(F.round(sse(s, n) / syy, 12).alias("loss"), s.alias("sill"), n.alias("nugget"), sse(s, n).alias("sse")) for s, n in points])).alias("b"))
+        best = arg_max(t.select("point", "range", "b.*", (-F.col("b.loss")).alias("_gain")), "_gain", "point").select("range", "sill", "nugget", "sse")
         if i < rounds - 1:
-            b = best.first()
-            box = {n: (max(float(bounds[n][0]), b[n] - width[n]), min(float(bounds[n][1]), b[n] + width[n])) for n in names}
+            at = best.first()["range"]
+            lo, hi = max(first[0], at - width), min(first[1], at + width)
     return best
 
 

@@ -163,16 +163,22 @@ BOUNDS = {"range": (0.25, 6.0), "sill": (500.0, 30000.0), "nugget": (0.0, 30000.
 
 
 def _fit_sql() -> str:
-    names, parts = list(BOUNDS), []
+    (r0, r1), (s0, s1), (n0, n1) = (tuple(f"{v!r}::DOUBLE" for v in BOUNDS[k]) for k in ("range", "sill", "nugget"))
+    parts = []
     for r in range(3):
-        lo = {n: (f"{BOUNDS[n][0]!r}::DOUBLE" if r == 0 else f"greatest({BOUNDS[n][0]!r}::DOUBLE, b{r}.{n} - b{r}.w_{n})") for n in names}
-        hi = {n: (f"{BOUNDS[n][1]!r}::DOUBLE" if r == 0 else f"least({BOUNDS[n][1]!r}::DOUBLE, b{r}.{n} + b{r}.w_{n})") for n in names}
-        box = ", ".join(f"{lo[n]} AS lo_{n}, ({hi[n]} - {lo[n]}) / 7 AS w_{n}" for n in names)
-        par = ", ".join(f"lo_{n} + ((p // {8**j}) % 8) * w_{n} AS {n}" for j, n in enumerate(names))
-        ws = ", ".join(f"w_{n}" for n in names)
-        parts.append(f"""g{r + 1} AS (SELECT p, {ws}, {par} FROM range(512) t(p), (SELECT {box} {'' if r == 0 else f'FROM b{r}'})),
-          b{r + 1} AS (SELECT * FROM (SELECT p, {ws}, range, sill, nugget, sum((gamma - (nugget + sill * (1 - exp(-h / range)))) * (gamma - (nugget + sill * (1 - exp(-h / range))))) AS sse
-            FROM g{r + 1}, directed GROUP BY ALL) ORDER BY round(-sse, 9) DESC, p LIMIT 1)""")
+        lo = r0 if r == 0 else f"greatest({r0}, b{r}.range - b{r}.w)"
+        hi = r1 if r == 0 else f"least({r1}, b{r}.range + b{r}.w)"
+        parts.append(f"""g{r + 1} AS (SELECT p, lo + p * ((hi - lo) / 63) AS range, (hi - lo) / 63 AS w FROM range(64) t(p), (SELECT {lo} AS lo, {hi} AS hi {'' if r == 0 else f'FROM b{r}'})),
+          t{r + 1} AS (SELECT p, range, w, CAST(count(*) AS DOUBLE) AS m, sum(g) AS sg, sum(g * g) AS sgg, sum(gamma) AS sy, sum(g * gamma) AS sgy, sum(gamma * gamma) AS syy
+            FROM (SELECT p, range, w, gamma, 1 - exp(-h / range) AS g FROM g{r + 1}, directed) GROUP BY p, range, w),
+          f{r + 1} AS (SELECT *, (m * sgy - sg * sy) / (m * sgg - sg * sg) AS fs FROM t{r + 1}),
+          c{r + 1} AS (SELECT *, least(greatest(fs, {s0}), {s1}) AS sill, least(greatest((sy - fs * sg) / m, {n0}), {n1}) AS nugget FROM f{r + 1}
+            UNION ALL SELECT *, {s0}, least(greatest((sy - {s0} * sg) / m, {n0}), {n1}) FROM f{r + 1}
+            UNION ALL SELECT *, {s1}, least(greatest((sy - {s1} * sg) / m, {n0}), {n1}) FROM f{r + 1}
+            UNION ALL SELECT *, least(greatest((sgy - {n0} * sg) / sgg, {s0}), {s1}), {n0} FROM f{r + 1}
+            UNION ALL SELECT *, least(greatest((sgy - {n1} * sg) / sgg, {s0}), {s1}), {n1} FROM f{r + 1}),
+          b{r + 1} AS (SELECT range, w, sill, nugget, (syy - 2 * nugget * sy - 2 * sill * sgy + nugget * nugget * m + 2 * nugget * sill * sg + sill * sill * sgg) AS sse
+            FROM c{r + 1} ORDER BY round(sse / syy, 12), p, sill, nugget LIMIT 1)""")
     return DIRECTED + ", " + ", ".join(parts)
 
 
