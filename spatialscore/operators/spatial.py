@@ -26,9 +26,12 @@ MAX_LEVEL = 20    # 4^20 cells per side is finer than the coordinates' precision
 SEGMENT = 3       # extra levels built at once below cells that are still too full
 
 
-def _frame(refs: DataFrame, x: str, y: str) -> tuple[float, float, float, int]:
-    r = refs.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
-                 F.count(F.lit(1)).alias("n")).first()
+def _frame(refs: DataFrame, x: str, y: str, group: list[str] = ()) -> tuple[float, float, float, int]:
+    """Origin and extent of all references and the size of the largest group."""
+    per = refs.groupBy(*group).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
+                                   F.count(F.lit(1)).alias("n"))
+    r = per.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+                F.max("n").alias("n")).first()
     if not r["n"]:
         return 0.0, 0.0, 1.0, 0
     ext = max(r["x1"] - r["x0"], r["y1"] - r["y0"])
@@ -59,7 +62,7 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
     ``refs`` should hold each coordinate pair few times per group. Both results are materialised,
     as every search round reads them.
     """
-    x0, y0, ext, n = frame or _frame(refs, x, y)
+    x0, y0, ext, n = frame or _frame(refs, x, y, group)
     # Cells of the deepest first level hold a third of a leaf on average.
     top, bottom = 0, max(1, math.ceil(math.log(max(3.0 * n / cap, 1.0)) / math.log(SIDE**2)))
     open_refs = refs
@@ -127,9 +130,9 @@ def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> Dat
         F.max("px").alias("px"), F.max("py").alias("py"),
         F.coalesce(F.min(F.when(F.col("n") >= need, far2)), F.lit(float("inf"))).alias("ub2"))
 
-    # Start: cells of the level whose cells are at least as wide as the circle, and coarser leaves.
+    # Start: cells of the level whose cells are at least as wide as the radius (so 3 x 3), and coarser leaves.
     r = F.sqrt("ub2") * (1.0 + 1e-9) + F.lit(pyr.extent * 1e-12)
-    level = F.floor(F.log(F.lit(pyr.extent) / (2.0 * F.col("r"))) / math.log(SIDE))
+    level = F.floor(F.log(F.lit(pyr.extent) / F.col("r")) / math.log(SIDE))
     start = bound.withColumn("r", r).withColumn("l0", F.when(
         F.col("ub2") < float("inf"), F.greatest(F.lit(0), F.least(F.lit(depth), level))).otherwise(0).cast("int"))
     span = lambda p, o: F.when(F.col("lvl") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(
@@ -192,7 +195,7 @@ def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "e
     cap = cap or max(8, k)
     r = refs.select(*group, F.col(rid).alias("rid"), F.col(rx).cast("double").alias("x"),
                     F.col(ry).cast("double").alias("y"), *[F.col(c).alias(f"_c_{c}") for c in carry]).where("x IS NOT NULL AND y IS NOT NULL")
-    frame = _frame(r, "x", "y")
+    frame = _frame(r, "x", "y", group)
     # Of references at one place only the k lowest ids can be among the k nearest.
     if k == 1:
         first = F.min(F.struct("rid", *[f"_c_{c}" for c in carry])).alias("_f")

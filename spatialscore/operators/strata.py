@@ -38,15 +38,17 @@ def scores_by_even_distance(single: DataFrame, dist: str, breaks: int = 30, keys
 
 
 def equal_count_distance(single: DataFrame, dist: str, tie: str, n_breaks: int | None = None,
-                         n_per_bin: int | None = None, max_dist: float | None = None) -> DataFrame:
-    """Give every row its equal-count bin and the bin's limits.
+                         n_per_bin: int | None = None, max_dist: float | None = None,
+                         keys: list[str] = ()) -> DataFrame:
+    """Give every row its equal-count bin (per key) and the bin's limits.
 
     Bin edges are the means of the two neighbouring distances at each seam, the first is 0 and the
     last the maximum plus 1e-6. A row goes to the bin of the first row with its distance, which is
     what right-closed bins on those edges give; so no list of edges is needed.
     """
     cut = single if max_dist is None else single.where(F.col(dist) < max_dist)
-    o = ordered(cut.where(F.col(dist).isNotNull()), [], dist, tie)
+    keys = list(keys)
+    o = ordered(cut.where(F.col(dist).isNotNull()), keys, dist, tie)
     per = F.lit(n_per_bin) if n_per_bin else F.ceil(F.col("group_n") / F.lit(float(n_breaks)))
     o = o.withColumn("_per", per.cast("bigint")).withColumn("bin", F.ceil(F.col("rank") / F.col("_per")).cast("int"))
     # Seam i lies between order positions i * per and i * per + 1.
@@ -56,20 +58,26 @@ def equal_count_distance(single: DataFrame, dist: str, tie: str, n_breaks: int |
     seams = (
         o.where(last | first)
         .select(
-            F.explode(F.filter(F.array(
+            *keys, F.explode(F.filter(F.array(
                 F.when(last, F.floor(F.col("rn") / F.col("_per"))),
                 F.when(first, F.floor((F.col("rn") - 1) / F.col("_per"))),
             ), lambda v: v.isNotNull())).alias("seam"), F.col(dist).alias("_d"))
-        .groupBy("seam").agg(F.avg("_d").alias("edge"))
+        .groupBy(*keys, "seam").agg(F.avg("_d").alias("edge"))
     )
-    top = scalar(cut, F.max(dist) + F.lit(1e-6))
-    hi = seams.select(F.col("seam").cast("int").alias("bin"), F.col("edge").alias("_hi"))
-    lo = seams.select((F.col("seam") + 1).cast("int").alias("bin"), F.col("edge").alias("_lo"))
-    out = o.join(hi, "bin", "left").join(lo, "bin", "left")
+    # A seam is the upper limit of its bin and the lower limit of the next.
+    seam = F.col("seam").cast("int")
+    none = F.lit(None).cast("double")
+    limits = seams.select(*keys, F.inline(F.array(
+        F.struct(seam.alias("bin"), F.col("edge").alias("_hi"), none.alias("_lo")),
+        F.struct((seam + 1).alias("bin"), none.alias("_hi"), F.col("edge").alias("_lo"))))
+    ).groupBy(*keys, "bin").agg(F.max("_hi").alias("_hi"), F.max("_lo").alias("_lo"))
+    tops = cut.groupBy(*keys).agg((F.max(dist) + F.lit(1e-6)).alias("_top"))
+    out = o.join(limits, [*keys, "bin"], "left")
+    out = out.join(tops, keys) if keys else out.withColumn("_top", tops.scalar())
     return out.withColumns({
-        "bin_low": F.coalesce("_lo", F.lit(0.0)), "bin_high": F.coalesce(F.col("_hi"), top),
+        "bin_low": F.coalesce("_lo", F.lit(0.0)), "bin_high": F.coalesce("_hi", "_top"),
     }).withColumn("nn_dist", F.col("bin_low") + (F.col("bin_high") - F.col("bin_low")) / 2.0).drop(
-        "_hi", "_lo", "_per", "rn", "rank", "group_n")
+        "_hi", "_lo", "_top", "_per", "rn", "rank", "group_n")
 
 
 def scores_by_distance(single: DataFrame, dist: str, tie: str, breaks: int | list[float] = 30,
@@ -87,7 +95,7 @@ def scores_by_distance(single: DataFrame, dist: str, tie: str, breaks: int | lis
         binned, w = even_distance_bins(cut, dist, breaks)
         binned = binned.withColumn("nn_dist", even_midpoint("bin", F.lit(0.0), w))
     else:
-        binned = equal_count_distance(single, dist, tie, None if n_per_bin else breaks, n_per_bin, max_dist)
+        binned = equal_count_distance(single, dist, tie, None if n_per_bin else breaks, n_per_bin, max_dist, keys)
     return binned.groupBy(*keys, "bin", "nn_dist").agg(
         F.count(F.lit(1)).alias("n_per_bin"), *[F.avg(s).alias(s) for s in scores])
 

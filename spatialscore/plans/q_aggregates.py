@@ -179,28 +179,28 @@ MEANS = "avg(err) AS err, avg(sq_err) AS sq_err, avg(crps) AS crps, avg(interval
 MEANS_R = "err sq_err crps interval_score coverage width nn_dist"
 
 
-def _equal_sql(per: str, where: str) -> str:
+def _equal_sql(per: str, where: str = "TRUE") -> str:
     return f"""
     cut AS (SELECT * FROM single WHERE {where}),
-    ord AS (SELECT dist, row_number() OVER (ORDER BY dist, id) AS rn, count(*) OVER () AS total FROM cut),
-    seams AS (SELECT list(edge ORDER BY k) AS edges, any_value(total) AS total FROM (SELECT k, avg(dist) AS edge, any_value(total) AS total FROM
-      (SELECT dist, total, rn // per AS k FROM (SELECT *, {per} AS per FROM ord) WHERE rn % per = 0 AND rn < total
-       UNION ALL SELECT dist, total, rn // per FROM (SELECT *, {per} AS per FROM ord) WHERE rn % per = 1 AND rn > 1) GROUP BY k)),
-    binned AS (SELECT c.*, list_concat([0e0], edges, [top + 1e-6]) AS br FROM cut c, seams, (SELECT max(dist) AS top FROM cut)),
+    ord AS (SELECT *, {per} AS per FROM (SELECT model, dist, row_number() OVER (PARTITION BY model ORDER BY dist, id) AS rn, count(*) OVER (PARTITION BY model) AS total FROM cut)),
+    seams AS (SELECT model, list(edge ORDER BY k) AS edges FROM (SELECT model, k, avg(dist) AS edge FROM
+      (SELECT model, dist, rn // per AS k FROM ord WHERE rn % per = 0 AND rn < total
+       UNION ALL SELECT model, dist, rn // per FROM ord WHERE rn % per = 1 AND rn > 1) GROUP BY model, k) GROUP BY model),
+    binned AS (SELECT c.*, list_concat([0e0], edges, [top + 1e-6]) AS br FROM cut c JOIN seams USING (model) JOIN (SELECT model, max(dist) AS top FROM cut GROUP BY model) USING (model)),
     placed AS (SELECT *, greatest(1, len(list_filter(br, lambda b: b < dist))) AS bin FROM binned)"""
 
 
-EQUAL = f"SELECT bin, count(*) AS n_per_bin, {MEANS}, any_value(br[bin] + (br[bin + 1] - br[bin]) / 2) AS nn_dist FROM placed GROUP BY bin"
+EQUAL = f"SELECT model, bin, count(*) AS n_per_bin, {MEANS}, any_value(br[bin] + (br[bin + 1] - br[bin]) / 2) AS nn_dist FROM placed GROUP BY model, bin"
 
 
-@query("b02_equal_count_bins", "single", EQUAL, rnd=MEANS_R, ints="bin", ctes=_equal_sql("CAST(ceil(total / 30e0) AS BIGINT)", "model = 'A'"))
+@query("b02_equal_count_bins", "single", EQUAL, rnd=MEANS_R, ints="bin", digits=9, ctes=_equal_sql("CAST(ceil(total / 30e0) AS BIGINT)"))
 def _(spark, sf):
-    return St.scores_by_distance(V.single(spark, sf).where("model = 'A'"), "dist", "id", breaks=30)
+    return St.scores_by_distance(V.single(spark, sf), "dist", "id", breaks=30, keys=["model"])
 
 
-@query("b02_fixed_count_bins", "single", EQUAL, rnd=MEANS_R, digits=9, ints="bin", ctes=_equal_sql("CAST(700 AS BIGINT)", "model = 'B'"))
+@query("b02_fixed_count_bins", "single", EQUAL, rnd=MEANS_R, digits=9, ints="bin", ctes=_equal_sql("CAST(700 AS BIGINT)"))
 def _(spark, sf):
-    return St.scores_by_distance(V.single(spark, sf).where("model = 'B'"), "dist", "id", n_per_bin=700)
+    return St.scores_by_distance(V.single(spark, sf), "dist", "id", n_per_bin=700, keys=["model"])
 
 
 GIVEN = [0.0, 0.5, 1.0, 2.0, 4.0, 8.0]
@@ -214,11 +214,11 @@ def _(spark, sf):
     return St.scores_by_distance(V.single(spark, sf), "dist", "id", breaks=GIVEN, keys=["model"])
 
 
-@query("b03_stratum_and_cutoff", "single", EQUAL, rnd=MEANS_R, ints="bin",
-       ctes=_equal_sql("CAST(ceil(total / 12e0) AS BIGINT)", "model = 'C' AND urban AND dist < 6"))
+@query("b03_stratum_and_cutoff", "single", EQUAL, rnd=MEANS_R, ints="bin", digits=9,
+       ctes=_equal_sql("CAST(ceil(total / 12e0) AS BIGINT)", "urban AND dist < 6"))
 def _(spark, sf):
-    s = V.single(spark, sf).where("model = 'C' AND urban")
-    return St.scores_by_distance(s, "dist", "id", breaks=12, max_dist=6.0)
+    s = V.single(spark, sf).where("urban")
+    return St.scores_by_distance(s, "dist", "id", breaks=12, max_dist=6.0, keys=["model"])
 
 
 FOLD_BINS = """

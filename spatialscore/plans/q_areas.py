@@ -11,6 +11,7 @@ from ..operators.lattice import lattice_sizes, smallest_lattice
 from ..operators.ordering import group_quantiles
 from . import views as V
 from .q_joins import CENTROIDS, LAGS, THRESH
+from .q_scans import AREA_HITS
 from .registry import query
 
 SUMMARY = """avg(v) AS est, stddev_samp(v) AS sd, quantile_cont(v, 0.1::DOUBLE) AS q10, quantile_cont(v, 0.5::DOUBLE) AS q50,
@@ -105,7 +106,18 @@ def _(spark, sf):
         F.count(F.when(F.col("urban"), 1)).alias("n_urban"), F.count(F.lit(1)).alias("n"))
 
 
-@query("d11_population_grid")
+GRID_POP = AREA_HITS + """,
+    raster AS (SELECT id, CASE WHEN count(value) = 4 THEN sum(w * value) END AS pop FROM (
+      SELECT id, bx + dx AS ix, by0 + dy AS iy, (CASE WHEN dx = 0 THEN 1 - tx ELSE tx END) * (CASE WHEN dy = 0 THEN 1 - ty ELSE ty END) AS w
+      FROM (SELECT id, floor(east) AS bx, floor(north) AS by0, east - floor(east) AS tx, north - floor(north) AS ty FROM points),
+        (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)) LEFT JOIN grid USING (ix, iy) GROUP BY id),
+    cells AS (SELECT id, area, pop, (area % 5 + 1) / 10e0 AS pct FROM found JOIN raster USING (id) WHERE pop IS NOT NULL),
+    sums AS (SELECT *, sum(pop) OVER (PARTITION BY area ORDER BY pop, id ROWS UNBOUNDED PRECEDING) AS cum, sum(pop) OVER (PARTITION BY area) AS total FROM cells),
+    limits AS (SELECT area, min(pop) FILTER (WHERE cum >= total * (1 - pct)) AS threshold FROM sums GROUP BY area)"""
+
+
+@query("d11_population_grid", "points edges grid", "SELECT id, area, pop, threshold, pop > threshold AS urban FROM cells JOIN limits USING (area)",
+       rnd="pop threshold", ctes=GRID_POP)
 def _(spark, sf):
     # Grid cells inside an area get the population of the raster, then the area's threshold and flag.
     cells = V.points(spark, sf).select("id", "east", "north")

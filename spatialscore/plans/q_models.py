@@ -224,6 +224,20 @@ def _(spark, sf):
     return Kr.subset_combine(train, test, "id", "id", 6, PARAMS, weights=[0.3, 0.3, 0.1, 0.1, 0.1, 0.1])
 
 
+def fit_mean(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+    """The smallest user-given model: the training mean and its spread."""
+    m, s = (train["z"].mean(), train["z"].std()) if len(train) else (np.nan, np.nan)
+    return test[["dataset_id", "id"]].assign(pred=m, sigma=s)
+
+
+@query("x01_pluggable_fit", "points", """
+    SELECT id // 400 AS dataset_id, id, m AS pred, s AS sigma FROM points JOIN
+      (SELECT id // 400 AS d, avg(truth - 250) AS m, stddev_samp(truth - 250) AS s FROM points WHERE role = 'train' GROUP BY 1) ON d = id // 400
+    WHERE role = 'test'""", rnd="pred sigma")
+def _(spark, sf):
+    return Kr.fit_datasets(data_sets(spark, sf), "dataset_id", fit_mean, "dataset_id long, id long, pred double, sigma double")
+
+
 @query("x02_pluggable_covariance")
 def _(spark, sf):
     # Any function of distance serves as covariance; here Matern with smoothness 3/2.
