@@ -25,6 +25,7 @@ from .spatial import nearest
 
 MAX_GROUP = 6000   # training rows of one dense solve
 MAX_CHUNK = 4000   # test rows of one task
+BUNDLE_ROWS = 4000  # rows of the small groups that one call handles together
 
 
 def exponential(range_: float, sill: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
@@ -44,11 +45,16 @@ def conditional_normal(yd, mu_p, mu_d, s_pp_diag, s_dd, s_pd):
     return mean, np.sqrt(np.clip(s_pp_diag - (half**2).sum(0), 0.0, None))
 
 
-def check_group_sizes(df: DataFrame, key: list[str], limit: int = MAX_GROUP) -> None:
-    """A dense solve needs its whole group in one task, so larger groups must be cut into blocks first."""
-    big = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).limit(3).collect()
-    if big:
-        raise ValueError(f"groups above {limit} rows, cut them with bounded_blocks first: {big}")
+def check_group_sizes(df: DataFrame, key: list[str], limit: int = MAX_GROUP) -> int:
+    """A dense solve needs its whole group in one task, so larger groups must be cut into blocks first.
+
+    Returns the number of rows of all groups.
+    """
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.sum("n").alias("rows"), F.max(F.struct("n", *key)).alias("big")).first()
+    if r["rows"] and r["big"]["n"] > limit:
+        raise ValueError(f"groups above {limit} rows, cut them with bounded_blocks first: {r['big']}")
+    return r["rows"] or 0
 
 
 def _chunked(train: DataFrame, test: DataFrame, key: list[str], chunk_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -105,22 +111,28 @@ def block_gp_grid(df: DataFrame, block: str, x: str, y: str, z: str, x_cols: lis
     Each block gives X'R^-1X, X'R^-1y, y'R^-1y and log|R| per grid point (a short vector); these are
     summed over blocks on Spark, then beta, sigma^2 and the log-likelihood follow per grid point.
     """
-    check_group_sizes(df, [block], max_group)
+    rows = check_group_sizes(df, [block], max_group)
     p = len(x_cols) + 1
     grid = [(i, float(o), float(a)) for i, (o, a) in enumerate((o, a) for o in omegas for a in alphas)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy, yv = pdf[[x, y]].to_numpy(float), pdf[z].to_numpy(float)
-        design = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(float) for c in x_cols]])
-        d, both, rows = _dist(xy, xy), np.column_stack([design, yv]), []
-        for i, o, a in grid:
-            low = np.linalg.cholesky(o * np.exp(-a * d) + (1.0 - o) * np.eye(len(pdf)))
-            h = np.linalg.solve(low, both)
-            rows.append((i, o, a, [*(h.T @ h).ravel(), 2.0 * np.log(np.diag(low)).sum(), float(len(pdf))]))
-        return pd.DataFrame(rows, columns=["point", "omega", "alpha", "stats"])
+        total = np.zeros((len(grid), (p + 1) ** 2 + 2))
+        for _, b in pdf.groupby(block, sort=False):
+            xy, yv = b[[x, y]].to_numpy(float), b[z].to_numpy(float)
+            both = np.column_stack([np.ones(len(b)), *[b[c].to_numpy(float) for c in x_cols], yv])
+            d = _dist(xy, xy)
+            for i, o, a in grid:
+                low = np.linalg.cholesky(o * np.exp(-a * d) + (1.0 - o) * np.eye(len(b)))
+                h = np.linalg.solve(low, both)
+                total[i, :-2] += (h.T @ h).ravel()
+                total[i, -2:] += 2.0 * np.log(np.diag(low)).sum(), len(b)
+        return pd.DataFrame([(*g, t.tolist()) for g, t in zip(grid, total)], columns=["point", "omega", "alpha", "stats"])
 
     need = df.select(block, x, y, z, *[c for c in x_cols if c not in (x, y, z)])
-    per = need.groupBy(block).applyInPandas(run, "point int, omega double, alpha double, stats array<double>")
+    # Blocks stay whole; many small ones share a call.
+    bundles = max(1, -(-rows // BUNDLE_ROWS))
+    per = need.groupBy(F.pmod(F.xxhash64(block), F.lit(bundles)).alias("_bundle")).applyInPandas(
+        run, "point int, omega double, alpha double, stats array<double>")
     total = per.groupBy("point", "omega", "alpha").agg(
         Summarizer.metrics("sum").summary(array_to_vector("stats")).alias("_s")).select(
         "point", "omega", "alpha", vector_to_array("_s.sum").alias("stats"))

@@ -95,7 +95,8 @@ def scores_by_distance(single: DataFrame, dist: str, tie: str, breaks: int | lis
         binned, w = even_distance_bins(cut, dist, breaks)
         binned = binned.withColumn("nn_dist", even_midpoint("bin", F.lit(0.0), w))
     else:
-        binned = equal_count_distance(single, dist, tie, None if n_per_bin else breaks, n_per_bin, max_dist, keys)
+        need = list(dict.fromkeys([*keys, dist, tie, *scores]))
+        binned = equal_count_distance(single.select(*need), dist, tie, None if n_per_bin else breaks, n_per_bin, max_dist, keys)
     return binned.groupBy(*keys, "bin", "nn_dist").agg(
         F.count(F.lit(1)).alias("n_per_bin"), *[F.avg(s).alias(s) for s in scores])
 

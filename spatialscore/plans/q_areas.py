@@ -117,7 +117,7 @@ GRID_POP = AREA_HITS + """,
 
 
 @query("d11_population_grid", "points edges grid", "SELECT id, area, pop, threshold, pop > threshold AS urban FROM cells JOIN limits USING (area)",
-       rnd="pop threshold", ctes=GRID_POP)
+       rnd="pop threshold", digits=9, ctes=GRID_POP)
 def _(spark, sf):
     # Grid cells inside an area get the population of the raster, then the area's threshold and flag.
     cells = V.points(spark, sf).select("id", "east", "north")

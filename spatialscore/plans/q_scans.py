@@ -384,12 +384,12 @@ def _(spark, sf):
 
 
 @query("u13_task_list", sql="""
-    SELECT n_nationkey AS nation, cov, rng, layers FROM nation,
+    SELECT s_suppkey AS dataset_id, cov, rng, layers FROM supplier,
       (SELECT unnest(['exponential', 'matern', 'mixture']) AS cov), (SELECT unnest(['01', '05', '1', 'mix']) AS rng), (SELECT unnest([3, 4]) AS layers)
-    WHERE (cov = 'mixture') = (rng = 'mix')""", ints="nation layers")
+    WHERE (cov = 'mixture') = (rng = 'mix')""", ints="layers")
 def _(spark, sf):
     axes = {"cov": ["exponential", "matern", "mixture"], "rng": ["01", "05", "1", "mix"], "layers": [3, 4]}
-    return Sm.task_grid(axes, V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation")),
+    return Sm.task_grid(axes, V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("dataset_id")),
                         (F.col("cov") == "mixture") == (F.col("rng") == "mix"))
 
 
