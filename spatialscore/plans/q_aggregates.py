@@ -193,12 +193,12 @@ def _equal_sql(per: str, where: str = "TRUE") -> str:
 EQUAL = f"SELECT model, bin, count(*) AS n_per_bin, {MEANS}, any_value(br[bin] + (br[bin + 1] - br[bin]) / 2) AS nn_dist FROM placed GROUP BY model, bin"
 
 
-@query("b02_equal_count_bins", "single", EQUAL, rnd=MEANS_R, ints="bin", digits=9, ctes=_equal_sql("CAST(ceil(total / 30e0) AS BIGINT)"))
+@query("b02_equal_count_bins", "single", EQUAL, rnd=MEANS_R, ints="bin", ctes=_equal_sql("CAST(ceil(total / 30e0) AS BIGINT)"))
 def _(spark, sf):
     return St.scores_by_distance(V.single(spark, sf), "dist", "id", breaks=30, keys=["model"])
 
 
-@query("b02_fixed_count_bins", "single", EQUAL, rnd=MEANS_R, digits=9, ints="bin", ctes=_equal_sql("CAST(700 AS BIGINT)"))
+@query("b02_fixed_count_bins", "single", EQUAL, rnd=MEANS_R, ints="bin", ctes=_equal_sql("CAST(700 AS BIGINT)"))
 def _(spark, sf):
     return St.scores_by_distance(V.single(spark, sf), "dist", "id", n_per_bin=700, keys=["model"])
 

@@ -130,20 +130,20 @@ def _(spark, sf):
 
 
 TARGETS = """
-    targets AS (SELECT county, urban, count(*) * avg(n) * avg(truth) AS target FROM obs GROUP BY county, urban)"""
+    targets AS (SELECT county, urban, count(*) * avg(n) * avg(truth * 1.0123456789::DOUBLE) AS target FROM obs GROUP BY county, urban)"""
 
 
 @query("d12_rescale_population", "pixels obs", """
     SELECT pixel, pop * CASE WHEN total > 0 THEN target / total ELSE 0 END AS pop_adjusted FROM
-      (SELECT *, sum(pop) OVER (PARTITION BY county, urban) AS total FROM pixels) LEFT JOIN targets USING (county, urban)""", rnd="pop_adjusted", ctes=TARGETS)
+      (SELECT *, sum(pop) OVER (PARTITION BY county, urban) AS total FROM pixels) LEFT JOIN targets USING (county, urban)""", rnd="pop_adjusted", ctes=TARGETS, digits=4)
 def _(spark, sf):
-    t = Ar.stratum_targets(V.obs(spark, sf), ["county", "urban"], "n", "truth")
+    t = Ar.stratum_targets(V.obs(spark, sf).withColumn("persons", F.col("truth") * F.lit(1.0123456789)), ["county", "urban"], "n", "persons")
     return Ar.rescale_population(V.pixels(spark, sf), t, ["county", "urban"], "pop").select("pixel", "pop_adjusted")
 
 
-@query("d13_stratum_targets", "obs", "SELECT * FROM targets", rnd="target", ctes=TARGETS)
+@query("d13_stratum_targets", "obs", "SELECT * FROM targets", rnd="target", ctes=TARGETS, digits=4)
 def _(spark, sf):
-    return Ar.stratum_targets(V.obs(spark, sf), ["county", "urban"], "n", "truth")
+    return Ar.stratum_targets(V.obs(spark, sf).withColumn("persons", F.col("truth") * F.lit(1.0123456789)), ["county", "urban"], "n", "persons")
 
 
 @query("d14_area_truth", "obs", "SELECT region, county, sum(quality + 1) / CAST(sum(n) AS DOUBLE) AS truth FROM obs GROUP BY region, county", rnd="truth")
