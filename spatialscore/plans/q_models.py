@@ -283,4 +283,4 @@ def _(spark, sf):
     # The last state of a key is its result; earlier batches hold its partial states.
     rows = spark.read.parquet(f"{out}/data")
     latest = rows.groupBy("day", "model", "bin").agg(F.max_by(F.struct("n", "value", "sq"), "batch").alias("s"))
-    return latest.select(F.col("day").cast("timestamp").alias("day"), "model", "bin", "s.*")
+    return latest.select(F.col("day").cast("timestamp_ntz").alias("day"), "model", "bin", "s.*")

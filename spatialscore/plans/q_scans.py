@@ -24,8 +24,7 @@ def scratch(spark, name: str) -> str:
 
 @query("s01_load_observations", sql="SELECT o_orderkey, o_totalprice, o_orderdate FROM orders", rnd="o_totalprice")
 def _(spark, sf):
-    return Tb.read_observations(spark, f"{sf}/orders.parquet", "o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz").withColumn(
-        "o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    return Tb.read_observations(spark, f"{sf}/orders.parquet", "o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz")
 
 
 @query("s02_swath_files", sql="SELECT event_id, event_type, value, 'events.parquet' AS file_name FROM events", rnd="value")
@@ -116,7 +115,7 @@ def _(spark, sf):
 
 @query("f03_day_of_year", "swath", "SELECT id, ts FROM swath WHERE dayofyear(ts) = 12")
 def _(spark, sf):
-    return V.swath(spark, sf).where(Fl.on_day_of_year("ts", 12)).select("id", F.col("ts").cast("timestamp").alias("ts"))
+    return V.swath(spark, sf).where(Fl.on_day_of_year("ts", 12)).select("id", "ts")
 
 
 AREA_HITS = """
@@ -215,8 +214,7 @@ def _(spark, sf):
     SELECT o_orderstatus, avg(CASE WHEN year(o_orderdate) = 1996 THEN 1e0 ELSE 0e0 END) AS share, min(o_orderdate) AS first,
     max(o_orderdate) AS last FROM orders GROUP BY o_orderstatus""", rnd="share")
 def _(spark, sf):
-    o = V.table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
-    return Fl.share_in_year(o, "o_orderdate", 1996, ["o_orderstatus"])
+    return Fl.share_in_year(V.table(spark, sf, "orders"), "o_orderdate", 1996, ["o_orderstatus"])
 
 
 # --- distinct, sorts, sets -----------------------------------------------------------------------
