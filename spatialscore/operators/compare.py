@@ -1,9 +1,7 @@
 """Ranking and comparing models."""
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import percent_difference
@@ -50,7 +48,7 @@ def pair_models(df: DataFrame, keys: list[str], model: str, value: str, models:
 
 
 def percent_diff(df: DataFrame, keys: list[str], model: str, value: str, ref: str) -> DataFrame:
-    """Percent difference of each model from the reference model at the same key."""
+    """Percent difference of each model from the chosen model at the same key."""
     r = df.where(F.col(model) == ref).select(*keys, F.col(value).alias("_ref"))
     return df.join(r, keys).withColumn("pct_diff", percent_difference(value, "_ref")).drop("_ref")
 

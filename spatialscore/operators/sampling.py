@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import hash_ordered, portable_hash
+from .ordering import hash_ordered
 
 
 def stack(tables: list[DataFrame | None]) -> DataFrame:

@@ -59,8 +59,8 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
                   frame: tuple[float, float, float, int] | None = None) -> Pyramid:
     """Summarise references.
 
-    ``refs`` should hold each coordinate pair few times per group. Both results are materialised,
-    as every search round reads them.
+    ``refs`` should hold each coordinate pair few times per group. Both tables are materialised: every
+    search round reads the cells, and a result may be read more than once.
     """
     x0, y0, ext, n = frame or _frame(refs, x, y, group)
     # Cells of the deepest first level hold a third of a leaf on average.
@@ -251,7 +251,6 @@ def preceding_neighbours(df: DataFrame, order: str, x: str, y: str, k: int, bits
     top = df.agg(F.max(order)).first()[0] or 0
     digits = F.sequence(F.lit(0), F.lit(max(1, min(bits, int(top).bit_length()))))
     o = F.col(order).cast("bigint")
-    pw = F.col("digit")
     refs = df.select(o.alias("rid"), x, y, F.explode(digits).alias("digit")).withColumn(
         "block", F.expr("shiftright(rid, digit)"))
     pts = (

@@ -4,7 +4,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import kriging as Kr
 from ..operators import scoring as Sc

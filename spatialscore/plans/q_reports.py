@@ -3,15 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import areal as Ar
 from ..operators import compare as Cm
-from ..operators import posterior as Po
 from ..operators import scoring as Sc
 from ..operators import strata as St
 from ..operators.ordering import next_value, ordered
 from . import views as V
 from .q_aggregates import EIGHT
-from .q_areas import CUM, CURVES, curves, long_draws
+from .q_areas import CURVES, curves, long_draws
 from .registry import query
 
 METRICS = ["mae", "rmse", "crps", "interval_score", "coverage"]
