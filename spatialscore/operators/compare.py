@@ -10,12 +10,13 @@ from ..functions.transforms import percent_difference
 def rank_methods(df: DataFrame, method: str, metrics: list[str], targets: dict[str, float] | None = None) -> DataFrame:
     """Rank per metric (distance from the target where one is given) and the mean rank.
 
-    ``df`` has one row per method; ties go to the first method by name.
+    ``df`` has one row per method; ties go to the first method by name. Losses that agree to nine decimals are
+    ties, since their last bits depend on the order of summation.
     """
     targets = targets or {}
     loss = lambda m: F.abs(F.col(m) - F.lit(targets[m])) if m in targets else F.col(m)
     long = df.select(method, F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), loss(m).alias("loss")) for m in metrics])))
+        F.struct(F.lit(m).alias("metric"), F.round(loss(m), 9).alias("loss")) for m in metrics])))
     w = Window.partitionBy("metric").orderBy(F.col("loss").asc_nulls_last(), F.col(method))
     ranked = long.withColumn("rank", F.row_number().over(w))
     return ranked.groupBy(method).agg(

@@ -34,14 +34,18 @@ def exponential(range_: float, sill: float = 1.0) -> Callable[[np.ndarray], np.n
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+    total = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        total += np.subtract.outer(a[:, i], b[:, i]) ** 2
+    return np.sqrt(total, out=total)
 
 
 def conditional_normal(yd, mu_p, mu_d, s_pp_diag, s_dd, s_pd):
     """Mean and sd of the targets given the data."""
     low = np.linalg.cholesky(s_dd)
-    half = np.linalg.solve(low, s_pd.T)
-    mean = mu_p + half.T @ np.linalg.solve(low, yd - mu_d)
+    both = np.linalg.solve(low, np.column_stack([s_pd.T, yd - mu_d]))
+    half = both[:, :-1]
+    mean = mu_p + half.T @ both[:, -1]
     return mean, np.sqrt(np.clip(s_pp_diag - (half**2).sum(0), 0.0, None))
 
 
@@ -70,7 +74,10 @@ def _chunked(train: DataFrame, test: DataFrame, key: list[str], chunk_rows: int)
 def krige_groups(train: DataFrame, test: DataFrame, key: list[str], pid: str, cov: Callable, nugget: float = 0.0,
                  beta: float = 0.0, x: str = "x", y: str = "y", z: str = "z", level: float = 0.8,
                  max_group: int = MAX_GROUP) -> DataFrame:
-    """M2: kriging with known covariance per group: ``preds, sigmas, lower, median, upper``."""
+    """M2: kriging with known covariance per group: ``preds, sigmas, lower, median, upper``.
+
+    Targets of a group without data get the prior mean and sd.
+    """
     check_group_sizes(train, key, max_group)
     zq = norm_ppf_const(0.5 + level / 2.0)
     a, b = _chunked(train.select(*key, x, y, z), test.select(*key, pid, x, y), key, MAX_CHUNK)
@@ -86,9 +93,10 @@ def krige_groups(train: DataFrame, test: DataFrame, key: list[str], pid: str, co
         return te[[*key, pid]].assign(preds=m, sigmas=s, lower=m - zq * s, median=m, upper=m + zq * s)
 
     def safe(tr, te):
-        if len(te) == 0 or len(tr) == 0:
-            return te[[*key, pid]].iloc[:0].assign(preds=0.0, sigmas=0.0, lower=0.0, median=0.0, upper=0.0)
-        return run(tr, te)
+        if len(te) and len(tr):
+            return run(tr, te)
+        s = np.sqrt(cov(np.zeros(len(te))))
+        return te[[*key, pid]].assign(preds=beta, sigmas=s, lower=beta - zq * s, median=beta, upper=beta + zq * s)
 
     return a.groupBy(*key, "_chunk").cogroup(b.groupBy(*key, "_chunk")).applyInPandas(safe, out)
 

@@ -106,7 +106,19 @@ def basis_entries(points: DataFrame, layers: list[Layer], pid: str, x: str, y: s
         wendland_inside("s").alias("a"))
 
 
-def sparse_apply(entries: DataFrame, coef: DataFrame, pid: str, by_layer: bool = False, value: str = "c") -> DataFrame:
-    """Basis times coefficients, optionally per layer."""
+def sparse_apply(entries: DataFrame, coef: DataFrame, pid: str, by_layer: bool = False, value: str = "c",
+                 points: DataFrame | None = None) -> DataFrame:
+    """Basis times coefficients, optionally per layer.
+
+    A knot without a coefficient counts as 0. With ``points`` a point without entries has the value 0 too, in every
+    layer of the entries if asked by layer.
+    """
     keys = [pid, "layer"] if by_layer else [pid]
-    return entries.join(coef, ["layer", "knot"]).groupBy(*keys).agg(F.sum(F.col("a") * F.col(value)).alias("value"))
+    term = F.col("a") * F.coalesce(value, F.lit(0.0))
+    out = entries.join(coef, ["layer", "knot"], "left").groupBy(*keys).agg(F.sum(term).alias("value"))
+    if points is None:
+        return out
+    every = points.select(pid).distinct()
+    if by_layer:
+        every = every.withColumn("layer", F.explode(entries.agg(F.collect_set("layer").alias("l")).scalar()))
+    return every.join(out, keys, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

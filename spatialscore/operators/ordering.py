@@ -16,20 +16,36 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, default_buckets
 
-# Fixed values of the portable integer hash.
-HASH_PRIME = 1000003
-HASH_MULTIPLIER = 2654435761
+# Fixed values of the portable integer hash: multipliers below 2^30, so that no product leaves 64 bits.
+HASH_FOLD = 668265263
+HASH_ROUNDS = (73244475, 295559667)
 HASH_RANGE = 4294967296
+HASH_MASK = HASH_RANGE - 1
+
+
+def _hash_steps(x, seed: int, both, xor, right, times):
+    """The hash over the operations of either engine: fold 64 bits to 32, mix the seed in, then multiply and shift."""
+    mixed = ((seed & HASH_MASK) * 2654435761 + 40503) & HASH_MASK
+    h = xor(both(x, HASH_MASK), xor(both(times(both(right(x, 32), HASH_MASK), HASH_FOLD), HASH_MASK), mixed))
+    for m in HASH_ROUNDS:
+        h = both(times(xor(h, right(h, 16)), m), HASH_MASK)
+    return xor(h, right(h, 15))
 
 
 def portable_hash(id_col: str | Column, seed: int = 0) -> Column:
-    """Integer hash that other engines can compute too; no step overflows 64 bits."""
+    """Integer in [0, 2^32) that other engines can compute too, for ids of either sign.
+
+    The seed is mixed in before the rounds, so each seed gives an order of its own.
+    """
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return (c.cast("bigint") % HASH_PRIME * F.lit(HASH_MULTIPLIER) + F.lit(seed)) % F.lit(HASH_RANGE)
+    return _hash_steps(c.cast("bigint"), seed, lambda a, b: a.bitwiseAND(F.lit(b)), lambda a, b: a.bitwiseXOR(lit(b)),
+                       F.shiftright, lambda a, b: a * F.lit(b))
 
 
 def portable_hash_sql(id_expr: str, seed: int = 0) -> str:
-    return f"((({id_expr}) % {HASH_PRIME}) * {HASH_MULTIPLIER} + {seed}) % {HASH_RANGE}"
+    return _hash_steps(f"CAST({id_expr} AS BIGINT)", seed, lambda a, b: f"({a} & {b})", lambda a, b: f"xor({a}, CAST({b} AS BIGINT))",
+                       lambda a, b: f"({a} >> {b})", lambda a, b: f"({a} * {b})")
 
 
 def _bucketize(df: DataFrame, col: str, inner: list[float], out: str) -> DataFrame:

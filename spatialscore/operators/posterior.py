@@ -1,6 +1,8 @@
 """Summaries and areal aggregation of posterior draws."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,19 +46,23 @@ def areal_draws(df: DataFrame, area: list[str], weight: str, draws: str) -> Data
     """Weighted mean of every draw over each area.
 
     The aggregate works on whole vectors, so draws are never exploded and the shuffle carries one
-    vector per area and map task.
+    vector per area and map task. Rows without draws count as rows without weight; an area of no weight
+    has NULL draws.
     """
-    v = df.where(F.col(weight) > 0).select(*area, F.col(weight).cast("double").alias("_w"),
+    v = df.where((F.col(weight) > 0) & F.col(draws).isNotNull()).select(*area, F.col(weight).cast("double").alias("_w"),
                                            array_to_vector(draws).alias("_v"))
-    return v.groupBy(*area).agg(Summarizer.metrics("mean").summary(F.col("_v"), F.col("_w")).alias("_s")).select(
-        *area, vector_to_array("_s.mean").alias("draws"))
+    means = v.groupBy(*area).agg(Summarizer.metrics("mean").summary(F.col("_v"), F.col("_w")).alias("_s")).select(
+        *[F.col(c).alias(f"_k_{c}") for c in area], vector_to_array("_s.mean").alias("draws"))
+    every = df.select(*area).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in area])
+    return every.join(means, same, "left").select(*area, "draws")
 
 
 def aggregate_levels(df: DataFrame, levels: dict[str, list[str]], weight: str, draws: str, level: float = 0.8,
                      pixel_key: str | None = None) -> DataFrame:
     """One summary row per area of every level, with a ``level`` column and the area as text.
 
-    Coarser levels reuse the table of the finest listed area level when it holds their keys.
+    Every level is a partial aggregate of its own over the pixels.
     """
     parts = []
     if pixel_key is not None:

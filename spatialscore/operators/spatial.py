@@ -242,14 +242,14 @@ def stratified_nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, u
     return points.select(pid, urban).join(wide, pid, "left")
 
 
-def preceding_neighbours(df: DataFrame, order: str, x: str, y: str, k: int, bits: int = 40) -> DataFrame:
+def preceding_neighbours(df: DataFrame, order: str, x: str, y: str, k: int) -> DataFrame:
     """K nearest among rows that come earlier in ``order`` (0-based, without gaps).
 
     The rows before position p are the disjoint blocks of p's binary digits, so an equal-group search
     over blocks finds them: a row sits in one block per digit and looks into one block per set digit.
     """
     top = df.agg(F.max(order)).first()[0] or 0
-    digits = F.sequence(F.lit(0), F.lit(max(1, min(bits, int(top).bit_length()))))
+    digits = F.sequence(F.lit(0), F.lit(max(1, int(top).bit_length())))
     o = F.col(order).cast("bigint")
     refs = df.select(o.alias("rid"), x, y, F.explode(digits).alias("digit")).withColumn(
         "block", F.expr("shiftright(rid, digit)"))

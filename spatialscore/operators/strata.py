@@ -26,12 +26,16 @@ def even_distance_bins(single: DataFrame, dist: str, breaks: int = 30) -> tuple[
 
 def scores_by_even_distance(single: DataFrame, dist: str, breaks: int = 30, keys: list[str] = (),
                             pooled: bool = True) -> DataFrame:
-    """B1: scores per distance bin; with ``pooled`` also one row over all bins (bin NULL)."""
+    """B1: scores per distance bin; with ``pooled`` also one row over all bins, marked by ``pooled``.
+
+    Rows without a distance have the bin NULL.
+    """
     binned, w = even_distance_bins(single, dist, breaks)
     aggs = [F.count(F.lit(1)).alias("n_per_bin"), F.max("_w").alias("_w"), *score_aggregates()]
     sets = [[*keys, "bin"], [*keys]] if pooled else [[*keys, "bin"]]
     if pooled:
-        out = binned.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*keys, "bin")]).agg(*aggs)
+        out = binned.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*keys, "bin")]).agg(
+            (F.grouping("bin") == 1).alias("pooled"), *aggs)
     else:
         out = binned.groupBy(*keys, "bin").agg(*aggs)
     return out.withColumn("nn_dist", even_midpoint("bin", F.lit(0.0), "_w")).drop("_w")
@@ -121,11 +125,11 @@ def pool_bins(binned: DataFrame, n_col: str, scores: list[str], keys: list[str]
 
 
 def scores_by_subset(single: DataFrame, keys: list[str], urban: str = "urban") -> DataFrame:
-    """Pooled, urban and rural rows per key in one pass; ``subset`` is Avg, Urban or Rural."""
+    """Pooled, urban and rural rows per key in one pass; ``subset`` is Avg, Urban, Rural or, without a stratum, NULL."""
     cols = [F.col(k) for k in keys]
     g = single.groupingSets([[*cols], [*cols, F.col(urban)]], *cols, F.col(urban)).agg(
         F.grouping(urban).alias("_all"), F.count(F.lit(1)).alias("n"), *score_aggregates())
-    label = F.when(F.col("_all") == 1, "Avg").when(F.col(urban), "Urban").otherwise("Rural")
+    label = F.when(F.col("_all") == 1, "Avg").when(F.col(urban), "Urban").when(~F.col(urban), "Rural")
     return g.select(*keys, label.alias("subset"), "n", *[c for c in g.columns if c not in (*keys, urban, "_all", "n")])
 
 

@@ -169,8 +169,8 @@ EVEN = """
 
 
 @query("b01_scores_by_distance", "single", f"""
-    SELECT model, bin, count(*) AS n_per_bin, {EIGHT}, (any_value(bin) - 1) * any_value(w) + any_value(w) / 2 AS nn_dist FROM binned GROUP BY model, bin
-    UNION ALL SELECT model, NULL, count(*), {EIGHT}, NULL FROM binned GROUP BY model""", rnd=EIGHT_R + " nn_dist", ints="bin", ctes=EVEN)
+    SELECT model, bin, false AS pooled, count(*) AS n_per_bin, {EIGHT}, (any_value(bin) - 1) * any_value(w) + any_value(w) / 2 AS nn_dist FROM binned GROUP BY model, bin
+    UNION ALL SELECT model, NULL, true, count(*), {EIGHT}, NULL FROM binned GROUP BY model""", rnd=EIGHT_R + " nn_dist", ints="bin", ctes=EVEN)
 def _(spark, sf):
     return St.scores_by_even_distance(V.single(spark, sf), "dist", 30, ["model"])
 

@@ -16,9 +16,9 @@ METRICS = ["mae", "rmse", "crps", "interval_score", "coverage"]
 TABLE = """
     methods AS (SELECT model || fold AS method, avg(abs_err) AS mae, sqrt(avg(sq_err)) AS rmse, avg(crps) AS crps, avg(interval_score) AS interval_score,
       avg(coverage) AS coverage FROM single GROUP BY model, fold),
-    ranks AS (SELECT method, row_number() OVER (ORDER BY mae, method) AS rank_mae, row_number() OVER (ORDER BY rmse, method) AS rank_rmse,
-      row_number() OVER (ORDER BY crps, method) AS rank_crps, row_number() OVER (ORDER BY interval_score, method) AS rank_interval_score,
-      row_number() OVER (ORDER BY abs(coverage - 0.95::DOUBLE), method) AS rank_coverage FROM methods),
+    ranks AS (SELECT method, row_number() OVER (ORDER BY round(mae, 9), method) AS rank_mae, row_number() OVER (ORDER BY round(rmse, 9), method) AS rank_rmse,
+      row_number() OVER (ORDER BY round(crps, 9), method) AS rank_crps, row_number() OVER (ORDER BY round(interval_score, 9), method) AS rank_interval_score,
+      row_number() OVER (ORDER BY round(abs(coverage - 0.95::DOUBLE), 9), method) AS rank_coverage FROM methods),
     means AS (SELECT *, (rank_mae + rank_rmse + rank_crps + rank_interval_score + rank_coverage) / 5e0 AS mean_rank FROM ranks)"""
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import INV_SQRT_2PI, INV_SQRT_PI, norm_cdf_sql, norm_ppf_const
 from ..operators.scoring import single_scores
-from ..sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +26,7 @@ def _north(key):
 def obs(spark, sf_dir) -> DataFrame:
     """One point per order with its area, region, stratum and value."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    o = spread(o.select("o_orderkey", "o_custkey", "o_totalprice"))
+    o = o.select("o_orderkey", "o_custkey", "o_totalprice")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(
         r, n.n_regionkey == r.r_regionkey)
     return j.select(
@@ -39,7 +38,7 @@ def obs(spark, sf_dir) -> DataFrame:
 
 def points(spark, sf_dir) -> DataFrame:
     """The obs points without the joins, for work that needs places and values only."""
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")).select(
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").select(
         F.col("o_orderkey").alias("id"), _east("o_orderkey").alias("east"), _north("o_orderkey").alias("north"),
         (F.col("o_orderkey") % 3 == 0).alias("urban"), (F.col("o_totalprice") / 1000).alias("truth"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "test").otherwise("train").alias("role"))

@@ -13,15 +13,6 @@ def read_observations(spark: SparkSession, path: str, schema: StructType | str)
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give a stored table at least one task per core: few large row groups would leave cores idle.
-
-    Meant for scans (it only plans them); a table with enough splits is left as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def read_swaths(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", **options) -> DataFrame:
     """All files of a folder (or one file) as one table with the name of the file a row came from."""
     df = spark.read.schema(schema).format(fmt).options(**options).load(path)
@@ -50,11 +41,16 @@ def read_csv(spark: SparkSession, path: str, schema: str, names: list[str] | Non
 
 
 def read_whitespace(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Table whose columns are parted by runs of blanks, first line a header."""
+    """Table whose columns are parted by runs of blanks, with a header line; blank lines are passed over.
+
+    A line with another number of fields stops the reading with an error that shows it.
+    """
     fields = StructType.fromDDL(schema).fields
     lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("_p"))
     head = [f.name for f in fields]
-    rows = lines.where(F.size("_p") == len(head)).where(F.concat_ws(" ", "_p") != " ".join(head))
+    rows = lines.where(~F.concat_ws(" ", "_p").isin("", " ".join(head)))
+    told = F.raise_error(F.concat(F.lit(f"expected {len(head)} fields: "), F.concat_ws(" ", "_p"))).cast("array<string>")
+    rows = rows.select(F.when(F.size("_p") == len(head), F.col("_p")).otherwise(told).alias("_p"))
     return rows.select(*[F.get("_p", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
@@ -67,9 +63,10 @@ def write_results(df: DataFrame, path: str, keys: list[str] = ("model", "variati
                   mode: str = "overwrite") -> None:
     """Parquet partitioned by the keys, large payload columns left out.
 
-    Only partitions present in ``df`` are replaced, so a run that continues keeps finished ones.
+    Only partitions present in ``df`` are replaced, so a run that continues keeps finished ones. The rebalance hint
+    gathers the rows of a key and cuts a large key into as many tasks as its measured size asks for.
     """
-    (df.drop(*drop).repartition(*keys, F.pmod(F.xxhash64(*df.drop(*drop).columns), F.lit(32)))
+    (df.drop(*drop).hint("rebalance", *[F.col(k) for k in keys])
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
