@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import stored
 
 DOC = ["id", "copy"]
 
@@ -80,11 +80,9 @@ def sufficient_runs(level: DataFrame, min_words: int) -> DataFrame:
 def double(level: DataFrame, width: int) -> DataFrame:
     """Suffix ranks by 2 * width lines from those by ``width`` lines, as far as they repeat."""
     nxt = level.select(*DOC, (F.col("pos") - width).alias("pos"), F.col("rank").alias("rank2"))
-    pairs = stored(level.join(nxt, [*DOC, "pos"]).select(*DOC, "pos", "rank", "rank2"))
+    pairs = level.join(nxt, [*DOC, "pos"]).select(*DOC, "pos", "rank", "rank2")
     made = ranked(pairs.select(F.col("rank").alias("x"), F.col("rank2").alias("y")), "x", "y").toDF("rank", "rank2", "made")
-    out = stored(pairs.join(made, ["rank", "rank2"]).select(*DOC, "pos", F.col("made").alias("rank")))
-    discard(pairs)
-    return out
+    return stored(pairs.join(made, ["rank", "rank2"]).select(*DOC, "pos", F.col("made").alias("rank")))
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
