@@ -232,13 +232,17 @@ def within_radius(points: DataFrame, refs: DataFrame, pid: str, rid: str, radius
 
 def stratified_nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, urban: str = "urban",
                        exclude_zero: bool = True) -> DataFrame:
-    """Nearest distance of every point to all, urban and rural references (one search)."""
-    own = F.when(F.col(urban), F.lit("urban")).otherwise(F.lit("rural"))
-    r = refs.select("*", F.explode(F.array(F.lit("all"), own)).alias("obs_set"))
-    p = points.select("*", F.explode(F.array(*[F.lit(s) for s in ("all", "urban", "rural")])).alias("obs_set"))
+    """Nearest distance of every point to all, urban and rural references (one search).
+
+    The nearest of all is the nearer of the strata's nearest, so every reference is searched in its stratum only.
+    """
+    own = F.when(F.col(urban), F.lit("urban")).when(~F.col(urban), F.lit("rural")).otherwise(F.lit("none"))
+    r = refs.withColumn("obs_set", own)
+    sets = sorted(s["obs_set"] for s in r.select("obs_set").distinct().collect())
+    p = points.select("*", F.explode(F.array(*[F.lit(s) for s in sets]).cast("array<string>")).alias("obs_set"))
     hit = nearest(p, r, pid, rid, group=["obs_set"], exclude_zero=exclude_zero)
-    wide = hit.groupBy(pid).agg(*[
-        F.min(F.when(F.col("obs_set") == s, F.col("d"))).alias(f"nn_{s}") for s in ("all", "urban", "rural")])
+    wide = hit.groupBy(pid).agg(F.min("d").alias("nn_all"), *[
+        F.min(F.when(F.col("obs_set") == s, F.col("d"))).alias(f"nn_{s}") for s in ("urban", "rural")])
     return points.select(pid, urban).join(wide, pid, "left")
 
 

@@ -83,11 +83,11 @@ def _(spark, sf):
 
 
 @query("a09_interval_sources", "preds long_draws", f"""
-    SELECT 'gaussian' AS source, id AS key, est - {V.Z80} * sd AS lower, est + {V.Z80} * sd AS upper FROM preds WHERE model = 'A'
-    UNION ALL SELECT 'given', id, least(est + sd, est - 2 * sd + id % 100), greatest(est + sd, est - 2 * sd + id % 100) FROM preds WHERE model = 'A'
+    SELECT 'gaussian' AS source, id AS key, est - {V.Z80} * sd AS lower, est + {V.Z80} * sd AS upper FROM preds
+    UNION ALL SELECT 'given', id, least(est + sd, est - 2 * sd + id % 100), greatest(est + sd, est - 2 * sd + id % 100) FROM preds
     UNION ALL SELECT 'draws', vec_id, quantile_cont(v, 0.1::DOUBLE), quantile_cont(v, 0.9::DOUBLE) FROM long_draws GROUP BY vec_id""", rnd="lower upper")
 def _(spark, sf):
-    p = V.preds(spark, sf).where("model = 'A'")
+    p = V.preds(spark, sf)
     g = Sc.with_interval(p, est="est", sd="sd").select(F.lit("gaussian").alias("source"), F.col("id").alias("key"), "_lower", "_upper")
     lim = p.withColumns({"a": F.col("est") + F.col("sd"), "b": F.col("est") - 2 * F.col("sd") + F.col("id") % 100})
     u = Sc.with_interval(lim, lower="a", upper="b").select(F.lit("given"), "id", "_lower", "_upper")
@@ -340,10 +340,10 @@ def _(spark, sf):
 
 @query("b14_scores_with_time", "single", """
     SELECT model, sqrt(avg(sq_err)) AS rmse, avg(crps) AS crps, any_value(minutes) AS minutes FROM single
-    JOIN (SELECT event_type, sum(value) / 60 AS minutes, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' ELSE 'C' END AS model
-      FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY event_type) USING (model) GROUP BY model""", rnd="rmse crps minutes")
+    JOIN (SELECT sum(value) / 60 AS minutes, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' ELSE 'C' END AS model
+      FROM events GROUP BY 2) USING (model) GROUP BY model""", rnd="rmse crps minutes")
 def _(spark, sf):
-    t = V.table(spark, sf, "events").where(F.col("event_type").isin("click", "view", "error"))
+    t = V.table(spark, sf, "events")
     t = t.groupBy(F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").otherwise("C").alias("model")).agg(
         (F.sum("value") / 60).alias("minutes"))
     s = V.single(spark, sf).groupBy("model").agg(F.sqrt(F.avg("sq_err")).alias("rmse"), F.avg("crps").alias("crps"))
@@ -382,7 +382,7 @@ NINE = """
     pairs AS (SELECT a.id, min(d) AS nn_all, min(d) FILTER (WHERE u) AS nn_urban, min(d) FILTER (WHERE NOT u) AS nn_rural FROM
       (SELECT a.id, b.urban AS u, sqrt((a.east - b.east) * (a.east - b.east) + (a.north - b.north) * (a.north - b.north)) AS d
        FROM points a, points b WHERE a.role = 'test' AND b.role = 'train') a WHERE d > 0 GROUP BY a.id),
-    long AS (SELECT s.*, pred_set, obs_set, nn FROM (SELECT * FROM single WHERE model = 'A') s JOIN
+    long AS (SELECT s.*, pred_set, obs_set, nn FROM single s JOIN
       (SELECT id, 'nn_all' AS obs_set, nn_all AS nn FROM pairs UNION ALL SELECT id, 'nn_urban', nn_urban FROM pairs UNION ALL SELECT id, 'nn_rural', nn_rural FROM pairs) USING (id),
       (SELECT 'all' AS pred_set UNION ALL SELECT 'urban' UNION ALL SELECT 'rural') WHERE pred_set = 'all' OR (pred_set = 'urban') = urban),
     wide AS (SELECT *, max(nn) OVER (PARTITION BY obs_set, pred_set) / 9 AS w FROM long),
@@ -390,13 +390,13 @@ NINE = """
 
 
 @query("b19_nine_combinations", "points single", f"""
-    SELECT obs_set, pred_set, bin, count(*) AS n_per_bin, {EIGHT}, (bin - 1) * any_value(w) + any_value(w) / 2 AS nn_dist FROM binned GROUP BY obs_set, pred_set, bin""",
+    SELECT model, obs_set, pred_set, bin, count(*) AS n_per_bin, {EIGHT}, (bin - 1) * any_value(w) + any_value(w) / 2 AS nn_dist FROM binned GROUP BY model, obs_set, pred_set, bin""",
        rnd=EIGHT_R + " nn_dist", ints="bin", ctes=NINE)
 def _(spark, sf):
     p = V.points(spark, sf)
     nn = stratified_nearest(p.where("role = 'test'"), p.where("role = 'train'"), "id", "id").drop("urban")
-    s = V.single(spark, sf).where("model = 'A'").join(nn, "id")
-    return St.stacked_subsets(s, "nn", [], ["nn_all", "nn_urban", "nn_rural"], 10)
+    s = V.single(spark, sf).join(nn, "id")
+    return St.stacked_subsets(s, "nn", ["model"], ["nn_all", "nn_urban", "nn_rural"], 10)
 
 
 @query("b20_adjusted_rand", "obs", """
@@ -425,9 +425,9 @@ def _(spark, sf):
 
 @query("b23_stacked_parameters", "preds", """
     SELECT 'A' AS model, county, avg(est) AS est, avg(sd) AS sd FROM preds WHERE model = 'A' GROUP BY county
-    UNION ALL SELECT 'B', county, avg(est), NULL FROM preds WHERE model = 'B' GROUP BY county""", rnd="est sd")
+    UNION ALL SELECT model, county, avg(est), NULL FROM preds WHERE model <> 'A' GROUP BY model, county""", rnd="est sd")
 def _(spark, sf):
     p = V.preds(spark, sf)
     a = p.where("model = 'A'").groupBy("model", "county").agg(F.avg("est").alias("est"), F.avg("sd").alias("sd"))
-    b = p.where("model = 'B'").groupBy("model", "county").agg(F.avg("est").alias("est"))
+    b = p.where("model <> 'A'").groupBy("model", "county").agg(F.avg("est").alias("est"))
     return a.unionByName(b, allowMissingColumns=True)

@@ -206,13 +206,15 @@ def coefficients(spark, sf):
     return p.select("knot", "c", F.explode(F.array(F.lit(1), F.lit(2))).alias("layer"))
 
 
-@query("j21_basis_times_coefficients", "points", "SELECT id, sum(a * p_retailprice / 1000) AS value FROM entries JOIN part ON p_partkey = knot GROUP BY id",
+@query("j21_basis_times_coefficients", "points", """SELECT id, coalesce(v, 0) AS value FROM points LEFT JOIN
+    (SELECT id, sum(a * coalesce(p_retailprice, 0) / 1000) AS v FROM entries LEFT JOIN part ON p_partkey = knot GROUP BY id) USING (id)""",
        rnd="value", ctes=ENTRIES)
 def _(spark, sf):
-    return sparse_apply(basis_entries(V.points(spark, sf), LAYERS, "id", "east", "north"), coefficients(spark, sf), "id")
+    p = V.points(spark, sf)
+    return sparse_apply(basis_entries(p, LAYERS, "id", "east", "north"), coefficients(spark, sf), "id", points=p)
 
 
-@query("d31_layer_contributions", "points", "SELECT id, layer, sum(a * p_retailprice / 1000) AS value FROM entries JOIN part ON p_partkey = knot GROUP BY id, layer",
+@query("d31_layer_contributions", "points", "SELECT id, layer, sum(a * coalesce(p_retailprice, 0) / 1000) AS value FROM entries LEFT JOIN part ON p_partkey = knot GROUP BY id, layer",
        rnd="value", ints="layer", ctes=ENTRIES)
 def _(spark, sf):
     return sparse_apply(basis_entries(V.points(spark, sf), LAYERS, "id", "east", "north"), coefficients(spark, sf), "id", by_layer=True)

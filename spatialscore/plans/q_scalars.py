@@ -98,12 +98,18 @@ def _(spark, sf):
     return r.select("id", "u", "v", e.alias("east"), n.alias("north"))
 
 
+def inside(swath, domain):
+    """All rows; places outside a projection's domain become NULL."""
+    return swath.withColumns({c: F.when(domain, F.col(c)) for c in ("lon", "lat")})
+
+
 @query("p10_mercator", "swath", """
     SELECT id, x, y, degrees(x / 6378.137::DOUBLE) AS lon, degrees(2e0 * atan(exp(y / 6378.137::DOUBLE)) - pi() / 2) AS lat FROM (
-      SELECT id, 6378.137::DOUBLE * radians(lon) AS x, 6378.137::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM swath WHERE abs(lat) < 85)""",
+      SELECT id, 6378.137::DOUBLE * radians(lon) AS x, 6378.137::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM (
+        SELECT id, CASE WHEN abs(lat) < 85 THEN lon END AS lon, CASE WHEN abs(lat) < 85 THEN lat END AS lat FROM swath))""",
        rnd="x y lon lat")
 def _(spark, sf):
-    s = V.swath(spark, sf).where(F.abs("lat") < 85)
+    s = inside(V.swath(spark, sf), F.abs("lat") < 85)
     x, y = Pj.mercator("lon", "lat")
     m = s.select("id", x.alias("x"), y.alias("y"))
     lon, lat = Pj.mercator("x", "y", inverse=True)
@@ -117,10 +123,11 @@ E_, N_, F_, R0_ = Pj.lcc_constants()
     SELECT id, rho * sin(th) AS x, {R0_!r}::DOUBLE - rho * cos(th) AS y FROM (
       SELECT id, {Pj.GRS80_A_KM * F_!r}::DOUBLE * pow(tan(pi() / 4 - phi / 2) / pow((1 - es) / (1 + es), {E_ / 2!r}::DOUBLE), {N_!r}::DOUBLE) AS rho,
         {N_!r}::DOUBLE * radians(lon + 96) AS th
-      FROM (SELECT id, lon, radians(lat) AS phi, {E_!r}::DOUBLE * sin(radians(lat)) AS es FROM swath WHERE lat > 0 AND lat < 80))""", rnd="x y")
+      FROM (SELECT id, lon, radians(lat) AS phi, {E_!r}::DOUBLE * sin(radians(lat)) AS es FROM (
+        SELECT id, CASE WHEN lat > 0 AND lat < 80 THEN lon END AS lon, CASE WHEN lat > 0 AND lat < 80 THEN lat END AS lat FROM swath)))""", rnd="x y")
 def _(spark, sf):
     x, y = Pj.lcc("lon", "lat")
-    return V.swath(spark, sf).where((F.col("lat") > 0) & (F.col("lat") < 80)).select("id", x.alias("x"), y.alias("y"))
+    return inside(V.swath(spark, sf), (F.col("lat") > 0) & (F.col("lat") < 80)).select("id", x.alias("x"), y.alias("y"))
 
 
 def _tmerc_sql() -> tuple[str, str]:

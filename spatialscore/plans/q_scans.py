@@ -305,11 +305,11 @@ def _(spark, sf):
 
 @query("u04_bin_centres", "preds", """
     SELECT DISTINCT floor(dist) + 0.5::DOUBLE AS centre FROM preds WHERE model = 'A' UNION
-    SELECT DISTINCT floor(2 * dist) + 0.5::DOUBLE FROM preds WHERE model = 'B'""", rnd="centre")
+    SELECT DISTINCT floor(2 * dist) + 0.5::DOUBLE FROM preds WHERE model <> 'A'""", rnd="centre")
 def _(spark, sf):
     p = V.preds(spark, sf)
     a = p.where("model = 'A'").select((F.floor("dist") + F.lit(0.5)).alias("centre"))
-    b = p.where("model = 'B'").select((F.floor(F.col("dist") * 2) + F.lit(0.5)).alias("centre"))
+    b = p.where("model <> 'A'").select((F.floor(F.col("dist") * 2) + F.lit(0.5)).alias("centre"))
     return a.union(b).distinct()
 
 
