@@ -7,11 +7,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import draws as D
-from .ordering import group_quantiles, ordered
+from .ordering import HASH_RANGE, group_quantiles, ordered, portable_hash, portable_hash_sql
 
 
 def summarise_draws(df: DataFrame, draws: str, level: float = 0.8, prefix: str = "") -> DataFrame:
@@ -127,20 +128,27 @@ def add_noise(df: DataFrame, id_col: str, draws: str, family: str, size: str | N
               rho: float | None = None, dispersion: float | None = None, seed: int = 0) -> DataFrame:
     """Observation noise on every draw.
 
-    The generator of a row is seeded by its id, so results do not depend on partitioning. Families:
-    binomial (needs ``size``), gaussian (``var``, one value or one per draw), beta (``rho``), gamma
-    (``dispersion``).
+    All randomness follows from the row's id and the seed, so results do not depend on partitioning.
+    Families: binomial (needs ``size``), gaussian (``var``, one value or one per draw), beta (``rho``),
+    gamma (``dispersion``). Binomial noise counts hashed uniforms below the draw and gaussian noise turns
+    two of them into a normal value, both as native expressions.
     """
     if (family, {"binomial": size, "gaussian": var, "beta": rho, "gamma": dispersion}.get(family, 0)) == (family, None):
         raise ValueError(f"{family} noise lacks its parameter")
-    extra = size or var
-
-    def noisy(rng, d, e):
-        if family == "binomial":
-            n = int(e)
-            return rng.binomial(n, np.clip(d, 0.0, 1.0)) / n if n > 0 else np.full(len(d), np.nan)
-        if family == "gaussian":
-            return d + rng.normal(size=len(d)) * np.sqrt(np.asarray(e, dtype=float))
+    if family == "binomial":
+        n = F.col(size).cast("int")
+        hits = lambda p, i: F.size(F.filter(
+            F.sequence(F.lit(1), n), lambda t: uniform(F.col("_h"), i + 1, t) < p)) / n.cast("double")
+        noise = F.when(n > 0, F.transform(F.col(draws), hits)).otherwise(F.transform(F.col(draws), lambda p: F.lit(float("nan"))))
+        return df.withColumn("_h", portable_hash(id_col, seed)).withColumn("noisy", noise).drop("_h")
+    if family == "gaussian":
+        per_draw = isinstance(df.schema[var].dataType, T.ArrayType)
+        normal = lambda i: F.sqrt(F.lit(-2.0) * F.ln(uniform(F.col("_h"), i + 1, F.lit(1)))) * F.cos(
+            F.lit(2.0 * np.pi) * uniform(F.col("_h"), i + 1, F.lit(2)))
+        noise = F.transform(F.col(draws), lambda v, i: v + normal(i) * F.sqrt(F.get(F.col(var), i) if per_draw else F.col(var)))
+        return df.withColumn("_h", portable_hash(id_col, seed)).withColumn("noisy", noise).drop("_h")
+
+    def noisy(rng, d):
         if family == "beta":
             s = 1.0 / rho - 1.0
             return rng.beta(np.clip(d * s, 1e-12, None), np.clip((1.0 - d) * s, 1e-12, None))
@@ -150,9 +158,19 @@ def add_noise(df: DataFrame, id_col: str, draws: str, family: str, size: str | N
         raise ValueError(f"unknown noise family {family!r}")
 
     @F.pandas_udf("array<double>")
-    def apply(ids: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
+    def apply(ids: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([
-            None if v is None else noisy(np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFFFFFF]), np.asarray(v, dtype=float), x)
-            for i, v, x in zip(ids, d, e)])
+            None if v is None else noisy(np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFFFFFF]), np.asarray(v, dtype=float))
+            for i, v in zip(ids, d)])
 
-    return df.withColumn("noisy", apply(F.col(id_col), F.col(draws), F.col(extra) if extra else F.lit(0.0)))
+    return df.withColumn("noisy", apply(F.col(id_col), F.col(draws)))
+
+
+def uniform(row_hash: Column, draw: Column, trial: Column) -> Column:
+    """Repeatable uniform in (0, 1) of a row, one of its draws and a trial."""
+    key = row_hash * F.lit(1 << 30) + draw.cast("bigint") * F.lit(1 << 15) + trial.cast("bigint")
+    return (portable_hash(key) + 0.5) / F.lit(float(HASH_RANGE))
+
+
+def uniform_sql(row_hash: str, draw: str, trial: str) -> str:
+    return f"(({portable_hash_sql(f'{row_hash} * {1 << 30} + {draw} * {1 << 15} + {trial}')}) + 0.5::DOUBLE) / {float(HASH_RANGE)!r}::DOUBLE"

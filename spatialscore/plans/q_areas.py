@@ -1,6 +1,8 @@
 """Queries for draws, areas, populations and lattices (D)."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import areal as Ar
@@ -8,7 +10,7 @@ from ..operators import posterior as Po
 from ..operators import scoring as Sc
 from ..operators import spatial as Sp
 from ..operators.lattice import lattice_sizes, smallest_lattice
-from ..operators.ordering import group_quantiles
+from ..operators.ordering import group_quantiles, portable_hash_sql
 from . import views as V
 from .q_joins import CENTROIDS, LAGS, THRESH
 from .q_scans import AREA_HITS
@@ -315,11 +317,23 @@ def _(spark, sf):
     return Po.effect_curve(params, knots, [], "walk", "slope", "vec_id", percent=True)
 
 
+PROBS = "list_transform(draws, lambda v: 1e0 / (1e0 + exp(-v)))"
+NOISE_SQL = {
+    "n01_binomial_noise": f"""
+    SELECT vec_id, area, list_transform(p, lambda v, i: len(list_filter(range(1, n + 1), lambda t: {Po.uniform_sql('h', 'i', 't')} < v)) / n::DOUBLE) AS draws
+    FROM (SELECT vec_id, area, 5 + vec_id % 20 AS n, {portable_hash_sql('vec_id', 7)} AS h, {PROBS} AS p FROM draws)""",
+    "n02_gaussian_noise": f"""
+    SELECT vec_id, area, list_transform(p, lambda v, i: round(v + sqrt(-2e0 * ln({Po.uniform_sql('h', 'i', '1')})) * cos({2 * math.pi!r}::DOUBLE
+      * {Po.uniform_sql('h', 'i', '2')}) * sqrt(0.25::DOUBLE), 6)) AS draws
+    FROM (SELECT vec_id, area, {portable_hash_sql('vec_id', 7)} AS h, {PROBS} AS p FROM draws)"""}
+
+
 for _family, _kw in {"n01_binomial_noise": {"family": "binomial", "size": "n"}, "n02_gaussian_noise": {"family": "gaussian", "var": "nugget"},
                      "n03_beta_noise": {"family": "beta", "rho": 0.1}, "n04_gamma_noise": {"family": "gamma", "dispersion": 0.2}}.items():
     def _noise(spark, sf, kw=_kw):
         d = V.draws(spark, sf).withColumns({
             "draws": F.transform("draws", lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))), "n": 5 + F.col("vec_id") % 20,
             "nugget": F.lit(0.25)})
-        return Po.add_noise(d, "vec_id", "draws", seed=7, **kw).select("vec_id", "area", F.col("noisy").alias("draws"))
-    query(_family)(_noise)
+        noisy = Po.add_noise(d, "vec_id", "draws", seed=7, **kw)
+        return noisy.select("vec_id", "area", F.transform("noisy", lambda v: F.round(v, 6)).alias("draws") if "var" in kw else F.col("noisy").alias("draws"))
+    query(_family, "draws", NOISE_SQL.get(_family), ints="area")(_noise)
