@@ -4,9 +4,9 @@ Documents with equal shingle sets are one class. Classes that share a band of si
 signatures are compared in batches, and a pair is given up as soon as the posterior probability that its similarity
 reaches the threshold is below ``miss``. What is left is verified on the full sets.
 
-Pairs within a bucket are not all formed: first every member meets the bucket's least member, and after the links that
-this finds only members of different components are compared, in tiles of bounded size. A link that is not looked at
-joins two documents of one component already.
+Pairs within a bucket are not all formed: first every member meets the bucket's leader, the one that shares most buckets
+with others. After the links that this finds, only members outside the leader's component meet the rest, in tiles of
+bounded size that are verified where they are. A link that is not looked at joins two documents of one component already.
 """
 from __future__ import annotations
 
@@ -166,11 +166,8 @@ def compared(x: np.ndarray, y: np.ndarray, cfg: Settings, least: list[int]) -> n
     return keep
 
 
-def verified(pairs: DataFrame, docs: DataFrame, cfg: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; only their texts are moved."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(wanted, "id", "left_semi"))
-
+def verified(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
@@ -178,61 +175,98 @@ def verified(pairs: DataFrame, docs: DataFrame, cfg: Settings, id_col: str, text
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last or held is None:
                     last, held = a, shingles(ta.as_py(), cfg.shingle)
-                other = shingles(tb.as_py(), cfg.shingle)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * both >= cfg.percent * (len(held) + len(other) - both))
+                keep.append(linked(held, shingles(tb.as_py(), cfg.shingle), cfg))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    links = stored(joined.mapInArrow(run, "a long, b long"))
-    discard(texts)
-    return links
+    return stored(joined.mapInArrow(run, "a long, b long"))
+
+
+def linked(x: np.ndarray, y: np.ndarray, cfg: Settings) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= cfg.percent * (len(x) + len(y) - both)
 
 
-def across(crowd: DataFrame, roots: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
-    """Likely pairs of one bucket whose members are in different components; the leader has met everyone before."""
+def across(crowd: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
+    """Verified links (a, b) between members of one bucket that are in different components.
+
+    The leader has met everyone, and members of its component need not meet each other. The others meet them and each
+    other, in tiles of at most about TILE by TILE rows; a tile emits the links that join its components, no more.
+    """
     least = cfg.least_matches()
-    rows = crowd.where("id <> leader").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    n = F.ceil(F.col("size") / TILE).cast("int")
-    placed = (rows.join(mixed.select("bucket", n.alias("blocks")), "bucket").join(classes.select("id", "n", "sig"), "id")
-              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "sig"))
-    tiles = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        block, ids, roots, n = (rows.column(c).to_numpy() for c in ("block", "id", "root", "n"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    root_of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+    rows = (crowd.where("id <> leader").join(root_of("id", "r"), "id", "left").join(root_of("leader", "lr"), "leader", "left")
+            .select("bucket", "id", F.coalesce("r", "id").alias("root"), F.coalesce("lr", "leader").alias("top"))
+            .withColumn("own", F.col("root") == F.col("top")))
+    out = (~F.col("own")).cast("long")
+    sizes = rows.groupBy("bucket").agg(F.sum(out).alias("apart"), F.sum(1 - out).alias("inside")).where("apart > 1 OR apart = 1 AND inside > 0")
+    blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    placed = rows.join(sizes.select("bucket", blocks("apart").alias("na"), blocks("inside").alias("ni")), "bucket").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("ni")).otherwise(F.col("na"))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    b = F.col("block")
+    inside = F.transform(upto(F.col("na")), lambda i: tile(1, i, b))
+    apart = F.concat(F.transform(upto(F.col("na")), lambda j: tile(0, F.least(b, j), F.greatest(b, j))),
+                     F.transform(upto(F.col("ni")), lambda j: tile(1, b, j)))
+    tiles = (placed.withColumn("t", F.explode(F.when(F.col("own"), inside).otherwise(apart)))
+             .join(classes.select("id", "n", "sig"), "id").join(texts, "id")
+             .select("bucket", "t.kind", "t.i", "t.j", "own", "block", "id", "root", "n", "sig", "text")
+             .repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j"))
+
+    def links_of(rows: pa.Table) -> list[tuple[int, int]]:
+        kind, i, j = (rows.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        own, block, ids, roots, n = (rows.column(c).to_numpy() for c in ("own", "block", "id", "root", "n"))
         sig = _matrix(rows.column("sig"), cfg)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        for x in left:
-            y = right[(right > x) if i == j else slice(None)]
-            y = y[(roots[y] != roots[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * cfg.percent)]
-            if len(y):
-                y = y[compared(np.broadcast_to(sig[x], (len(y), cfg.hashes)), sig[y], cfg, least)]
-                out.append(np.column_stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        left = np.flatnonzero(~own & (block == i))
+        right = np.flatnonzero(own) if kind else np.flatnonzero(block == j)
+        fits = roots[left][:, None] != roots[right][None, :]
+        fits &= np.minimum.outer(n[left], n[right]) * 100 >= np.maximum.outer(n[left], n[right]) * cfg.percent
+        if not kind and i == j:
+            fits &= left[:, None] < right[None, :]
+        first = slice(0, cfg.batch)
+        for row, x in enumerate(left):
+            y = np.flatnonzero(fits[row])
+            fits[row, y] = (sig[right[y], first] == sig[x, first]).sum(axis=1) >= least[0]
+        xs, ys = np.nonzero(fits)
+        xs, ys = left[xs], right[ys]
+        keep = compared(sig[xs], sig[ys], cfg, least)
+        texts, sets, parent, out = rows.column("text"), {}, {}, []
+
+        def top(r: int) -> int:
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        def set_of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingles(texts[x].as_py(), cfg.shingle)
+            return sets[x]
+        for x, y in zip(xs[keep].tolist(), ys[keep].tolist()):
+            a, b = top(int(roots[x])), top(int(roots[y]))
+            if a != b and linked(set_of(x), set_of(y), cfg):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[y])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
         rest: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            key = np.column_stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            key = np.column_stack([table.column(c).to_numpy() for c in ("bucket", "kind", "i", "j")])
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
-                    yield pairs_of(table.slice(a, b - a))
+                    yield batch_of(links_of(table.slice(a, b - a)))
             rest = table.slice(cuts[-1])
         if rest is not None and rest.num_rows > 1:
-            yield pairs_of(rest)
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+            yield batch_of(links_of(rest))
+    return stored(tiles.mapInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,16 +282,21 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "
     member = stored(sets.select("id", "n", "key").join(of_key, "key", "left").select("id", "n", "class_id"))
     classes = stored(sets.join(of_key.select(F.col("class_id").alias("id"), "key"), ["id", "key"], "left_semi").select("id", "n", "sig"))
     bands = stored(band_keys(classes, cfg))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowd = stored(bands.join(shared, "bucket").select("bucket", "id", "leader"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(bands.join(shared, "bucket").select("bucket", "id", "size"))
     discard(bands)
+    # The centre of a family of copies shares more buckets with its members than they do with each other.
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    lead = met.join(degree, "id").groupBy("bucket").agg((-F.max(F.struct("degree", (-F.col("id")).alias("m")))["m"]).alias("leader"))
+    crowd = stored(met.join(lead, "bucket").select("bucket", "id", "leader"))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = stored(texts.join(degree.select("id"), "id", "left_semi"))
     own = member.where("class_id <> id").select(F.col("id").alias("a"), F.col("class_id").alias("b")).join(
         classes.select(F.col("id").alias("a")), "a", "left_semi")
     stars = stored(likely(crowd.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), classes, cfg))
-    first = verified(stars, docs, cfg, id_col, text_col)
+    first = verified(stars, texts, cfg)
     roots = components(first.unionByName(own))
-    more = stored(across(crowd, roots, classes, cfg))
-    links = verified(more, docs, cfg, id_col, text_col)
+    links = across(crowd, roots, classes, texts, cfg)
     root = lambda d, c: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c))
     joined = components(root(root(links, "a"), "b").select("a", "b")).withColumnsRenamed({"node": "mid", "root": "top"})
     all_rows = member.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("mid", F.coalesce("root", "class_id"))
