@@ -101,10 +101,16 @@ def test_tiles_find_links_between_components(spark, monkeypatch):
     sig = {i: neardup.signature(neardup.shingles(t, 4), cfg.hashes).tobytes() for i, t in texts.items()}
     n = {i: len(neardup.shingles(t, 4)) for i, t in texts.items()}
     classes = spark.createDataFrame([(i, n[i], bytearray(sig[i])) for i in texts], "id long, n long, sig binary")
-    crowd = spark.createDataFrame([(5, i, -1) for i in texts], "bucket long, id long, leader long")
-    roots = spark.createDataFrame([(7, 1)], "node long, root long")
-    got = {tuple(r) for r in neardup.across(crowd, roots, classes, cfg).collect()}
-    assert got == {(a, b) for a in texts for b in texts if a < b and a % 2 == b % 2 and (a, b) != (1, 7)}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for leader, linked in ((-1, [(7, 1)]), (7, [(7, 1)]), (0, [(2, 0), (4, 0), (6, 0)])):
+        crowd = spark.createDataFrame([(5, i, leader) for i in texts], "bucket long, id long, leader long")
+        roots = spark.createDataFrame(linked, "node long, root long")
+        found = [tuple(r) for r in neardup.across(crowd, roots, classes, rows, cfg).collect()]
+        parent = {i: i for i in texts}
+        for a, b in found + linked:
+            parent = {i: min(parent[a], parent[b]) if r in (parent[a], parent[b]) else r for i, r in parent.items()}
+        assert all(a % 2 == b % 2 for a, b in found)
+        assert all(parent[i] == i % 2 for i in texts if i != leader)
 
 
 def test_posterior_bounds():
