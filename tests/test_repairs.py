@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spatialscore.functions import transforms as Tr
 from spatialscore.operators import compare as Cm
 from spatialscore.operators import kriging as Kr
 from spatialscore.operators import posterior as Po
@@ -12,6 +13,7 @@ from spatialscore.operators.lattice import basis_entries, lattice, sparse_apply
 from spatialscore.operators.ordering import HASH_RANGE, portable_hash, portable_hash_sql
 from spatialscore.operators.spatial import preceding_neighbours
 from spatialscore.sources.tables import read_whitespace
+from spatialscore.streaming.scores import ingest_stream, running_binned_scores
 
 
 def ids(spark, n, seed, step=1):
@@ -110,3 +112,39 @@ def test_null_distance_is_not_the_pooled_row(spark):
     d = scored(spark, [("m", 1.0), ("m", 2.0), ("m", None)], "model string, dist double")
     rows = St.scores_by_even_distance(d, "dist", 3, ["model"]).where("bin IS NULL").collect()
     assert sorted((r["pooled"], r["n_per_bin"]) for r in rows) == [(False, 1), (True, 3)]
+
+
+def test_matern_of_any_smoothness(spark):
+    """The integral against the closed forms and a known value: K_1(1) = 0.6019072301972346."""
+    d = spark.createDataFrame([(0.0,), (1e-6,), (0.3,), (1.0,), (4.0,), (30.0,), (None,)], "d double")
+    for nu in (0.5, 1.5, 2.5):
+        rows = d.select(Tr.correlation("d", "matern", 2.0, nu).alias("a"), Tr.integrated_matern(F.col("d") / 2.0, nu).alias("b")).collect()
+        assert all((r["a"] is None and r["b"] is None) or abs(r["a"] - r["b"]) < 1e-9 for r in rows)
+    one = spark.range(1).select(Tr.correlation(F.lit(1.0 / np.sqrt(2.0)), "matern", 1.0, 1.0).alias("c")).first()["c"]
+    assert abs(one - 0.6019072301972346) < 1e-9
+    with pytest.raises(ValueError):
+        Tr.correlation("d", "spherical", 1.0)
+
+
+def test_many_nuggets_are_one_expression(spark):
+    v = [0.01 * i for i in range(1000)]
+    got = spark.createDataFrame([(2.0,), (None,)], "sd double").select(Tr.add_nugget_sd("sd", v).alias("s")).collect()
+    assert got[0]["s"] == pytest.approx(np.sqrt(4 + np.array(v)).mean()) and got[1]["s"] is None
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row older than the watermark of an earlier batch no longer counts; one within it does."""
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    schema = "ts timestamp, model string, crps double"
+    batches = [[("2024-01-01 12:00:00", 1.0), ("2024-01-20 00:00:00", 1.0)], [("2024-01-02 00:00:00", 9.0), ("2024-01-19 06:00:00", 3.0)],
+               [("2024-02-20 00:00:00", 1.0)]]
+    for rows in batches:
+        pdf = pd.DataFrame([(pd.Timestamp(t), "m", c) for t, c in rows], columns=["ts", "model", "crps"])
+        spark.createDataFrame(pdf, schema).coalesce(1).write.mode("append").parquet(src)
+        agg = running_binned_scores(ingest_stream(spark, src, schema, []), "ts", "2 days", "1 day", ["model"], ["crps"])
+        q = (agg.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(out))
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = {(str(r["day"])[:10], r["n"], r["crps"]) for r in spark.read.parquet(out).collect()}
+    assert ("2024-01-19", 1, 3.0) in got and ("2024-01-01", 1, 1.0) in got
+    assert not any(day == "2024-01-02" for day, _, _ in got)
