@@ -118,8 +118,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbers of lines before and of those deleted, and ``_spans``, the 0-based lines deleted. A run counts from
     ``min_words`` words on, so a shorter repeated line stays; the first copy in the order of (id, hash of the text,
     line) stays too, so no line's text is lost altogether. Null texts stay null with 0 lines, an empty text is one
-    empty line. Repeated rows of one id and text are one document and are treated alike. Columns may have any other
-    names but those three. The texts are read twice and shuffled once.
+    empty line. Repeated rows of one id and text are one document and are treated alike; a row without an id has no
+    place in the order and keeps all its lines. Columns may have any other names but those three. The texts are read twice and shuffled once.
     """
     removed = later_copies(docs, id_col, text_col, min_words).select(
         F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("removed").alias("_spans"))

@@ -41,9 +41,9 @@ def test_line_runs_of_few_kinds(spark):
 
 def test_first_copy_of_a_passage_stays(spark):
     passage = "\n".join(" ".join(f"w{i}{j}" for j in range(30)) for i in range(2))
-    d = spark.createDataFrame([(3, f"x\n{passage}\ny"), (1, f"own\n{passage}"), (2, "clean\nlines"), (2, "clean\nlines")], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["text"]) for r in linedup.dedup_lines(d).collect())
-    assert got == [(1, f"own\n{passage}"), (2, "clean\nlines"), (2, "clean\nlines"), (3, "x\ny")]
+    d = spark.createDataFrame([(3, f"x\n{passage}\ny"), (1, f"own\n{passage}"), (2, "clean\nlines"), (2, "clean\nlines"), (None, passage)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in linedup.dedup_lines(d).collect())
+    assert got == [(0, passage), (1, f"own\n{passage}"), (2, "clean\nlines"), (2, "clean\nlines"), (3, "x\ny")]
 
 
 def brute_components(rows, k, percent=80):
