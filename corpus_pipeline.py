@@ -16,7 +16,7 @@ MIN_WORDS = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; texts without letters and ties between languages go."""
+    """Documents whose language is determined; texts without letters or with a margin too narrow for their length go."""
     model = langid.fit(docs)
     return docs.withColumn("_r", langid.identify(docs, model)).where("NOT _r.rejected").select(*docs.columns)
 

@@ -107,6 +107,18 @@ def test_languages_of_odd_rows(spark):
     assert none.names == () and odd.select(langid.identify(odd, none).alias("r")).select("r.lang").distinct().collect()[0][0] == "und"
 
 
+def test_short_documents_stay_and_texts_of_no_language_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    judge = langid.Judge(langid.fit(docs))
+    short = [(r["lang"], judge(r["text"])) for r in docs.where("length(text) < 60").collect()]
+    assert len(short) >= 10 and not any(r[2] for _, r in short)
+    assert np.mean([lang == r[0] for lang, r in short]) >= 0.9
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = [" ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(300)) for _ in range(50)]
+    assert all(judge(t)[2] for t in noise)
+
+
 def held_out_rates(spark, df, label):
     rows = df.join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
     hit = [r["predicted"] for r in rows if r[label] == 1]
