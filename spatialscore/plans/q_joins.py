@@ -217,4 +217,5 @@ def _(spark, sf):
 @query("d31_layer_contributions", "points", "SELECT id, layer, sum(a * coalesce(p_retailprice, 0) / 1000) AS value FROM entries LEFT JOIN part ON p_partkey = knot GROUP BY id, layer",
        rnd="value", ints="layer", ctes=ENTRIES)
 def _(spark, sf):
-    return sparse_apply(basis_entries(V.points(spark, sf), LAYERS, "id", "east", "north"), coefficients(spark, sf), "id", by_layer=True)
+    p = V.points(spark, sf)
+    return sparse_apply(basis_entries(p, LAYERS, "id", "east", "north"), coefficients(spark, sf), "id", by_layer=True, points=p)

@@ -192,7 +192,8 @@ def _(spark, sf):
     layers = lattice((0.0, 100.06), (0.0, 100.08), nc=6, n_buffer=2, n_layer=2)
     p = V.points(spark, sf).withColumn("z", F.col("truth") - 250.0)
     coef = Tr.basis_ridge(p.where("role = 'train'"), layers, 1.0, "id", "east", "north", "z")
-    pred = sparse_apply(basis_entries(p.where("role = 'test'"), layers, "id", "east", "north"), coef, "id")
+    test = p.where("role = 'test'")
+    pred = sparse_apply(basis_entries(test, layers, "id", "east", "north"), coef, "id", points=test)
     return pred.select("id", (F.col("value") + 250.0).alias("pred"))
 
 

@@ -148,3 +148,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = {(str(r["day"])[:10], r["n"], r["crps"]) for r in spark.read.parquet(out).collect()}
     assert ("2024-01-19", 1, 3.0) in got and ("2024-01-01", 1, 1.0) in got
     assert not any(day == "2024-01-02" for day, _, _ in got)
+
+
+def test_basis_queries_keep_a_point_outside_the_lattice(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from spatialscore.plans import views
+
+    pts = views.points(spark, "/root/testdata/sf0.001").cache()
+    far = pts.where("role = 'test'").limit(1).withColumns({"id": F.lit(-1).cast(pts.schema["id"].dataType), "east": F.lit(9e3), "north": F.lit(9e3)})
+    both = pts.unionByName(far).cache()
+    monkeypatch.setattr(views, "points", lambda *a: both)
+    got = queries()["m11_basis_regression"](spark, "/root/testdata/sf0.001").where("id = -1").collect()
+    assert [r["pred"] for r in got] == [250.0]
+    got = queries()["d31_layer_contributions"](spark, "/root/testdata/sf0.001").where("id = -1").collect()
+    assert len(got) >= 1 and {r["value"] for r in got} == {0.0}
