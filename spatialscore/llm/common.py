@@ -59,3 +59,18 @@ def ascii_lower(c: Column) -> Column:
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than that."""
     return df.limit(bound + 1).count() <= bound
+
+
+def heavy_join(rows: DataFrame, values: DataFrame, keys: str | list[str], n: str, how: str = "left", parts: int = 1000) -> DataFrame:
+    """``rows`` joined (left or inner) with one row of ``values`` per key, whose column ``n`` says how many of ``rows`` have it.
+
+    Keys with more than one in ``parts`` of the counted rows, fewer than ``parts`` in number whatever the data, are
+    broadcast, so no task has to take all rows of a frequent key; the others are joined by shuffle. ``rows`` are read
+    twice, ``values`` three times.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    total = values.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * parts > F.lit(total)
+    few, many = F.broadcast(values.where(heavy)), values.where(~heavy)
+    others = rows.join(few.select(*keys), keys, "left_anti") if how == "left" else rows
+    return rows.join(few, keys).unionByName(others.join(many, keys, how))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linedup, neardup, quality, topk, toxicity, urls
+from . import align, bpe, chat, decontam, langid, linedup, neardup, quality, simhash, topk, toxicity, urls, whiten
 from .common import crc_mod, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,26 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("ratio")
 
 
+@query
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of two tokenizers for every document and how common its linked pairs of ids are."""
+    rows = align.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return align.scored(rows.withColumn("groups_sha256", digest).drop("groups"))
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, by fingerprints of 3-word shingles that differ in 3 bits at most."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+@query
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 16 whitened components."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 CHECKS["op2_topk"] = """
 WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)) FOR x IN embedding]), true)),
