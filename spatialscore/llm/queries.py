@@ -101,8 +101,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
-    labels = stored(table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", F.col("toxic").alias("label")))
-    stems = toxicity.learn_stems(docs.select("doc_id", "text").where(~held).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", F.col("toxic").alias("label"))
+    taught = toxicity.labelled_sample(labels.where(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False))))
+    stems = toxicity.learn_stems(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id"))
     rows = stored(docs.select("doc_id", held.alias("held_out"), toxicity.totals(docs.text, toxicity.Grammar(stems)).alias("total")))
     curve = toxicity.calibrate(rows.where("NOT held_out").join(labels, "doc_id"))
     scored = rows.select("doc_id", "held_out", curve.probability(F.col("total")).alias("score"))

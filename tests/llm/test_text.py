@@ -165,27 +165,70 @@ def test_quality_of_odd_rows(spark):
 def test_grammar_weighs_clauses_not_words():
     g = toxicity.Grammar({"blork": 0.8, "zot$": 0.5})
     t = g.total
-    assert t("an idiot") == 1.0 and t("you idiot") == 1.25
-    assert t("not an idiot") == pytest.approx(0.3) and t("not at all such an idiot") > t("not an idiot")
-    assert t("they said you idiot") == pytest.approx(1.25 * 0.6) and t("they said hello. you idiot") == 1.25
-    assert t("I will kill you") < t("you they will kill") and t("kill time") < 0.3
-    assert t("blorkian") == 0.8 and t("zot") == 0.5 and t("zotty") == 0 and t(None) == 0 and t("") == 0
+    direct = t("you are an idiot")
+    assert direct == t("you idiot") == t("He is such a total moron") == 1.25 and t("an idiot") == 0.25
+    assert t("idiots like you") == pytest.approx(0.25 + 1.25) and t("people, this is so dumb") == 1.25
+    assert t("you are not an idiot") == pytest.approx(1.25 * 0.3) and t("not an idiot") == pytest.approx(0.25 * 0.3)
+    assert t("blorkian") == pytest.approx(0.8 * 0.25) and t("zot") == 0.125 and t("zotty") == 0 and t(None) == 0 and t("") == 0
+    assert t("you blork") == 1.25 * 0.8 and t("blorks like them") == pytest.approx(0.8 * 1.5)
     assert [c for c, _ in g.clauses("fine day, you moron! bye")] == ["you moron"]
+    assert [c for c, _ in g.clauses("you moron, they hurt him; fine")] == ["you moron", "they hurt him"]
+
+
+def test_reported_speech_reaches_quotations():
+    t = toxicity.Grammar({}).total
+    direct = t("you are an idiot")
+    for text in ("She said: you are an idiot", '"You idiot," he said', "he said that you are an idiot", "«You idiot», she wrote", "according to her, you are an idiot"):
+        assert t(text) == pytest.approx(0.4 * direct), text
+    assert t("I said you are an idiot") == direct and t("they said hello. you idiot") == direct
+    assert t("you idiot said hello") == direct
+
+
+def test_threats_over_several_words():
+    t = toxicity.Grammar({}).total
+    assert t("kill time") == 0.02 and t("I will kill time") == 0.8
+    assert t("I will kill you") == t("going to hurt you") == pytest.approx(1.6) and t("hope you die") == t("they should be burn") == 0.8
+    assert t("I will not kill you") == pytest.approx(0.3 * 1.6) and t("she said I will kill you") == pytest.approx(0.4 * 1.6)
+    assert t("you, my dear friend of old, attack") == 0.4
 
 
 def test_composition_is_the_chain_of_transducers():
     g = toxicity.Grammar({})
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        words = list(rng.choice(["idiot", "kill", "you", "not", "said", "x"], 12))
+    for _ in range(400):
+        words = list(rng.choice(["idiot", "kill", "you", "not", "said", "x", "will", "a", ",", "i"], 12))
         symbols = [g.symbol(w)[0] for w in words]
-        for t in g.cascade:
+        for t, order in [(g.backward, -1), *((t, 1) for t in g.cascade)]:
             state, out = 0, []
-            for s in symbols:
+            for s in symbols[::order]:
                 state, x = t.step(state, s)
                 out.append(x)
-            symbols = out
-        assert g.clause(words) == pytest.approx(sum(toxicity.weight(s) for s in symbols))
+            symbols = out[::order]
+        assert g.weights(words) == pytest.approx([toxicity.weight(s) for s in symbols])
+
+
+def test_stems_against_plain_counts(spark):
+    """All stems that pass the odds test are kept, the shortest of nested ones, whatever their number."""
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(900)]
+    rows = [(" ".join(rng.choice(made[:500] if y == 0 or k % 3 else made, 8)), y) for k in range(1200) for y in (int(k % 2),)] + [(None, 1), ("", 0), (None, None)]
+    d = spark.createDataFrame(rows, "text string, label int").repartition(4)
+    count = {}
+    for text, y in rows:
+        for s in toxicity._stems_of(text) if y is not None else ():
+            count.setdefault(s, [0, 0])[y] += 1
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    good = {s for s, (neg, pos) in count.items() if pos >= 3 and ((pos + 0.5) / (n[1] + 1)) / ((neg + 0.5) / (n[0] + 1)) >= 4}
+    want = {s: count[s][1] / sum(count[s]) for s in good if not any(s != o and s.startswith(o) for o in good)}
+    got = toxicity.learn_stems(d, least_rows=3, least_odds=4.0)
+    assert got == want and len(want) > 50
+
+
+def test_labelled_sample_is_bounded(spark):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None), (8, 1)], "doc_id long, label int")
+    got = toxicity.labelled_sample(labels, most=60).groupBy("label").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 60), (1, 60)]
+    assert toxicity.labelled_sample(labels, most=1000).count() == 400 and toxicity.labelled_sample(labels.limit(0)).count() == 0
 
 
 def test_stems_and_curve(spark):
@@ -198,7 +241,7 @@ def test_stems_and_curve(spark):
     rows = d.select("label", toxicity.totals(d.text, grammar).alias("total"))
     curve = toxicity.calibrate(rows)
     p = {r[0]: r[1] for r in rows.select("total", curve.probability(F.col("total"))).distinct().collect()}
-    assert p[0.0] < 0.3 < p[1.0]
+    assert len(p) == 2 and p[0.0] < 0.3 < p[max(p)]
     flat = toxicity.calibrate(rows.limit(0))
     assert flat.offset < 0 < flat.slope
 
