@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import wendland_inside
@@ -106,6 +106,25 @@ def basis_entries(points: DataFrame, layers: list[Layer], pid: str, x: str, y: s
         wendland_inside("s").alias("a"))
 
 
+def basis_row(layers: list[Layer], x: str, y: str) -> Column:
+    """The entries of :func:`basis_entries` of a row's point as ARRAY<STRUCT<layer, knot, a>>."""
+    def axis(c: str, c0: float, w: float, n: int) -> Column:
+        t = (F.col(c) - F.lit(c0)) / F.lit(w)
+        a, b = F.greatest(F.ceil(t - OVERLAP), F.lit(0)).cast("int"), F.least(F.floor(t + OVERLAP), F.lit(n - 1)).cast("int")
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+    def entries(l: Layer) -> Column:
+        def entry(kx: Column, ky: Column) -> Column:
+            dx, dy = F.col(x) - (F.lit(l.x0) + kx * F.lit(l.width)), F.col(y) - (F.lit(l.y0) + ky * F.lit(l.width))
+            return F.struct(F.lit(l.layer).alias("layer"), (kx.cast("long") * l.ny + ky).alias("knot"),
+                            (F.sqrt(dx * dx + dy * dy) / F.lit(l.width * OVERLAP)).alias("s"))
+        ky = axis(y, l.y0, l.width, l.ny)
+        return F.flatten(F.transform(axis(x, l.x0, l.width, l.nx), lambda i: F.transform(ky, lambda j: entry(i, j))))
+
+    inside = F.filter(F.concat(*[entries(l) for l in layers]), lambda e: e["s"] < 1.0)
+    return F.transform(inside, lambda e: F.struct(e["layer"].alias("layer"), e["knot"].alias("knot"), wendland_inside(e["s"]).alias("a")))
+
+
 def sparse_apply(entries: DataFrame, coef: DataFrame, pid: str, by_layer: bool = False, value: str = "c",
                  points: DataFrame | None = None) -> DataFrame:
     """Basis times coefficients, optionally per layer.

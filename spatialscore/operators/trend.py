@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .compare import arg_max
-from .lattice import Layer, basis_entries
+from .lattice import Layer, basis_row
+from .sparse import conjugate_gradients
 
 
 @dataclass(frozen=True)
@@ -95,31 +97,34 @@ def variogram_fit(vg: DataFrame, bounds: dict[str, tuple[float, float]], steps:
     return best
 
 
-def basis_ridge(df: DataFrame, layers: list[Layer], lam: float, pid: str, x: str, y: str, value: str,
-                max_knots: int = 6000) -> DataFrame:
-    """Ridge coefficients (layer, knot, c) of the multiresolution basis.
+def normal_equations(df: DataFrame, layers: list[Layer], x: str, y: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Sparse Gram matrix (i, j, v), both halves, and right side (i, b) of the basis; knots are numbered over all layers.
 
-    The Gram matrix is summed on Spark from each point's few basis entries; its size is set by the
-    lattice, not by the data, and is checked before the small solve.
+    Points are dealt by ranges of their place first, however many share one, so that a task meets few knots and its
+    partial sums are few; what is shuffled then grows with the lattice.
     """
-    size = sum(l.nx * l.ny for l in layers)
-    if size > max_knots:
-        raise ValueError(f"the lattice has {size} knots, more than {max_knots}")
+    start = np.cumsum([0] + [l.nx * l.ny for l in layers]).tolist()
+    cell = [F.floor((F.col(c) - F.lit(o)) / F.lit(layers[0].width)).cast("long") for c, o in ((x, layers[0].x0), (y, layers[0].y0))]
+    near = df.select(x, y, F.col(value).cast("double").alias("_v")).where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("_v").isNotNull())
+    near = near.repartitionByRange(*cell, F.xxhash64(x, y, "_v"))
+    row = F.transform(basis_row(layers, x, y), lambda e: F.struct(
+        (F.element_at(F.lit(start), e["layer"]) + e["knot"]).alias("j"), e["a"].alias("a")))
+    one = near.select("_v", row.alias("_row")).select("_v", "_row", F.inline("_row").alias("i", "ai"))
+    rhs = one.groupBy("i").agg(F.sum(F.col("ai") * F.col("_v")).alias("b"))
+    half = one.select("i", "ai", F.inline("_row")).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("ai") * F.col("a")).alias("v"))
+    half = cut_lineage(half)
+    return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), cut_lineage(rhs)
+
+
+def basis_ridge(df: DataFrame, layers: list[Layer], lam: float, x: str, y: str, value: str, tolerance: float = 1e-12) -> DataFrame:
+    """Ridge coefficients (layer, knot, c) of the multiresolution basis, for every knot near a point.
+
+    Knots without points have the coefficient 0 and no row. The lattice may have any number of knots: the normal
+    equations are sparse, and conjugate gradients solve them on Spark.
+    """
+    gram, rhs = normal_equations(df, layers, x, y, value)
+    solved = conjugate_gradients(gram, rhs, lam, tolerance)
     start = np.cumsum([0] + [l.nx * l.ny for l in layers])
-    offset = F.element_at(F.array(*[F.lit(int(s)) for s in start[:-1]]), F.col("layer"))
-    e = basis_entries(df, layers, pid, x, y).select(pid, (F.col("knot") + offset).cast("int").alias("j"), "a")
-    per = e.groupBy(pid).agg(F.collect_list(F.struct("j", "a")).alias("_row")).join(df.select(pid, F.col(value).alias("_v")), pid)
-    one = per.select(F.inline("_row"), "_row", "_v")
-    rhs = one.groupBy("j").agg(F.sum(F.col("a") * F.col("_v")).alias("b"))
-    two = one.select(F.col("j").alias("i"), F.col("a").alias("ai"), F.inline("_row")).where("i <= j")
-    gram = two.groupBy("i", "j").agg(F.sum(F.col("ai") * F.col("a")).alias("g"))
-    gp, bp = gram.toPandas(), rhs.toPandas()
-    m = np.zeros((size, size))
-    m[gp["i"], gp["j"]] = gp["g"]
-    m[gp["j"], gp["i"]] = gp["g"]
-    b = np.zeros(size)
-    b[bp["j"]] = bp["b"]
-    c = np.linalg.solve(m + lam * np.eye(size), b)
-    layer = np.searchsorted(start, np.arange(size), side="right")
-    rows = [(int(layer[k]), int(k - start[layer[k] - 1]), float(c[k])) for k in range(size)]
-    return df.sparkSession.createDataFrame(rows, "layer int, knot long, c double")
+    layer = sum((F.col("i") >= F.lit(int(s))).cast("int") for s in start[:-1])
+    return solved.select(layer.alias("layer"), "i", F.col("x").alias("c")).select(
+        "layer", (F.col("i") - F.element_at(F.lit(start[:-1].tolist()), F.col("layer"))).cast("long").alias("knot"), "c")

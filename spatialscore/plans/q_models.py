@@ -10,12 +10,13 @@ from ..operators import scoring as Sc
 from ..operators import strata as St
 from ..operators import trend as Tr
 from ..operators.filters import in_box, on_day_of_year, quality_ok
-from ..operators.lattice import basis_entries, lattice, sparse_apply
+from ..operators.lattice import basis_entries, sparse_apply
 from ..operators.sampling import equal_parts, stratified_folds
 from ..operators.spatial import bounded_blocks, directional_variogram, stratified_nearest, variogram
 from ..streaming.scores import ingest_stream, running_binned_scores
 from . import views as V
 from .q_areas import DIRECTED, SQUARE
+from .q_joins import ENTRIES, LAYERS
 from .q_scans import scratch
 from .registry import query
 
@@ -187,16 +188,32 @@ def _(spark, sf):
     return Tr.variogram_fit(vg.select("h", "gamma"), BOUNDS).withColumn("sse", F.round("sse", 0))
 
 
+def basis_fit(spark, sf):
+    """Points with z, and the ridge coefficients of the training points (penalty 1)."""
+    p = V.points(spark, sf).withColumn("z", F.col("truth") - 250.0)
+    return p, Tr.basis_ridge(p.where("role = 'train'"), LAYERS, 1.0, "east", "north", "z")
+
+
 @query("m11_basis_regression")
 def _(spark, sf):
-    layers = lattice((0.0, 100.06), (0.0, 100.08), nc=6, n_buffer=2, n_layer=2)
-    p = V.points(spark, sf).withColumn("z", F.col("truth") - 250.0)
-    coef = Tr.basis_ridge(p.where("role = 'train'"), layers, 1.0, "id", "east", "north", "z")
+    p, coef = basis_fit(spark, sf)
     test = p.where("role = 'test'")
-    pred = sparse_apply(basis_entries(test, layers, "id", "east", "north"), coef, "id", points=test)
+    pred = sparse_apply(basis_entries(test, LAYERS, "id", "east", "north"), coef, "id", points=test)
     return pred.select("id", (F.col("value") + 250.0).alias("pred"))
 
 
+@query("m11_normal_equations", "points", """
+    SELECT layer, knot, sum(a * (truth - 250)) AS rhs FROM entries JOIN points USING (id) WHERE role = 'train' GROUP BY layer, knot HAVING max(a) > 1e-6""",
+       rnd="rhs", ints="layer", ctes=ENTRIES, digits=1)
+def _(spark, sf):
+    # The solved coefficients, put back through the basis and its transpose, must give the right side at every knot.
+    p, coef = basis_fit(spark, sf)
+    e = basis_entries(p.where("role = 'train'"), LAYERS, "id", "east", "north")
+    fitted = sparse_apply(e, coef, "id")
+    back = e.join(fitted, "id").groupBy("layer", "knot").agg(F.sum(F.col("a") * F.col("value")).alias("v"), F.max("a").alias("top"))
+    return back.where("top > 1e-6").join(coef, ["layer", "knot"]).select("layer", "knot", (F.col("v") + F.col("c")).alias("rhs"))
+
+
 def validation(spark, sf):
     """Left-out predictions of two models for 8 stratified folds."""
     folds = stratified_folds(V.obs(spark, sf).select("id", "county", "region", "urban", "east", "north", "truth"), ["county", "urban"], "id")

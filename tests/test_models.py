@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spatialscore.operators import kriging as Kr
 from spatialscore.operators import trend as Tr
+from spatialscore.operators.sparse import conjugate_gradients
 from spatialscore.operators.lattice import lattice
 from spatialscore.plans import views as V
 from spatialscore.sources import tables as Tb
@@ -90,7 +91,10 @@ def test_ols_equals_numpy(field):
 def test_ridge_equals_numpy(field, spark):
     df, pdf = field
     layers = lattice((0.0, 10.0), (0.0, 10.0), nc=4, n_buffer=1, n_layer=1)
-    c = Tr.basis_ridge(df, layers, 0.5, "id", "x", "y", "z").toPandas().sort_values("knot")["c"].to_numpy()
+    got = Tr.basis_ridge(df, layers, 0.5, "x", "y", "z").toPandas()
+    assert set(got["layer"]) == {1}
+    c = np.zeros(layers[0].nx * layers[0].ny)
+    c[got["knot"]] = got["c"]
     l = layers[0]
     k = np.array([[l.x0 + i * l.width, l.y0 + j * l.width] for i in range(l.nx) for j in range(l.ny)])
     s = np.sqrt(((pdf[["x", "y"]].to_numpy()[:, None] - k[None]) ** 2).sum(-1)) / l.theta
@@ -98,6 +102,22 @@ def test_ridge_equals_numpy(field, spark):
     assert np.allclose(c, np.linalg.solve(a.T @ a + 0.5 * np.eye(len(k)), a.T @ pdf["z"]))
 
 
+def test_solver_of_many_unknowns(spark):
+    """A chain of 20,000 unknowns, more than a dense solve takes; its solution is known."""
+    n = 20_000
+    m = spark.range(n).select("id", F.explode(F.array(F.col("id") - 1, "id", F.col("id") + 1)).alias("j")).where(f"j >= 0 AND j < {n}")
+    m = m.select(F.col("id").alias("i"), "j", F.when(F.col("id") == F.col("j"), 2.0).otherwise(-1.0).alias("v"))
+    want = F.sin(F.col("i") / 50.0)
+    x = spark.range(n).select(F.col("id").alias("i"), F.sin(F.col("id") / 50.0).alias("x"))
+    rhs = m.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("b"))
+    rhs = rhs.join(x, "i").select("i", (F.col("b") + 0.5 * F.col("x")).alias("b"))
+    got = conjugate_gradients(m, rhs, 0.5)
+    off = got.select(F.max(F.abs(F.col("x") - want)).alias("e"), F.count("x").alias("n")).first()
+    assert off["n"] == n and off["e"] < 1e-9
+    assert conjugate_gradients(m, rhs.withColumn("b", F.lit(0.0)), 0.5).agg(F.max(F.abs("x"))).first()[0] == 0.0
+    assert conjugate_gradients(m, rhs.limit(0)).count() == 0
+
+
 def test_variogram_fit_recovers_parameters(spark):
     h = np.linspace(0.2, 10, 40)
     vg = spark.createDataFrame(pd.DataFrame({"h": h, "gamma": 1.0 + 4.0 * (1 - np.exp(-h / 2.0))}))
