@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import as_col
 from ..session import cut_lineage
+from .rings import points_in_rings
 
 SIDE = 4          # cells per side that a cell is split into (two bits of the index)
 MAX_LEVEL = 20    # 4^20 cells per side is finer than the coordinates' precision needs
@@ -290,50 +290,13 @@ def nearest_centroid(x: str, y: str, centroids: list[tuple[float, float]]) -> Co
 
 # --- polygons -------------------------------------------------------------------------------------
 
-def inside_ring(px, py, vertices) -> Column:
-    """Half-open crossing test: a point on a left or lower edge is inside, on a right or upper edge outside."""
-    px, py, v = as_col(px), as_col(py), as_col(vertices)
-
-    def step(acc, i):
-        a, b = F.element_at(v, i), F.element_at(v, F.when(i == F.size(v), F.lit(1)).otherwise(i + 1))
-        spans = (a["y"] > py) != (b["y"] > py)
-        # Evaluated only when the edge spans the point's height, so the divisor is not 0.
-        at = a["x"] + (py - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"])
-        return F.when(spans & (px < at), ~acc).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(v)), F.lit(False), step)
-
-
-def area_candidates(points: DataFrame, rings: DataFrame, x: str, y: str, levels: int = 12) -> DataFrame:
-    """Pairs of points and rings whose box holds the point.
-
-    Every ring is filed under the grid level whose cells are at least as large as its box (so at
-    most 2 x 2 cells), every point looks up its cell on each level in use.
-    """
-    v = F.col("vertices")
-    xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
-    boxed = rings.withColumns({"rx0": F.array_min(xs), "rx1": F.array_max(xs), "ry0": F.array_min(ys), "ry1": F.array_max(ys)})
-    ext = F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0"), F.lit(1e-9))
-    filed = boxed.withColumn("glvl", F.ceil(F.log2(ext)).cast("int"))
-    filed = filed.withColumn("gsize", F.pow(F.lit(2.0), F.col("glvl")))
-    idx = lambda c: F.floor(F.col(c) / F.col("gsize")).cast("bigint")
-    filed = filed.withColumn("gx", F.explode(F.sequence(idx("rx0"), idx("rx1")))).withColumn(
-        "gy", F.explode(F.sequence(idx("ry0"), idx("ry1"))))
-    used = sorted(r[0] for r in filed.select("glvl").distinct().collect())  # one number per box size class
-    sizes = F.array(*[F.struct(F.lit(u).alias("glvl"), F.lit(2.0**u).alias("gsize")) for u in used or [0]])
-    pts = points.select("*", F.inline(sizes)).withColumns({"gx": idx(x), "gy": idx(y)}).drop("gsize")
-    inbox = (F.col(x) >= F.col("rx0")) & (F.col(x) <= F.col("rx1")) & (F.col(y) >= F.col("ry0")) & (F.col(y) <= F.col("ry1"))
-    return pts.join(filed, ["glvl", "gx", "gy"]).where(inbox)
-
-
 def assign_area(points: DataFrame, rings: DataFrame, pid: str, x: str = "east", y: str = "north") -> DataFrame:
     """First area holding each point and whether several do.
 
     ``rings`` has ``area, ring_id, vertices ARRAY<STRUCT<x,y>>``; a point in an even number of an
     area's rings (a hole) is outside that area. Result: ``pid, area, n_areas, several``.
     """
-    p = points.select(pid, x, y)
-    hits = area_candidates(p, rings, x, y).where(inside_ring(x, y, "vertices"))
+    hits = points_in_rings(points.select(pid, x, y), rings, x, y)
     per_area = hits.groupBy(pid, "area").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") % 2 == 1)
     found = per_area.groupBy(pid).agg(F.min("area").alias("area"), F.count(F.lit(1)).alias("n_areas"))
     return points.select(pid).join(found, pid, "left").select(
