@@ -21,7 +21,7 @@ from .ordering import portable_hash
 from .posterior import weighted_quantiles
 from .sampling import equal_parts
 from .scoring import gaussian_crps
-from .spatial import nearest
+from .spatial import Choice, nearest, other_folds
 
 MAX_GROUP = 6000   # training rows of one dense solve
 MAX_CHUNK = 4000   # test rows of one task
@@ -199,9 +199,9 @@ def block_predict(train: DataFrame, test: DataFrame, block: str, pid: str, x: st
 # --- local kriging --------------------------------------------------------------------------------
 
 def neighbour_rows(train: DataFrame, test: DataFrame, pid: str, rid: str, x: str, y: str, z: str, k: int,
-                   group: list[str] = ()) -> DataFrame:
+                   group: list[str] = (), choice: Choice | None = None) -> DataFrame:
     """One row per test point with arrays of its k neighbours' distance, place and value."""
-    near = nearest(test, train, pid, rid, px=x, py=y, rx=x, ry=y, k=k, group=group, carry=[x, y, z])
+    near = nearest(test, train, pid, rid, px=x, py=y, rx=x, ry=y, k=k, group=group, carry=[x, y, z], choice=choice)
     nb = F.array_sort(F.collect_list(F.struct("rank", "d", F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))))
     return near.groupBy(pid, *group).agg(nb.alias("_nb")).select(
         pid, *group, *[F.col(f"_nb.{c}").alias(f"nb_{c}") for c in ("d", "x", "y", "z")])
@@ -252,17 +252,17 @@ def local_krige(train: DataFrame, test: DataFrame, pid: str, rid: str, params: d
     return solve_neighbours(neighbour_rows(train, test, pid, rid, x, y, z, k, group), [params]).drop("param")
 
 
-def cross_folds(df: DataFrame, fold: str, n_folds: int) -> tuple[DataFrame, DataFrame]:
-    """Training copies per left-out fold and the left-out rows, both with ``held``: all folds in one job."""
-    others = F.filter(F.sequence(F.lit(1), F.lit(n_folds)), lambda f: f != F.col(fold))
-    return df.select("*", F.explode(others).alias("held")), df.withColumn("held", F.col(fold).cast("int"))
+def left_out_neighbours(df: DataFrame, pid: str, fold: str, n_folds: int, x: str, y: str, z: str, k: int) -> DataFrame:
+    """Neighbours of every row of folds 1 to ``n_folds`` among the rows of all other folds, which are summarised once."""
+    rows = df.where(F.col(fold).isNotNull()).withColumn("_of", F.col(fold).cast("int"))
+    left_out = rows.where(F.col("_of").between(1, n_folds)).withColumnRenamed("_of", "_fold")
+    return neighbour_rows(rows, left_out, pid, pid, x, y, z, k, choice=other_folds(list(range(1, n_folds + 1))))
 
 
 def grid_cv(df: DataFrame, pid: str, fold: str, n_folds: int, params: list[dict], x: str = "east", y: str = "north",
             z: str = "truth", k: int = 15) -> DataFrame:
     """M6: mean cross-validated CRPS of every parameter set; neighbours are found once for the whole grid."""
-    train, test = cross_folds(df, fold, n_folds)
-    nb = neighbour_rows(train, test, pid, pid, x, y, z, k, ["held"])
+    nb = left_out_neighbours(df, pid, fold, n_folds, x, y, z, k)
     p = solve_neighbours(nb, params).join(df.select(pid, F.col(z).alias("_y")), pid)
     return p.groupBy("param").agg(F.avg(gaussian_crps("_y", "pred", "sd")).alias("crps"), F.count(F.lit(1)).alias("n"))
 
@@ -270,12 +270,11 @@ def grid_cv(df: DataFrame, pid: str, fold: str, n_folds: int, params: list[dict]
 def cross_validate(df: DataFrame, pid: str, fold: str, n_folds: int, models: dict[str, dict], x: str = "east",
                    y: str = "north", z: str = "truth", k: int = 15) -> DataFrame:
     """Left-out predictions of every model, ready for the scoring operators."""
-    train, test = cross_folds(df, fold, n_folds)
-    nb = neighbour_rows(train, test, pid, pid, x, y, z, k, ["held"])
+    nb = left_out_neighbours(df, pid, fold, n_folds, x, y, z, k)
     names = list(models)
     p = solve_neighbours(nb, [models[m] for m in names])
     label = F.element_at(F.array(*[F.lit(m) for m in names]), F.col("param") + 1)
-    return p.withColumn("model", label).drop("param", "held").join(df, pid)
+    return p.withColumn("model", label).drop("param").join(df, pid)
 
 
 def subset_combine(train: DataFrame, test: DataFrame, pid: str, rid: str, n_subsets: int, params: dict,

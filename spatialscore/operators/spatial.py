@@ -10,6 +10,7 @@ ever paired with all points.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -55,13 +56,36 @@ class Pyramid:
     extent: float
 
 
+@dataclass(frozen=True)
+class Choice:
+    """Which references a point may have, where that depends on the point.
+
+    Cells keep sums and minima of values of their members. ``count(n)`` says from these and the columns ``point`` of a
+    point how many of a cell's ``n`` members it may have: 0 only if none, and never too many. ``holds`` tests a pair.
+    Copies at one place are told apart by the reference columns ``place``.
+    """
+
+    point: list[str]
+    count: Callable[[Column], Column]
+    holds: Column
+    sums: dict[str, Column]
+    mins: dict[str, Column]
+    place: list[str]
+
+    @property
+    def kept(self) -> list[str]:
+        return [*self.sums, *self.mins]
+
+
 def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
-                  frame: tuple[float, float, float, int] | None = None) -> Pyramid:
+                  frame: tuple[float, float, float, int] | None = None, choice: Choice | None = None) -> Pyramid:
     """Summarise references.
 
     ``refs`` should hold each coordinate pair few times per group. Both tables are materialised: every
     search round reads the cells, and a result may be read more than once.
     """
+    sums, mins = (choice.sums, choice.mins) if choice else ({}, {})
+    up = [*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in mins]]
     x0, y0, ext, n = frame or _frame(refs, x, y, group)
     # Cells of the deepest first level hold a third of a leaf on average.
     top, bottom = 0, max(1, math.ceil(math.log(max(3.0 * n / cap, 1.0)) / math.log(SIDE**2)))
@@ -71,7 +95,8 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
         keyed = open_refs.withColumns({"_fx": _cell(x, x0, ext, bottom), "_fy": _cell(y, y0, ext, bottom)})
         fine = keyed.groupBy(*group, "_fx", "_fy").agg(
             F.count(F.lit(1)).alias("n"), F.min(x).alias("bx0"), F.max(x).alias("bx1"),
-            F.min(y).alias("by0"), F.max(y).alias("by1"))
+            F.min(y).alias("by0"), F.max(y).alias("by1"),
+            *[F.sum(c).alias(name) for name, c in sums.items()], *[F.min(c).alias(name) for name, c in mins.items()])
         first = top if top == 0 else top + 1
         levels = F.explode(F.sequence(F.lit(first), F.lit(bottom)))
         spread = fine.select("*", levels.alias("lvl")).withColumns({
@@ -80,7 +105,7 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
         cells = cut_lineage(
             spread.groupBy(*group, "lvl", "cx", "cy").agg(
                 F.sum("n").alias("n"), F.min("bx0").alias("bx0"), F.max("bx1").alias("bx1"),
-                F.min("by0").alias("by0"), F.max("by1").alias("by1"))
+                F.min("by0").alias("by0"), F.max("by1").alias("by1"), *up)
             .withColumn("leaf", (F.col("lvl") > 0) & ((F.col("n") <= cap) | (F.col("lvl") >= MAX_LEVEL))))
         # Cells below a leaf are of no use to a search.
         split = cells.where(~F.col("leaf")).select(*group, (F.col("lvl") + 1).alias("lvl"), F.col("cx").alias("_px"), F.col("cy").alias("_py"))
@@ -105,14 +130,16 @@ def build_pyramid(refs: DataFrame, group: list[str], x: str, y: str, cap: int,
     return Pyramid(union(cell_parts), cut_lineage(union(leaf_parts)), bottom, x0, y0, ext)
 
 
-def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> DataFrame:
+def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int, choice: Choice | None = None) -> DataFrame:
     """Pairs (point, reference) that contain each point's ``need`` nearest references.
 
-    ``points`` has ``pid, px, py`` and the group columns; the result keeps all columns of a reference.
+    ``points`` has ``pid, px, py``, the group columns and those of ``choice``; the result keeps all columns of a reference.
     """
     cells, depth = pyr.cells, pyr.depth
     pkey = ["pid", *group]
-    pcols = [*pkey, "px", "py", "ub2"]
+    own = choice.point if choice else []
+    pcols = [*pkey, "px", "py", "ub2", *own]
+    count = choice.count if choice else lambda n: n
     gap = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
     far = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(hi) - F.col(p)))
     sq = lambda c: c * c  # a product, as the power function is far slower
@@ -123,12 +150,12 @@ def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> Dat
     index = lambda v, origin: F.floor((v - F.lit(origin)) / size).cast("bigint")
 
     # Bound: the farthest corner of the smallest cell around the point that has enough members.
-    around = points.select(*pkey, "px", "py", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lvl")).withColumns({
+    around = points.select(*pkey, "px", "py", *own, F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lvl")).withColumns({
         "cx": F.when(F.col("lvl") == 0, F.lit(0)).otherwise(index(F.col("px"), pyr.x0)),
         "cy": F.when(F.col("lvl") == 0, F.lit(0)).otherwise(index(F.col("py"), pyr.y0))})
     bound = around.join(cells, [*group, "lvl", "cx", "cy"]).groupBy(*pkey).agg(
-        F.max("px").alias("px"), F.max("py").alias("py"),
-        F.coalesce(F.min(F.when(F.col("n") >= need, far2)), F.lit(float("inf"))).alias("ub2"))
+        F.max("px").alias("px"), F.max("py").alias("py"), *[F.max(c).alias(c) for c in own],
+        F.coalesce(F.min(F.when(count(F.col("n")) >= need, far2)), F.lit(float("inf"))).alias("ub2"))
 
     # Start: cells of the level whose cells are at least as wide as the radius (so 3 x 3), and coarser leaves.
     r = F.sqrt("ub2") * (1.0 + 1e-9) + F.lit(pyr.extent * 1e-12)
@@ -143,17 +170,15 @@ def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> Dat
     cand = (
         start.join(cells, [*group, "lvl", "cx", "cy"])
         .where((F.col("leaf") | (F.col("lvl") == F.col("l0"))) & (near2 <= F.col("ub2") * slack))
-        .select(*pcols, "lvl", "cx", "cy", "n", near2.alias("near2"), far2.alias("far2"), "leaf"))
+        .select(*pcols, "lvl", "cx", "cy", count(F.col("n")).alias("n"), near2.alias("near2"), far2.alias("far2"), "leaf").where("n > 0"))
 
     kid = cells.where(F.col("lvl") > 0).select(
         *[F.col(g).alias(f"_g_{g}") for g in group], (F.col("lvl") - 1).alias("_kl"),
         F.floor(F.col("cx") / SIDE).alias("_kx"), F.floor(F.col("cy") / SIDE).alias("_ky"), F.col("cx").alias("_cx"),
-        F.col("cy").alias("_cy"), F.col("n").alias("_n"), "bx0", "bx1", "by0", "by1", F.col("leaf").alias("_leaf"))
+        F.col("cy").alias("_cy"), F.col("n").alias("_n"), "bx0", "bx1", "by0", "by1", F.col("leaf").alias("_leaf"), *(choice.kept if choice else []))
     per_point = Window.partitionBy(*pkey)
-    while True:
-        cand = cut_lineage(cand)
-        if cand.where(~F.col("leaf")).isEmpty():
-            break
+
+    def down(cand: DataFrame) -> DataFrame:
         # A leaf stays as it is: its join key is NULL, so the left join keeps it without children.
         is_leaf = F.col("leaf")
         cond = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"_g_{g}") for g in group] + [
@@ -161,20 +186,25 @@ def _search(points: DataFrame, pyr: Pyramid, group: list[str], need: int) -> Dat
         pick = lambda old, new: F.when(is_leaf, F.col(old)).otherwise(new)
         both = cand.join(kid, cond, "left").select(
             *pcols, pick("lvl", F.col("lvl") + 1).alias("lvl"), pick("cx", F.col("_cx")).alias("cx"),
-            pick("cy", F.col("_cy")).alias("cy"), pick("n", F.col("_n")).alias("n"), pick("near2", near2).alias("near2"),
+            pick("cy", F.col("_cy")).alias("cy"), pick("n", count(F.col("_n"))).alias("n"), pick("near2", near2).alias("near2"),
             pick("far2", far2).alias("far2"), pick("leaf", F.col("_leaf")).alias("leaf")
-        ).where(F.col("near2") <= F.col("ub2") * slack)
+        ).where((F.col("near2") <= F.col("ub2") * slack) & (F.col("n") > 0))
         if need == 1:
             tight = F.min("far2").over(per_point)
         else:
             both = both.withColumn("_cum", F.sum("n").over(
                 per_point.orderBy("far2", "lvl", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)))
             tight = F.min(F.when(F.col("_cum") >= need, F.col("far2"))).over(per_point)
-        cand = (
+        return (
             both.withColumn("ub2", F.least(F.col("ub2"), tight)).where(F.col("near2") <= F.col("ub2") * slack)
             .select(*pcols, "lvl", "cx", "cy", "n", "near2", "far2", "leaf"))
-    return cand.select(*pkey, "px", "py", "lvl", "cx", "cy").join(
-        pyr.leaves, [*group, "lvl", "cx", "cy"]).drop("lvl", "cx", "cy")
+
+    # Two levels between checkpoints; most points start one or two levels above their leaves.
+    cand = cut_lineage(down(cand))
+    while not cand.where(~F.col("leaf")).isEmpty():
+        cand = cut_lineage(down(down(cand)))
+    pairs = cand.select(*pkey, "px", "py", *own, "lvl", "cx", "cy").join(pyr.leaves, [*group, "lvl", "cx", "cy"]).drop("lvl", "cx", "cy")
+    return pairs.where(choice.holds).drop(*own) if choice else pairs
 
 
 def _distance(ax: str, ay: str, bx: str, by: str) -> Column:
@@ -185,30 +215,32 @@ def _distance(ax: str, ay: str, bx: str, by: str) -> Column:
 def nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, px: str = "east", py: str = "north",
             rx: str = "east", ry: str = "north", k: int = 1, exclude_zero: bool = False,
             group: list[str] = (), max_dist: float | None = None, cap: int | None = None,
-            carry: list[str] = ()) -> DataFrame:
+            carry: list[str] = (), choice: Choice | None = None) -> DataFrame:
     """The k nearest references of every point, ties by reference id.
 
     Result: ``pid, *group, rid, *carry, d, rank``; ``carry`` names columns of the references. With ``group`` a point only sees references of its group.
-    ``exclude_zero`` leaves out references at the point's own place, ``max_dist`` (J6) those farther.
+    ``exclude_zero`` leaves out references at the point's own place, ``max_dist`` (J6) those farther. With ``choice``
+    each point has its own subset of the references, which are still summarised once.
     """
     group, carry = list(group), list(carry)
     cap = cap or max(8, k)
-    r = refs.select(*group, F.col(rid).alias("rid"), F.col(rx).cast("double").alias("x"),
+    place = choice.place if choice else []
+    r = refs.select(*group, *place, F.col(rid).alias("rid"), F.col(rx).cast("double").alias("x"),
                     F.col(ry).cast("double").alias("y"), *[F.col(c).alias(f"_c_{c}") for c in carry]).where("x IS NOT NULL AND y IS NOT NULL")
     frame = _frame(r, "x", "y", group)
     # Of references at one place only the k lowest ids can be among the k nearest.
     if k == 1:
         first = F.min(F.struct("rid", *[f"_c_{c}" for c in carry])).alias("_f")
-        r = r.groupBy(*group, "x", "y").agg(first).select(*group, "x", "y", "_f.*")
+        r = r.groupBy(*group, *place, "x", "y").agg(first).select(*group, *place, "x", "y", "_f.*")
     else:
-        w = Window.partitionBy(*group, "x", "y").orderBy("rid")
+        w = Window.partitionBy(*group, *place, "x", "y").orderBy("rid")
         r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-    pyr = build_pyramid(r, group, "x", "y", cap, frame)
-    p = points.select(*group, F.col(pid).alias("pid"), F.col(px).cast("double").alias("px"),
+    pyr = build_pyramid(r, group, "x", "y", cap, frame, choice)
+    p = points.select(*group, *(choice.point if choice else []), F.col(pid).alias("pid"), F.col(px).cast("double").alias("px"),
                       F.col(py).cast("double").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
     # References at the point's own place may fill the bound: one place more, with all its copies.
     need = k if not exclude_zero else (2 if k == 1 else 2 * k)
-    pairs = _search(p, pyr, group, need).withColumn("d", _distance("px", "py", "x", "y"))
+    pairs = _search(p, pyr, group, need, choice).withColumn("d", _distance("px", "py", "x", "y"))
     if exclude_zero:
         pairs = pairs.where(F.col("d") > 0)
     if max_dist is not None:
@@ -249,23 +281,28 @@ def stratified_nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, u
 def preceding_neighbours(df: DataFrame, order: str, x: str, y: str, k: int) -> DataFrame:
     """K nearest among rows that come earlier in ``order`` (0-based, without gaps).
 
-    The rows before position p are the disjoint blocks of p's binary digits, so an equal-group search
-    over blocks finds them: a row sits in one block per digit and looks into one block per set digit.
+    Each row is one reference and one point. Cells keep the first of their members' positions, and how many lie below
+    each power of two: those below the largest power up to a point's position precede it.
     """
     top = df.agg(F.max(order)).first()[0] or 0
-    digits = F.sequence(F.lit(0), F.lit(max(1, int(top).bit_length())))
+    steps = range(max(1, int(top).bit_length()) + 1)
     o = F.col(order).cast("bigint")
-    refs = df.select(o.alias("rid"), x, y, F.explode(digits).alias("digit")).withColumn(
-        "block", F.expr("shiftright(rid, digit)"))
-    pts = (
-        df.select(o.alias("pos"), x, y, F.explode(digits).alias("digit"))
-        .where(F.expr("shiftright(pos, digit) % 2 = 1"))
-        .withColumn("block", F.expr("shiftright(pos, digit) - 1")))
-    hit = nearest(pts, refs.where(F.expr("block % 2 = 0")), "pos", "rid", px=x, py=y, rx=x, ry=y, k=k,
-                  group=["digit", "block"])
-    w = Window.partitionBy("pos").orderBy("d", "rid")
-    return (hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(F.col("pos").alias(order), "rid", "d", "rank"))
+    below = [f"_below{j}" for j in steps]
+    step = F.length(F.bin("_pos")) - 1  # the largest power of two up to a position; 0 for position 0
+    count = lambda n: F.when(F.col("_first") < F.col("_pos"), F.greatest(F.lit(1).cast("bigint"), F.element_at(F.array(*below), step + 1))).otherwise(0)
+    precedes = Choice(["_pos"], count, F.col("rid") < F.col("_pos"), {c: (F.col("rid") < (1 << j)).cast("bigint") for j, c in zip(steps, below)},
+                      {"_first": F.col("rid")}, [])
+    rows = df.where(o.isNotNull()).select(o.alias("rid"), x, y)
+    hit = nearest(rows.withColumns({"_pos": F.col("rid"), "pos": F.col("rid")}), rows, "pos", "rid", px=x, py=y, rx=x, ry=y, k=k, choice=precedes)
+    return hit.select(F.col("pos").alias(order), "rid", "d", "rank")
+
+
+def other_folds(folds: list) -> Choice:
+    """References of another fold than the point's; cells keep a count for each of ``folds``."""
+    kept = [f"_fold{i}" for i in range(len(folds))]
+    at = F.array_position(F.lit(list(folds)), F.col("_fold")).cast("int")
+    count = lambda n: n - F.when(at > 0, F.element_at(F.array(*kept), at)).otherwise(0)
+    return Choice(["_fold"], count, ~F.col("_fold").eqNullSafe(F.col("_of")), {c: F.col("_of").eqNullSafe(F.lit(f)).cast("bigint") for c, f in zip(kept, folds)}, {}, ["_of"])
 
 
 def bounded_blocks(df: DataFrame, x: str, y: str, id_col: str, max_rows: int) -> DataFrame:
