@@ -14,7 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +67,8 @@ def cuts(begin: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.where(whole, end, base_end + total - base_total)
 
 
-@dataclass(frozen=True)
-class Word:
-    """Alignment of one word: its ids, groups as text and links as packed (A id << 32 | B id)."""
-
-    n_a: int
-    n_b: int
-    groups: str
-    links: bytes
+#: Alignment of one word: its number of A tokens, its groups as text and its links, packed (A id << 32 | B id).
+Word = tuple[int, str, bytes]
 
 
 class Aligner:
@@ -96,7 +90,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode()
                               for i, p in enumerate(pieces)])
-        self.text_a, self.text_b = [str(i) for i in range(max(of_id) + 1)], [str(i) for i in range(len(pieces))]
+        # Ids as text with what follows them: a comma within a group, else the end of the side.
+        self.text = {(side, end): np.array([f"{i}{end}" for i in range(n)], dtype=object)
+                     for side, n, last in (("a", max(of_id) + 1, "|"), ("b", len(pieces), ";")) for end in (",", last)}
         before = json.loads(spec).get("pre_tokenizer") or {}
         self.breaks = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                        and not any(BLANK in p.lstrip(BLANK) for p in pieces))
@@ -110,13 +106,13 @@ class Aligner:
         ids_a = np.array(enc.ids, dtype=np.int64)
         if self.bytes_a.joined(ids_a) != raw:
             return None
-        span = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)
+        span = np.fromiter(chain.from_iterable(enc.offsets), dtype=np.int64, count=2 * len(ids_a)).reshape(-1, 2)
         if len(raw) > len(text) + 1:
             point = np.frombuffer((" " + text).encode("utf-32-le"), dtype="<u4")
             wide = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
             span = np.concatenate([[0], np.cumsum(wide)])[span]
-        proto = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
-        ids_b, begin, end = np.array(proto, dtype=np.int64).reshape(-1, 3).T
+        proto = chain.from_iterable((p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces)
+        ids_b, begin, end = np.fromiter(proto, dtype=np.int64).reshape(-1, 3).T
         if self.bytes_b.joined(ids_b) != raw:
             return None
         # B's spans do not count the blank that it puts in front.
@@ -132,15 +128,19 @@ class Aligner:
         both = np.intersect1d(cut_a, cut_b, assume_unique=True)
         every = np.union1d(cut_a, cut_b)
         links = ids_a[np.searchsorted(cut_a, every)] << 32 | ids_b[np.searchsorted(cut_b, every)]
-        text_a, text_b = [self.text_a[i] for i in ids_a.tolist()], [self.text_b[i] for i in ids_b.tolist()]
-        groups, i, j = [], 0, 0
-        for p, q in zip((np.searchsorted(cut_a, both) + 1).tolist(), (np.searchsorted(cut_b, both) + 1).tolist()):
-            groups.append(",".join(text_a[i:p]) + "|" + ",".join(text_b[j:q]))
-            i, j = p, q
+        group_a, group_b = np.searchsorted(both, cut_a), np.searchsorted(both, cut_b)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+        shown = np.concatenate([np.where(last_a, self.text["a", "|"][ids_a], self.text["a", ","][ids_a]),
+                                np.where(last_b, self.text["b", ";"][ids_b], self.text["b", ","][ids_b])])[order].tolist()
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        at = [np.concatenate([[0], np.searchsorted(x, ends) + 1]).tolist() for x in (cut_a, cut_b, both, every)]
-        return [Word(p - i, q - j, ";".join(groups[g:h]), links[k:m].tobytes())
-                for i, p, j, q, g, h, k, m in zip(*(x for v in at for x in (v, v[1:])))]
+        tokens, linked = np.searchsorted(cut_a, ends) + 1, np.searchsorted(every, ends) + 1
+        upto = (tokens + np.searchsorted(cut_b, ends) + 1).tolist()
+        packed, out, i, j, k = links.tobytes(), [], 0, 0, 0
+        for n, p, q in zip(tokens.tolist(), upto, (8 * linked).tolist()):
+            out.append((n - i, "".join(shown[j:p])[:-1], packed[k:q]))
+            i, j, k = n, p, q
+        return out
 
     def learn(self, words: set[str]) -> dict[str, Word | None]:
         """Alignments of the words not known yet; short ones are remembered."""
@@ -171,8 +171,9 @@ class Aligner:
             if not cells or None in cells:
                 yield 0, 0, "", np.zeros(0, dtype=np.int64)
                 continue
-            yield (sum(c.n_a for c in cells), sum(c.n_b for c in cells), ";".join([c.groups for c in cells]),
-                   np.frombuffer(b"".join([c.links for c in cells]), dtype=np.int64))
+            counts, texts, packed = zip(*cells)
+            n_a, groups, links = sum(counts), ";".join(texts), np.frombuffer(b"".join(packed), dtype=np.int64)
+            yield n_a, len(links) + groups.count(";") + 1 - n_a, groups, links
 
 
 _ALIGNERS: dict[int, Aligner] = {}
