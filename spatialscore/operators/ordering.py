@@ -8,13 +8,14 @@ several quantiles on its own is cut further by the tie-break column.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, default_buckets
+from ..session import cut_lineage, default_buckets, written
 
 # Fixed values of the portable integer hash: multipliers below 2^30, so that no product leaves 64 bits.
 HASH_FOLD = 668265263
@@ -120,18 +121,49 @@ def ordered(df: DataFrame, keys: list[str], value: str, tie: str, sums: dict[str
     return out
 
 
+#: Value ranges that a selection counts for each shuffle partition; it orders only those that hold a wanted rank.
+FINER = 8
+
+
+def select_ranks(df: DataFrame, keys: list[str], value: str, tie: str, ranks: Callable[[Column], Column],
+                 n_buckets: int | None = None) -> DataFrame:
+    """(keys, group_n, rn, value) of the rows whose 1-based rank by ``value`` is in ``ranks(group_n)``, an array of longs.
+
+    Value ranges are counted first; only rows of ranges that hold a wanted rank are ordered, each range by itself. Of the
+    input no more than the named columns is stored. Rows whose value is NULL have no rank.
+    """
+    narrow = written(df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value, tie])))
+    ranged = with_ranges(narrow, value, tie, n_buckets or FINER * default_buckets(df.sparkSession))
+    part = ranged.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    upto = by_key.orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, 0)
+    part = part.withColumns({"_upto": F.sum("_c").over(upto), "group_n": F.sum("_c").over(by_key)})
+    inside = F.filter(ranks(F.col("group_n")), lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_c")))
+    found = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b1").alias("_o1"), F.col("_b2").alias("_o2"), "group_n",
+                        (F.col("_upto") - F.col("_c")).alias("_off"), inside.alias("_wanted")).where(F.size("_wanted") > 0)
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+                  + [F.col("_b1") == F.col("_o1"), F.col("_b2") == F.col("_o2")])
+    place = F.col("_off") + F.row_number().over(Window.partitionBy(*keys, "_b1", "_b2").orderBy(value))
+    rows = ranged.join(found, cond).withColumn("rn", place.cast("bigint"))
+    return rows.where(F.array_contains(F.col("_wanted"), F.col("rn"))).select(*keys, "group_n", "rn", value)
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, tie: str, probs: dict[str, float],
                     n_buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group; only the two neighbouring order values are used."""
-    o = ordered(df.where(F.col(value).isNotNull()).select(*keys, value, tie), keys, value, tie, n_buckets=n_buckets)
+    def lower(n: Column, p: float) -> Column:
+        return F.floor((n - 1) * F.lit(float(p)))
+
+    def ranks(n: Column) -> Column:
+        return F.array(*[r.cast("bigint") for p in probs.values() for r in (lower(n, p) + 1, F.least(lower(n, p) + 2, n))])
+
+    o = select_ranks(df, keys, value, tie, ranks, n_buckets)
     aggs = []
     for name, p in probs.items():
-        h = (F.col("group_n") - 1) * F.lit(float(p))
-        lo = F.floor(h)
+        h, lo = (F.col("group_n") - 1) * F.lit(float(p)), lower(F.col("group_n"), p)
         a = F.max(F.when(F.col("rn") == lo + 1, F.col(value)))
         b = F.max(F.when(F.col("rn") == F.least(lo + 2, F.col("group_n")), F.col(value)))
-        frac = F.max(h - lo)
-        aggs.append((a + (b - a) * frac).alias(name))
+        aggs.append((a + (b - a) * F.max(h - lo)).alias(name))
     return o.groupBy(*keys).agg(F.max("group_n").alias("n"), *aggs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import even_bin, even_midpoint, right_closed_bin
-from .ordering import group_quantiles, ordered
+from .ordering import group_quantiles, ordered, select_ranks
 from .scoring import score_aggregates
 
 SINGLE = ["err", "sq_err", "crps", "interval_score", "coverage", "width"]
@@ -48,13 +48,15 @@ def equal_count_distance(single: DataFrame, dist: str, tie: str, n_breaks: int |
 
     Bin edges are the means of the two neighbouring distances at each seam, the first is 0 and the
     last the maximum plus 1e-6. A row goes to the bin of the first row with its distance, which is
-    what right-closed bins on those edges give; so no list of edges is needed.
+    what right-closed bins on those edges give. With a given number of bins the edges are selected and
+    few; with a given number of rows a bin they grow with the rows, so the rows themselves are ranked.
     """
     cut = single if max_dist is None else single.where(F.col(dist) < max_dist)
     keys = list(keys)
+    if n_per_bin is None:
+        return _given_number_of_bins(cut.where(F.col(dist).isNotNull()), dist, tie, n_breaks, keys)
     o = ordered(cut.where(F.col(dist).isNotNull()), keys, dist, tie)
-    per = F.lit(n_per_bin) if n_per_bin else F.ceil(F.col("group_n") / F.lit(float(n_breaks)))
-    o = o.withColumn("_per", per.cast("bigint")).withColumn("bin", F.ceil(F.col("rank") / F.col("_per")).cast("int"))
+    o = o.withColumn("_per", F.lit(n_per_bin).cast("bigint")).withColumn("bin", F.ceil(F.col("rank") / F.col("_per")).cast("int"))
     # Seam i lies between order positions i * per and i * per + 1.
     pos = (F.col("rn") - 1) % F.col("_per")
     last = (pos == F.col("_per") - 1) & (F.col("rn") < F.col("group_n"))
@@ -84,6 +86,35 @@ def equal_count_distance(single: DataFrame, dist: str, tie: str, n_breaks: int |
         "_hi", "_lo", "_top", "_per", "rn", "rank", "group_n")
 
 
+def _given_number_of_bins(rows: DataFrame, dist: str, tie: str, n_breaks: int, keys: list[str]) -> DataFrame:
+    """Equal-count bins from the selected distances at their seams; the rows are neither ordered nor stored."""
+    def per(n: Column) -> Column:
+        return F.ceil(n / F.lit(float(n_breaks))).cast("bigint")
+
+    def ranks(n: Column) -> Column:
+        both = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n_breaks)), lambda i: F.array(i * per(n), i * per(n) + 1)))
+        return F.concat(F.filter(F.transform(both, lambda r: r.cast("bigint")), lambda r: r < n), F.array(n.cast("bigint")))
+
+    at = select_ranks(rows, keys, dist, tie, ranks).withColumn("_per", per(F.col("group_n")))
+    ends = (F.col("rn") % F.col("_per") == 0) & (F.col("rn") < F.col("group_n"))
+    starts = ((F.col("rn") - 1) % F.col("_per") == 0) & (F.col("rn") > 1)
+    side = lambda when, seam, d: F.when(when, F.struct(seam.cast("long").alias("seam"), d.alias("d")))
+    d, before = F.col(dist), F.floor((F.col("rn") - 1) / F.col("_per"))
+    sides = F.filter(F.array(side(ends, F.floor(F.col("rn") / F.col("_per")), d), side(starts, before, d),
+                             side(F.col("rn") == F.col("group_n"), F.col("group_n"), d + F.lit(1e-6))), lambda v: v.isNotNull())
+    edges = at.select(*keys, F.inline(sides)).groupBy(*keys, "seam").agg(F.avg("d").alias("edge"))
+    ordered_edges = F.transform(F.array_sort(F.collect_list(F.struct("seam", "edge"))), lambda e: e["edge"])
+    limits = edges.groupBy(*keys).agg(F.concat(F.array(F.lit(0.0)), ordered_edges).alias("_edges")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_edges")
+    if keys:
+        out = rows.join(limits, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])).drop(*[f"_k_{k}" for k in keys])
+    else:
+        out = rows.withColumn("_edges", limits.scalar())
+    inner = F.slice("_edges", 2, F.size("_edges") - 2)
+    out = out.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(dist))) + 1)
+    out = out.withColumns({"bin_low": F.element_at("_edges", F.col("bin")), "bin_high": F.element_at("_edges", F.col("bin") + 1)})
+    return out.withColumn("nn_dist", F.col("bin_low") + (F.col("bin_high") - F.col("bin_low")) / 2.0).drop("_edges")
+
+
 def scores_by_distance(single: DataFrame, dist: str, tie: str, breaks: int | list[float] = 30,
                        kind: str = "quantiles", n_per_bin: int | None = None, max_dist: float | None = None,
                        keys: list[str] = (), scores: list[str] = tuple(SINGLE)) -> DataFrame:
