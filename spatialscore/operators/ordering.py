@@ -44,6 +44,22 @@ def portable_hash(id_col: str | Column, seed: int = 0) -> Column:
                        F.shiftright, lambda a, b: a * F.lit(b))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, which matters inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def portable_hash_once(x: Column, seed: int = 0) -> Column:
+    """The same hash for use inside lambdas, every step worked out once."""
+    mask = lambda c: c.bitwiseAND(F.lit(HASH_MASK))
+    mixed = ((seed & HASH_MASK) * 2654435761 + 40503) & HASH_MASK
+    fold = lambda x: mask(x).bitwiseXOR(mask(mask(F.shiftright(x, 32)) * F.lit(HASH_FOLD)).bitwiseXOR(F.lit(mixed)))
+    turn = lambda h, m: mask(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(m))
+    last = lambda h: h.bitwiseXOR(F.shiftright(h, 15))
+    a, b = HASH_ROUNDS
+    return let(x, lambda v: let(fold(v), lambda h: let(turn(h, a), lambda g: let(turn(g, b), last))))
+
+
 def portable_hash_sql(id_expr: str, seed: int = 0) -> str:
     return _hash_steps(f"CAST({id_expr} AS BIGINT)", seed, lambda a, b: f"({a} & {b})", lambda a, b: f"xor({a}, CAST({b} AS BIGINT))",
                        lambda a, b: f"({a} >> {b})", lambda a, b: f"({a} * {b})")

@@ -4,7 +4,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws as D
-from .ordering import HASH_RANGE, group_quantiles, ordered, portable_hash, portable_hash_sql
+from .ordering import HASH_RANGE, group_quantiles, let, ordered, portable_hash, portable_hash_once, portable_hash_sql
 
 
 def summarise_draws(df: DataFrame, draws: str, level: float = 0.8, prefix: str = "") -> DataFrame:
@@ -124,53 +123,127 @@ def effect_curve(params: DataFrame, knots: DataFrame, keys: list[str], walk: str
     return curve_summary(eff, [*keys, "knot"], "effect", draw, level)
 
 
+#: Tries of the rejection sampling; all fail with a probability below 1e-20.
+TRIES = 16
+#: Purposes of a uniform: a normal value's two, the test of a try, the power for small shapes, and the second gamma of a beta.
+NORMAL_A, NORMAL_B, TEST, POWER, SECOND = 1, 2, 3, 4, 8
+
+
 def add_noise(df: DataFrame, id_col: str, draws: str, family: str, size: str | None = None, var: str | None = None,
               rho: float | None = None, dispersion: float | None = None, seed: int = 0) -> DataFrame:
-    """Observation noise on every draw.
+    """Observation noise on every draw, as native expressions.
 
-    All randomness follows from the row's id and the seed, so results do not depend on partitioning.
-    Families: binomial (needs ``size``), gaussian (``var``, one value or one per draw), beta (``rho``),
-    gamma (``dispersion``). Binomial noise counts hashed uniforms below the draw and gaussian noise turns
-    two of them into a normal value, both as native expressions.
+    All randomness follows from the row's id, the seed, the draw and a counter, hashed in rounds of 64 bits, so results
+    do not depend on partitioning and no two rows share their noise. Families: binomial (needs ``size``) counts uniforms
+    below the draw; gaussian (``var``, one value or one per draw) turns two into a normal value; gamma (``dispersion``) and
+    beta (``rho``, two gammas) take the first of ``TRIES`` tries that is accepted. A NULL draw, size or variance gives NULL,
+    a size of 0 NaN.
     """
     if (family, {"binomial": size, "gaussian": var, "beta": rho, "gamma": dispersion}.get(family, 0)) == (family, None):
         raise ValueError(f"{family} noise lacks its parameter")
+    keyed = df.withColumns({"_h1": portable_hash(id_col, seed), "_h2": portable_hash(id_col, seed + SECOND_LANE)})
+    state = lambda i: draw_state("_h1", "_h2", i + 1)
     if family == "binomial":
         n = F.col(size).cast("int")
-        hits = lambda p, i: F.size(F.filter(
-            F.sequence(F.lit(1), n), lambda t: uniform(F.col("_h"), i + 1, t) < p)) / n.cast("double")
-        noise = F.when(n > 0, F.transform(F.col(draws), hits)).otherwise(F.transform(F.col(draws), lambda p: F.lit(float("nan"))))
-        return df.withColumn("_h", portable_hash(id_col, seed)).withColumn("noisy", noise).drop("_h")
-    if family == "gaussian":
+        trials = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+        def hits(p: Column, i: Column) -> Column:
+            count = F.aggregate(F.col("_trials"), F.struct(F.lit(0).alias("n"), state(i).alias("s")), lambda acc, t: F.struct(
+                (acc["n"] + (uniform(acc["s"], t) < p).cast("int")).alias("n"), acc["s"].alias("s")), lambda acc: acc["n"])
+            return F.when(n > 0, F.when(p.isNotNull(), count / n.cast("double"))).when(n.isNotNull(), F.lit(float("nan")))
+        keyed, noise = keyed.withColumn("_trials", trials), F.transform(F.col(draws), hits)
+    elif family == "gaussian":
         per_draw = isinstance(df.schema[var].dataType, T.ArrayType)
-        normal = lambda i: F.sqrt(F.lit(-2.0) * F.ln(uniform(F.col("_h"), i + 1, F.lit(1)))) * F.cos(
-            F.lit(2.0 * np.pi) * uniform(F.col("_h"), i + 1, F.lit(2)))
-        noise = F.transform(F.col(draws), lambda v, i: v + normal(i) * F.sqrt(F.get(F.col(var), i) if per_draw else F.col(var)))
-        return df.withColumn("_h", portable_hash(id_col, seed)).withColumn("noisy", noise).drop("_h")
-
-    def noisy(rng, d):
-        if family == "beta":
-            s = 1.0 / rho - 1.0
-            return rng.beta(np.clip(d * s, 1e-12, None), np.clip((1.0 - d) * s, 1e-12, None))
-        if family == "gamma":
-            scale = d * dispersion
-            return rng.gamma(d / scale, scale)
+        noise = F.transform(F.col(draws), lambda v, i: v + let(state(i), lambda s: normal(s, F.lit(0))) * F.sqrt(F.get(F.col(var), i) if per_draw else F.col(var)))
+    elif family == "gamma":
+        # The shape is the same for all draws, since their scale grows with them.
+        noise = F.transform(F.col(draws), lambda d, i: gamma(state(i), F.lit(1.0 / dispersion), 0) * d * F.lit(dispersion))
+    elif family == "beta":
+        total, least = 1.0 / rho - 1.0, F.lit(1e-12)
+
+        def ratio(d: Column, i: Column) -> Column:
+            two = F.struct(gamma(state(i), F.greatest(d * F.lit(total), least), 0).alias("a"),
+                           gamma(state(i), F.greatest((1.0 - d) * F.lit(total), least), SECOND).alias("b"))
+            return F.when(d.isNotNull(), let(two, lambda g: g["a"] / (g["a"] + g["b"])))
+        noise = F.transform(F.col(draws), ratio)
+    else:
         raise ValueError(f"unknown noise family {family!r}")
+    return keyed.withColumn("noisy", noise).drop("_h1", "_h2", "_trials")
+
+
+#: Difference of the seeds of the two halves of the hashed state.
+SECOND_LANE = 977
+
+
+def _next(half, counter, seed: int):
+    """One half of the state after a counter of up to 30 bits; a half has 32 bits."""
+    return portable_hash_once(half * F.lit(1 << 30) + counter.cast("bigint"), seed)
+
+
+def draw_state(h1: str, h2: str, draw: Column) -> Column:
+    """64 bits of state, in two halves, of a row and one of its draws."""
+    return F.struct(_next(F.col(h1), draw, 1).alias("a"), _next(F.col(h2), draw, 2).alias("b"))
+
+
+def uniform(state: Column, counter: Column) -> Column:
+    """Repeatable uniform in (0, 1) for a counter."""
+    mixed = _next(state["a"], counter, 3).bitwiseXOR(_next(state["b"], counter, 4))
+    return (mixed + 0.5) / F.lit(float(HASH_RANGE))
+
+
+def normal(state: Column, base: Column) -> Column:
+    """Standard normal value from two uniforms; ``base`` is added to their counters."""
+    return F.sqrt(F.lit(-2.0) * F.ln(uniform(state, base + NORMAL_A))) * F.cos(F.lit(2.0 * np.pi) * uniform(state, base + NORMAL_B))
+
+
+def gamma(state: Column, shape: Column, purpose: int) -> Column:
+    """Gamma value of a shape and scale 1: a cubed normal accepted against a uniform, and a power of one for shapes below 1."""
+    def chosen(p: Column) -> Column:
+        def one_try(acc: Column, t: Column) -> Column:
+            base = t * 16 + purpose
+
+            def accepted(g: Column) -> Column:
+                fits = F.ln(uniform(p["s"], base + TEST)) < 0.5 * g["x"] * g["x"] + p["d"] - p["d"] * g["cube"] + p["d"] * F.ln(g["cube"])
+                return F.when((g["cube"] > 0) & fits, p["d"] * g["cube"])
+
+            def cubed(x: Column) -> Column:
+                root = 1.0 + x / F.sqrt(9.0 * p["d"])
+                return F.struct(x.alias("x"), (root * root * root).alias("cube"))
+            return F.coalesce(acc, let(normal(p["s"], base), lambda x: let(cubed(x), accepted)))
+        first = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), one_try), p["d"])
+        return first * F.when(p["k"] < 1, F.pow(uniform(p["s"], F.lit(POWER + purpose)), 1.0 / p["k"])).otherwise(F.lit(1.0))
+    return let(F.struct(state.alias("s"), shape.alias("k"), (F.when(shape < 1, shape + 1.0).otherwise(shape) - 1.0 / 3.0).alias("d")), chosen)
+
+
+# --- the same in SQL -------------------------------------------------------------------------------
+
+def _next_sql(half: str, counter: str, seed: int) -> str:
+    return portable_hash_sql(f"{half} * {1 << 30} + CAST({counter} AS BIGINT)", seed)
+
+
+def noise_ctes(rows: str, id_expr: str, seed: int) -> str:
+    """CTE ``states``: ``rows`` (its draws as list ``p``) with one row (i, v, a, b) for each draw and the halves of its state."""
+    h1, h2 = (portable_hash_sql(id_expr, seed + lane) for lane in (0, SECOND_LANE))
+    return f"""lanes AS (SELECT *, {h1} AS h1, {h2} AS h2, unnest(range(1, len(p) + 1)) AS i FROM ({rows})),
+    states AS (SELECT *, p[i] AS v, {_next_sql('h1', 'i', 1)} AS a, {_next_sql('h2', 'i', 2)} AS b FROM lanes)"""
 
-    @F.pandas_udf("array<double>")
-    def apply(ids: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if v is None else noisy(np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFFFFFF]), np.asarray(v, dtype=float))
-            for i, v in zip(ids, d)])
 
-    return df.withColumn("noisy", apply(F.col(id_col), F.col(draws)))
+def normal_sql(base: str) -> str:
+    return f"sqrt(-2e0 * ln({uniform_sql('a', 'b', f'({base} + {NORMAL_A})')})) * cos({2 * np.pi!r}::DOUBLE * {uniform_sql('a', 'b', f'({base} + {NORMAL_B})')})"
 
 
-def uniform(row_hash: Column, draw: Column, trial: Column) -> Column:
-    """Repeatable uniform in (0, 1) of a row, one of its draws and a trial."""
-    key = row_hash * F.lit(1 << 30) + draw.cast("bigint") * F.lit(1 << 15) + trial.cast("bigint")
-    return (portable_hash(key) + 0.5) / F.lit(float(HASH_RANGE))
+def gamma_ctes(name: str, shape: str, purpose: int) -> str:
+    """CTE ``name``: a gamma value ``g`` for every row of ``states``, from its first accepted try."""
+    base = f"(t * 16 + {purpose})"
+    return f"""{name}_k AS (SELECT *, {shape} AS k FROM states),
+    {name}_d AS (SELECT *, CASE WHEN k < 1 THEN k + 1 ELSE k END - 1e0 / 3e0 AS d FROM {name}_k),
+    {name}_x AS (SELECT *, {normal_sql(base)} AS x FROM {name}_d, range(1, {TRIES + 1}) AS r(t)),
+    {name}_c AS (SELECT *, (1e0 + x / sqrt(9e0 * d)) * (1e0 + x / sqrt(9e0 * d)) * (1e0 + x / sqrt(9e0 * d)) AS cube, {uniform_sql('a', 'b', f'({base} + {TEST})')} AS u FROM {name}_x),
+    {name}_t AS (SELECT vec_id, i, min_by(d * cube, t) AS first FROM {name}_c
+      WHERE cube > 0 AND ln(u) < 0.5::DOUBLE * x * x + d - d * cube + d * ln(CASE WHEN cube > 0 THEN cube ELSE 1e0 END) GROUP BY vec_id, i),
+    {name} AS (SELECT s.*, coalesce(first, d) * CASE WHEN k < 1 THEN pow({uniform_sql('a', 'b', str(POWER + purpose))}, 1e0 / k) ELSE 1e0 END AS g
+      FROM {name}_d s LEFT JOIN {name}_t USING (vec_id, i))"""
 
 
-def uniform_sql(row_hash: str, draw: str, trial: str) -> str:
-    return f"(({portable_hash_sql(f'{row_hash} * {1 << 30} + {draw} * {1 << 15} + {trial}')}) + 0.5::DOUBLE) / {float(HASH_RANGE)!r}::DOUBLE"
+def uniform_sql(a: str, b: str, counter: str) -> str:
+    return f"(xor({_next_sql(a, counter, 3)}, {_next_sql(b, counter, 4)}) + 0.5::DOUBLE) / {float(HASH_RANGE)!r}::DOUBLE"

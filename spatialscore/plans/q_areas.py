@@ -1,7 +1,7 @@
 """Queries for draws, areas, populations and lattices (D)."""
 from __future__ import annotations
 
-import math
+
 
 from pyspark.sql import functions as F
 
@@ -318,22 +318,29 @@ def _(spark, sf):
 
 
 PROBS = "list_transform(draws, lambda v: 1e0 / (1e0 + exp(-v)))"
-NOISE_SQL = {
-    "n01_binomial_noise": f"""
-    SELECT vec_id, area, list_transform(p, lambda v, i: len(list_filter(range(1, n + 1), lambda t: {Po.uniform_sql('h', 'i', 't')} < v)) / n::DOUBLE) AS draws
-    FROM (SELECT vec_id, area, 5 + vec_id % 20 AS n, {portable_hash_sql('vec_id', 7)} AS h, {PROBS} AS p FROM draws)""",
-    "n02_gaussian_noise": f"""
-    SELECT vec_id, area, list_transform(p, lambda v, i: round(v + sqrt(-2e0 * ln({Po.uniform_sql('h', 'i', '1')})) * cos({2 * math.pi!r}::DOUBLE
-      * {Po.uniform_sql('h', 'i', '2')}) * sqrt(0.25::DOUBLE), 6)) AS draws
-    FROM (SELECT vec_id, area, {portable_hash_sql('vec_id', 7)} AS h, {PROBS} AS p FROM draws)"""}
-
-
-for _family, _kw in {"n01_binomial_noise": {"family": "binomial", "size": "n"}, "n02_gaussian_noise": {"family": "gaussian", "var": "nugget"},
-                     "n03_beta_noise": {"family": "beta", "rho": 0.1}, "n04_gamma_noise": {"family": "gamma", "dispersion": 0.2}}.items():
+STATES = Po.noise_ctes(f"SELECT vec_id, area, 5 + vec_id % 20 AS n, {PROBS} AS p FROM draws", "vec_id", 7)
+
+
+def _lists(value: str, source: str = "states") -> str:
+    return f"SELECT vec_id, area, list(round({value}, 6) ORDER BY i) AS draws FROM {source} GROUP BY vec_id, area"
+
+
+NOISE = {
+    "n01_binomial_noise": ({"family": "binomial", "size": "n"}, _lists("hits / n", f"""
+      (SELECT vec_id, area, i, any_value(n)::DOUBLE AS n, count(*) FILTER (u < v) AS hits FROM
+        (SELECT *, {Po.uniform_sql('a', 'b', 't')} AS u FROM states, range(1, 25) AS r(t) WHERE t <= n) GROUP BY vec_id, area, i)"""), STATES),
+    "n02_gaussian_noise": ({"family": "gaussian", "var": "nugget"}, _lists(f"v + {Po.normal_sql('0')} * sqrt(0.25::DOUBLE)"), STATES),
+    "n03_beta_noise": ({"family": "beta", "rho": 0.1}, _lists("x.g / (x.g + y.g)", "first x JOIN second y USING (vec_id, i, area)"),
+                       f"{STATES}, {Po.gamma_ctes('first', 'greatest(v * 9e0, 1e-12)', 0)}, {Po.gamma_ctes('second', 'greatest((1e0 - v) * 9e0, 1e-12)', Po.SECOND)}"),
+    "n04_gamma_noise": ({"family": "gamma", "dispersion": 0.2}, _lists("g * v * 0.2::DOUBLE", "drawn"), f"{STATES}, {Po.gamma_ctes('drawn', '5e0', 0)}"),
+}
+
+
+for _family, (_kw, _sql, _ctes) in NOISE.items():
     def _noise(spark, sf, kw=_kw):
         d = V.draws(spark, sf).withColumns({
             "draws": F.transform("draws", lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))), "n": 5 + F.col("vec_id") % 20,
             "nugget": F.lit(0.25)})
         noisy = Po.add_noise(d, "vec_id", "draws", seed=7, **kw)
-        return noisy.select("vec_id", "area", F.transform("noisy", lambda v: F.round(v, 6)).alias("draws") if "var" in kw else F.col("noisy").alias("draws"))
-    query(_family, "draws", NOISE_SQL.get(_family), ints="area")(_noise)
+        return noisy.select("vec_id", "area", F.transform("noisy", lambda v: F.round(v, 6)).alias("draws"))
+    query(_family, "draws", _sql, ints="area", ctes=_ctes)(_noise)
