@@ -5,9 +5,11 @@ words, with the mark that ends them, are targets of the loss.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # Marks of the rendered dialogue; in a text or name they are broken by a blank.
 OPEN, END, BROKEN = "<|", "<|end|>", "< |"
 #: Speakers that set the scene: they are in every perspective and never the assistant.
@@ -15,54 +17,76 @@ CONTEXT = ("system",)
 UNNAMED = "unknown"
 #: Turn numbers in a block of a rendered dialogue.
 BLOCK = 64
+#: Messages in a part of a block.
+MOST = 256
 
 
 def _safe(c: Column) -> Column:
     return F.replace(c, F.lit(OPEN), F.lit(BROKEN))
 
 
-def rotated(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-            text_col: str = "text", context: tuple[str, ...] = CONTEXT) -> DataFrame:
-    """Every message in every perspective: (conv, turn, speaker, content, participant, head, body, target).
-
-    ``participant`` is the speaker who is the assistant, ``head`` and ``body`` render the message and ``target`` says
-    whether the body counts. A null role speaks as ``unknown``, a null text is empty. A conversation whose speakers
-    are all context has no perspective. Speakers are found by a partial aggregation and joined back, so a
-    conversation that holds much of the table is split like any join.
-    """
+def _messages(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     m = messages.select(messages[conv_col].alias("conv"), messages[turn_col].cast("long").alias("turn"),
                         F.coalesce(messages[role_col], F.lit(UNNAMED)).alias("speaker"), F.coalesce(messages[text_col], F.lit("")).alias("content"))
-    people = m.where(~F.col("speaker").isin(*context)).select("conv", F.col("speaker").alias("participant")).distinct()
-    both = m.join(people.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of"))).drop("of")
-    own = F.col("speaker") == F.col("participant")
-    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker").isin(*context), F.concat(F.lit(OPEN), "speaker", F.lit("|>\n"))).otherwise(
-        F.concat(F.lit("<|user|>\n"), _safe(F.col("speaker")), F.lit(": ")))
-    return both.withColumns({"head": head, "body": F.concat(_safe(F.col("content")), F.lit(END + "\n")), "target": own})
+    # Null ids and turns are values like any other, which they are inside a struct.
+    return m.withColumn("key", F.struct("conv", F.floor(F.col("turn") / BLOCK).alias("block")))
+
+
+def _parts(m: DataFrame) -> DataFrame:
+    """``m`` with ``part``: MOST messages of a block each, in order; only blocks with more are ordered to be cut.
+
+    They are sorted as a whole, so that ranges of any size class, also of equal messages, fall to many tasks; a count by
+    task gives each message its rank.
+    """
+    sizes = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    over = stored(sizes.where(F.col("n") > MOST).select("key"))
+    small = m.join(over, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    large = m.join(over, "key", "left_semi").withColumn("tie", F.monotonically_increasing_id())
+    sort = large.orderBy("key", "turn", "speaker", "content", "tie").drop("tie")
+    at = stored(sort.withColumn("at", F.monotonically_increasing_id())).withColumn("task", F.shiftright("at", 33))
+    runs = at.groupBy("key", "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("key", "task", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.col("before") + F.col("at") - F.col("first")
+    return small.unionByName(at.join(runs, ["key", "task"]).withColumn("part", F.floor(rank / MOST)).select(*small.columns))
 
 
 def dialogues(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
               text_col: str = "text", context: tuple[str, ...] = CONTEXT) -> DataFrame:
-    """Rendered dialogues: (conv_col, participant, block, messages, text, spans).
+    """Rendered dialogues: (conv_col, participant, block, part, messages, text, spans).
+
+    Every speaker of a conversation is its ``participant`` once, but for those of ``context``; a conversation whose
+    speakers are all context gives no row. A dialogue is cut into blocks of BLOCK turn numbers, and a block with more
+    than MOST messages, which have equal numbers or none, into parts of MOST; blocks and parts in order make the whole.
+    ``spans`` are the 0-based character ranges [first, end) of the part's text that are targets. Messages of one turn
+    number stand in the order of speaker and text, repeated ones are repeated, those without a turn number are a block
+    of their own (null). A null role speaks as ``unknown``, a null text is empty; other columns are not read.
 
-    A dialogue is cut into blocks of BLOCK turn numbers, so that a long conversation is many rows; the blocks in order
-    make the whole. ``spans`` are the 0-based character ranges [first, end) of the block's text that are targets.
-    Messages of one turn number stand in the order of speaker and text, repeated ones are repeated, those without a
-    turn number are a block of their own (null). See ``rotated`` for null roles and texts; other columns are not read.
+    The messages are shuffled once, by part, and meet the short list of participants there; the perspectives are made
+    from the row of a part.
     """
-    r = rotated(messages, conv_col, turn_col, role_col, text_col, context).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    packed = r.groupBy("conv", "participant", "block").agg(F.array_sort(F.collect_list(
-        F.struct("turn", "speaker", "content", "head", "body", "target"))).alias("m"))
+    m = _parts(_messages(messages, conv_col, turn_col, role_col, text_col)).withColumn("key", F.struct("key.conv", "key.block", "part"))
+    of = m.select(F.struct("key.conv").alias("of"), "key", "speaker")
+    people = of.where(~F.col("speaker").isin(*context)).groupBy("of").agg(F.collect_set("speaker").alias("people"))
+    lists = of.select("of", "key").distinct().join(people, "of").select("key", "people")
+    packed = m.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content"))).alias("m"))
+    packed = packed.join(lists, "key").select("key", "m", F.explode("people").alias("participant"))
+    own = lambda x: x["speaker"] == F.col("participant")
+    head = lambda x: F.when(own(x), F.lit("<|assistant|>\n")).when(x["speaker"].isin(*context), F.concat(F.lit(OPEN), x["speaker"], F.lit("|>\n"))).otherwise(
+        F.concat(F.lit("<|user|>\n"), _safe(x["speaker"]), F.lit(": ")))
+    body = lambda x: F.concat(_safe(x["content"]), F.lit(END + "\n"))
+    packed = packed.withColumn("m", F.transform("m", lambda x: F.struct(head(x).alias("head"), body(x).alias("body"), own(x).alias("target"))))
     kind = "struct<at:int,spans:array<struct<first:int,end:int>>>"
     start = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind)
 
     def add(held: Column, x: Column) -> Column:
         first = held["at"] + F.length(x["head"])
         end = first + F.length(x["body"])
-        own = F.array(F.struct(first.alias("first"), (end - 1).alias("end")))
-        return F.struct(end.alias("at"), F.when(x["target"], F.concat(held["spans"], own)).otherwise(held["spans"]).alias("spans"))
+        span = F.array(F.struct(first.alias("first"), (end - 1).alias("end")))
+        return F.struct(end.alias("at"), F.when(x["target"], F.concat(held["spans"], span)).otherwise(held["spans"]).alias("spans"))
     return packed.select(
-        F.col("conv").alias(conv_col), "participant", "block", F.size("m").cast("long").alias("messages"),
-        F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
+        F.col("key.conv").alias(conv_col), "participant", F.col("key.block").alias("block"), F.col("key.part").alias("part"),
+        F.size("m").cast("long").alias("messages"), F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
         F.aggregate("m", start, add)["spans"].alias("spans"))
 
 
@@ -73,9 +97,10 @@ r AS (SELECT m.*, p.participant, CAST(floor(turn / 64.0) AS BIGINT) AS block, sp
   CASE WHEN speaker = participant THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10)
     ELSE '<|user|>' || chr(10) || replace(speaker, '<|', '< |') || ': ' END AS head,
   replace(content, '<|', '< |') || '<|end|>' || chr(10) AS body FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, participant, block ORDER BY turn, speaker, content) - 1) // 256 AS part FROM r),
 s AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM r WINDOW w AS (PARTITION BY conv_id, participant, block ORDER BY turn, speaker, content))
-SELECT conv_id, participant, block, count(*) AS messages, md5(string_agg(head || body, '' ORDER BY k)) AS text_md5,
+  FROM o WINDOW w AS (PARTITION BY conv_id, participant, block, part ORDER BY turn, speaker, content))
+SELECT conv_id, participant, block, part, count(*) AS messages, md5(string_agg(head || body, '' ORDER BY k)) AS text_md5,
   coalesce(string_agg(CAST(upto - length(body) AS BIGINT) || '-' || CAST(upto - 1 AS BIGINT), ',' ORDER BY k) FILTER (target), '') AS spans
-FROM s GROUP BY conv_id, participant, block
+FROM s GROUP BY conv_id, participant, block, part
 """

@@ -61,6 +61,14 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def heavy_join(rows: DataFrame, values: DataFrame, keys: str | list[str], n: str, how: str = "left", parts: int = 1000) -> DataFrame:
     """``rows`` joined (left or inner) with one row of ``values`` per key, whose column ``n`` says how many of ``rows`` have it.
 

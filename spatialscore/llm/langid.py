@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Every language has a zstandard raw-content dictionary of its commonest words. A text, each of its words once, is
+Every language has a zstandard raw-content dictionary of its commonest words. A whole text, lower-cased and in pieces, is
 compressed with all of them; the smallest result names the language and the margin to the second says how sure it is.
 Short texts differ by less than a byte, so for them sizes are summed over several dictionaries and lead-ins. How small
 a margin may be is learned by length from labelled rows that the dictionaries have not seen.
@@ -60,10 +60,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where((crc_mod("id", folds) != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("id").alias("ids")).collect()
+    sizes = {r["lang"]: r["n"] for r in counted}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * docs_per_language)
+    # Hashes spread evenly: below a bound lie some four times the ids wanted, so that few are ranked however many there are.
+    shares = [F.lit(x) for r in counted for x in (r["lang"], min(1.0, (8.0 * docs_per_language + 400) / r["ids"]))]
+    low = F.xxhash64("id") / F.lit(2.0 ** 64) + 0.5 <= F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(True)
+    chosen = (rows.where(low).select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * docs_per_language)
               .groupBy("id", "lang").agg(F.min("k").alias("k")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     # At most twice docs_per_language rows for each language, so the ids are a small side whatever the corpus.
     teaches = (F.col("k") <= docs_per_language * MEASURES // (MEASURES - 1)) & (F.col("k") % MEASURES != 0)
     both = stored(rows.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang", teaches.alias("teaches")))
@@ -144,8 +148,8 @@ class Judge:
 
     def judge(self, text: str | None) -> tuple[str, float, int]:
         """Language, margin and length class; class 0 for texts without a letter."""
-        words = dict.fromkeys(NOT_LETTERS.sub(" ", (text or "").lower()).split())
-        if not words or not self.compressors:
+        words = NOT_LETTERS.sub(" ", (text or "").lower()).split()
+        if not any(c.isalpha() for w in words for c in w) or not self.compressors:
             return UNDETERMINED, 0.0, 0
         content = " ".join(words).encode()
         sizes = self.sizes(content)

@@ -14,21 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, heavy_join, stored
 
 DOC = ["id", "copy"]
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, copy, pos, h, g, w): every line as two hashes, with its number of blank-separated words."""
+    """(id, copy, pos, h, g, w): every line as two hashes, with its number of words."""
     base = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("copy"), docs[text_col].alias("text"))
     each = base.where("text IS NOT NULL").select("id", "copy", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return each.select("id", "copy", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), words("line").alias("w"))
 
 
 def words(line: str) -> Column:
-    c = F.col(line)
-    return F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+    """Maximal runs of other characters than white space (fixed pattern)."""
+    return F.regexp_count(F.col(line), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
 def ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -104,8 +104,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = runs.select(*DOC, "pos", "m", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     found = stored(found)
     at = F.struct(*DOC, "pos")
-    first = found.groupBy("m", "a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(first, ["m", "a", "b"]).where(at != F.col("first"))
+    first = stored(found.groupBy("m", "a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = heavy_join(found, first, ["m", "a", "b"], "n", how="inner").where(at != F.col("first"))
     spans = later.groupBy(*DOC, "pos").agg(F.max("m").alias("m"))
     each = spans.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("m") - 1)).alias("line")).distinct()
     return each.groupBy(*DOC).agg(F.array_sort(F.collect_list("line")).alias("removed"))
@@ -119,12 +119,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_words`` words on, so a shorter repeated line stays; the first copy in the order of (id, hash of the text,
     line) stays too, so no line's text is lost altogether. Null texts stay null with 0 lines, an empty text is one
     empty line. Repeated rows of one id and text are one document and are treated alike; a row without an id has no
-    place in the order and keeps all its lines. Columns may have any other names but those three. The texts are read twice and shuffled once.
+    place in the order and keeps all its lines. Columns may have any other names but those three. A very long text is many lines, none of which is held with others in one row. The texts are read twice and shuffled once.
     """
     removed = later_copies(docs, id_col, text_col, min_words).select(
-        F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("removed").alias("_spans"))
-    left = docs.withColumn("_copy", F.xxhash64(docs[text_col]))
-    on = left[id_col].eqNullSafe(removed["_id"]) & (left["_copy"] == removed["_copy"])
+        F.col("id").alias("_id"), F.col("copy").alias("_copy_of"), F.col("removed").alias("_spans"))
+    copy = free_name(docs, "_copy")
+    left = docs.withColumn(copy, F.xxhash64(docs[text_col]))
+    on = left[id_col].eqNullSafe(removed["_id"]) & (left[copy] == removed["_copy_of"])
     joined = left.join(removed, on, "left").select(*[left[c] for c in docs.columns], removed["_spans"])
     parts = F.split(F.col(text_col), "\n")
     gone = F.coalesce("_spans", F.array().cast("array<int>"))
@@ -134,8 +135,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumns({"_lines": n, "_removed": F.size(gone).cast("long"), "_spans": gone, text_col: text})
 
 
-SQL = """
-WITH l AS (SELECT doc_id, i - 1 AS pos, s[i] AS line, CASE WHEN s[i] = '' THEN 0 ELSE length(s[i]) - length(replace(s[i], ' ', '')) + 1 END AS w
+SQL = r"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, s[i] AS line, len(regexp_extract_all(s[i], '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), unnest(range(1, len(s) + 1)) AS t(i)),
 pairs AS (SELECT a.doc_id AS d, a.pos AS p, b.doc_id AS e, a.pos - b.pos AS diag, a.w FROM l a JOIN l b
   ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),

@@ -107,8 +107,13 @@ def fit(labelled: DataFrame, features_col: str = "features", label_col: str = "l
 
 
 def score(model: Discriminant, features_col: Column) -> Column:
-    """Probability of label 1, from FEATURES; the model's factors go to Python once per task."""
+    """Probability of label 1, from FEATURES; the model's factors go to Python once per task.
+
+    A null array of features counts as zeros. Rows are scored one by one, so repeated rows, empty tables and other
+    columns change nothing.
+    """
     def run(xs: pa.Array) -> pa.Array:
-        x = np.asarray(xs.flatten()).reshape(-1, len(FEATURES))
-        return pa.array(model.score(x))
+        # A null array is an empty text's, all zeros.
+        rows = [r if r is not None else [0.0] * len(FEATURES) for r in xs.to_pylist()]
+        return pa.array(model.score(np.array(rows, dtype=float).reshape(-1, len(FEATURES))), pa.float64())
     return F.arrow_udf(run, "double")(features_col)

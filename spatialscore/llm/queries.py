@@ -92,7 +92,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from the view of every speaker, in blocks of turns."""
     out = chat.dialogues(table(spark, sf_dir, "conversations"))
     span = F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string")))
-    return out.select("conv_id", "participant", "block", "messages", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    return out.select("conv_id", "participant", "block", "part", "messages", F.md5(F.col("text").cast("binary")).alias("text_md5"),
                       F.array_join(span, ",").alias("spans"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BLOCKS = "dim int, ids binary, matrix binary"
 HITS = "query_id long, vec_id long, score long"
+LIMB, COLUMNS_AT_ONCE = 20, 4096
 EXACT = float(1 << 53)
 
 
@@ -59,13 +60,40 @@ def packed(rows: DataFrame, block: int) -> DataFrame:
 
 
 def tile_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products; whole doubles multiply exactly below 2^53, larger ones in Python integers."""
+    """Integer inner products; beyond 64 bits the largest or smallest long.
+
+    Whole doubles multiply exactly below 2^53. Larger ones are cut into limbs of 20 bits, whose products are added up
+    modulo 2^64; that is exact for every product that fits a long, and the plain product tells which do not.
+    """
     if not q.size or not v.size:
         return np.zeros((len(q), len(v)), dtype=np.int64)
     if np.abs(q).max() * np.abs(v).max() * q.shape[1] < EXACT:
         return (q @ v.T).astype(np.int64)
-    exact = [[int(x) for x in row] for row in v]
-    return np.array([[sum(int(a) * b for a, b in zip(x, y)) for y in exact] for x in q]).astype(np.int64)
+    a, b = limbs(q), limbs(v)
+    total = np.zeros((len(q), len(v)), dtype=np.uint64)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b[:4 - i]):
+            for start in range(0, q.shape[1], COLUMNS_AT_ONCE):
+                part = x[:, start:start + COLUMNS_AT_ONCE] @ y[:, start:start + COLUMNS_AT_ONCE].T
+                total += part.astype(np.uint64) << np.uint64(LIMB * (i + j))
+    out = total.view(np.int64).copy()
+    with np.errstate(over="ignore", invalid="ignore"):
+        plain, size = q @ v.T, np.abs(q) @ np.abs(v).T
+        slack = size * 2.0 ** -40
+        over = np.abs(plain) - slack >= 2.0 ** 63
+        doubtful = ~over & ~(np.abs(plain) + slack < 2.0 ** 63)
+    out[over] = np.where(plain[over] > 0, (1 << 63) - 1, -(1 << 63))
+    for i, j in zip(*np.nonzero(doubtful)):
+        exact = sum(int(x) * int(y) for x, y in zip(q[i], v[j]))
+        out[i, j] = max(-(1 << 63), min((1 << 63) - 1, exact))
+    return out
+
+
+def limbs(x: np.ndarray) -> list[np.ndarray]:
+    """Whole doubles modulo 2^64 as four limbs of 20 bits, the lowest first."""
+    rest = np.fmod(x, 2.0 ** 64)
+    rest = np.abs(rest).astype(np.uint64) * np.where(rest < 0, np.uint64((1 << 64) - 1), np.uint64(1))
+    return [((rest >> np.uint64(LIMB * k)) & np.uint64((1 << LIMB) - 1)).astype(float) for k in range(4)]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

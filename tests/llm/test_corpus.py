@@ -210,7 +210,7 @@ def test_dialogues_of_odd_conversations(spark):
     c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     out = chat.dialogues(d)
     span = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",")
-    shown = out.select("conv_id", "participant", "block", "messages", F.md5(F.col("text").cast("binary")).alias("text_md5"), span.alias("spans"))
+    shown = out.select("conv_id", "participant", "block", "part", "messages", F.md5(F.col("text").cast("binary")).alias("text_md5"), span.alias("spans"))
     assert compare(shown, c, chat.SQL)[0] is None
     ann = out.where("conv_id = 1 AND participant = 'ann' AND block = 0").first()
     assert [ann["text"][s["first"]:s["end"]] for s in ann["spans"]] == ["hi<|end|>"]
@@ -269,3 +269,43 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_scores_beyond_doubles_and_longs():
+    rng = np.random.default_rng(6)
+    for top in (1 << 26, 1 << 30, 1 << 31, 1 << 40, 1 << 60, 1e30):
+        q, v = (np.floor(rng.uniform(-1, 1, (5, 8)) * float(top)) for _ in range(2))
+        q[0], v[1] = 0, 1
+        want = [[max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y)))) for y in v] for x in q]
+        assert topk.tile_scores(q, v).tolist() == want
+
+
+def test_vectors_whose_scores_leave_a_long(spark):
+    d = spark.createDataFrame([(0, [3e9, 3e9]), (1, [3e9, 3e9]), (2, [-3e9, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(d, d.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, (1 << 63) - 1), (3, 2 * 256 * 768_000_000_000), (2, -(1 << 63))]
+
+
+def test_words_of_a_line_are_runs_of_other_than_white_space(spark):
+    passage = "\t".join(f"w{i}" for i in range(60))
+    padded = "a  b" + " " * 80
+    d = spark.createDataFrame([(1, f"x\n{passage}", "p", 1), (2, f"{passage}\ny", "q", 2), (3, padded, "r", 3), (4, padded, "s", 4)],
+                              "doc_id long, text string, _copy string, _copy_of int")
+    out = linedup.dedup_lines(d, min_words=50)
+    got = {r["doc_id"]: (r["text"], r["_copy"], r["_copy_of"]) for r in out.collect()}
+    assert got == {1: (f"x\n{passage}", "p", 1), 2: ("y", "q", 2), 3: (padded, "r", 3), 4: (padded, "s", 4)}
+
+
+def test_long_blocks_are_cut_in_order(spark):
+    """A conversation without turn numbers, one with a single number, equal messages, and a null id."""
+    rng = random.Random(2)
+    rows = [("hot", None, rng.choice("ab"), f"t{rng.randrange(400)}") for _ in range(1500)] + [("one", 7, "a", "same")] * 900
+    rows += [("one", 7, "b", "other"), (None, 1, "a", "x"), (None, 1, "b", None), ("few", 1, "a", "p"), ("few", 70, "system", "q"), ("few", 2, None, "r")]
+    d = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(5)
+    out = chat.dialogues(d)
+    assert out.agg(F.max("messages")).first()[0] == chat.MOST
+    shown = out.select("conv_id", "participant", "block", "part", "messages", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                       F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+    c = duckdb.connect()
+    c.register("conversations", d.toPandas())
+    assert compare(shown, c, chat.SQL)[0] is None

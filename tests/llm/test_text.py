@@ -107,6 +107,32 @@ def test_languages_of_odd_rows(spark):
     assert none.names == () and odd.select(langid.identify(odd, none).alias("r")).select("r.lang").distinct().collect()[0][0] == "und"
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    model = langid.Languages(("en", "de"), (b"the and of", b"der die das"))
+    judge = langid.Judge(model)
+    assert all(judge(t) == ("und", 0.0, True) for t in ("½ ²", "①②", "Ⅷ", "12 _", "", None))
+    assert judge("½ the")[0] == "en"
+
+
+def test_repeated_words_count(spark):
+    """Every piece of a text counts, so the larger part of a mixed text decides, however few its different words are."""
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([
+        ("weather forecast tomorrow morning sunshine rain cloud wind storm", "en"), ("Wetter Vorhersage Sonnenschein Regenschirm übermorgen Wolke Sturm", "de")] * 30)], "doc_id long, text string, lang string")
+    judge = langid.Judge(langid.fit(train))
+    assert judge("weather forecast tomorrow " * 8000 + "Vorhersage Sonnenschein Regenschirm übermorgen")[0] == "en"
+
+
+def test_one_id_many_times_teaches(spark):
+    train = spark.createDataFrame([(1, "weather forecast tomorrow", "en")] * 9000, "doc_id long, text string, lang string")
+    assert langid.fit(train, docs_per_language=10).names == ("en",)
+
+
+def test_null_features_score_as_an_empty_text(spark):
+    d = spark.createDataFrame([(1, None), (2, [0.0] * len(quality.FEATURES))], "id long, features array<double>")
+    model = quality.fit(d.where("id = 2").select("features", F.lit(1).alias("label")))
+    assert [r[0] for r in d.select(quality.score(model, F.col("features"))).collect()] == [1.0, 1.0]
+
+
 def test_short_documents_stay_and_texts_of_no_language_go(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     judge = langid.Judge(langid.fit(docs))
