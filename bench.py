@@ -23,6 +23,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n]
     spark = local_session(cpus, shuffle_partitions=cpus, memory="16g")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")  # the bench's tables are small files
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors before the clock
     from spatialscore.plans.catalogue import QUERIES
     times = {}

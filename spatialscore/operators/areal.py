@@ -166,4 +166,4 @@ def convex_hull(df: DataFrame, x: str, y: str) -> DataFrame:
         for pdf in local(batches):
             yield pdf.assign(vertex=np.arange(1, len(pdf) + 1))[["vertex", "x", "y"]]
 
-    return merged.coalesce(1).mapInPandas(last, "vertex long, x double, y double")
+    return merged.repartition(1).mapInPandas(last, "vertex long, x double, y double")

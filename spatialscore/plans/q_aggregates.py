@@ -9,7 +9,7 @@ from ..operators import scoring as Sc
 from ..operators import strata as St
 from ..operators.compare import flag_best_worst, pair_models
 from ..operators.ordering import group_quantiles
-from ..operators.posterior import add_noise
+from ..operators.posterior import add_noise, noise_ctes, uniform_sql
 from ..operators.spatial import stratified_nearest
 from . import views as V
 from .registry import query
@@ -65,23 +65,42 @@ def _(spark, sf):
     return V.single(spark, sf).groupBy("model", "county").agg(F.avg("coverage").alias("coverage"), F.avg("width").alias("width"))
 
 
-@query("a08_fuzzy_coverage", "counts", """
-    SELECT vec_id, least(inside, 1 - coalesce(p_lo, 0), 1 - coalesce(p_hi, 0)) AS coverage,
+def _fuzzy_sql(keys: str, rows: str, delta: str) -> str:
+    """Fuzzy scores for each of ``keys`` of rows (keys, truth, v): everything that follows from the two limits."""
+    return f"""
+    SELECT *, truth_error * truth_error AS sq_err, least(inside, 1 - coalesce(p_lo, 0), 1 - coalesce(p_hi, 0)) AS coverage,
       hi - lo - coalesce(delta * p_lo, 0) - coalesce(delta * p_hi, 0) AS width,
       hi - lo - coalesce(delta * p_lo, 0) - coalesce(delta * p_hi, 0) + CASE WHEN truth < lo THEN 10 * (lo - truth) ELSE 0 END
         + CASE WHEN truth > hi THEN 10 * (truth - hi) ELSE 0 END AS interval_score
-    FROM (SELECT vec_id, truth, lo, hi, delta, CASE WHEN lo <= truth AND truth <= hi THEN 1e0 ELSE 0e0 END AS inside,
+    FROM (SELECT *, mean - truth AS truth_error, CASE WHEN lo <= truth AND truth <= hi THEN 1e0 ELSE 0e0 END AS inside,
         CASE WHEN lo = truth THEN (0.1::DOUBLE - below) / at_lo END AS p_lo, CASE WHEN hi = truth THEN (0.1::DOUBLE - above) / at_hi END AS p_hi
-      FROM (SELECT vec_id, any_value(truth) AS truth, any_value(lo) AS lo, any_value(hi) AS hi, avg(CAST(v < lo AS INT)) AS below,
-          avg(CAST(v = lo AS INT)) AS at_lo, avg(CAST(v > hi AS INT)) AS above, avg(CAST(v = hi AS INT)) AS at_hi, min(nullif(gap, 0)) AS delta
-        FROM (SELECT *, quantile_cont(v, 0.1::DOUBLE) OVER (PARTITION BY vec_id) AS lo, quantile_cont(v, 0.9::DOUBLE) OVER (PARTITION BY vec_id) AS hi,
-            v - lag(v) OVER (PARTITION BY vec_id ORDER BY v) AS gap FROM (SELECT vec_id, truth, unnest(draws) AS v FROM counts))
-        GROUP BY vec_id))""", rnd="coverage width interval_score")
+      FROM (SELECT {keys}, any_value(truth) AS truth, any_value(lo) AS lo, any_value(hi) AS hi, avg(CAST(v < lo AS INT)) AS below,
+          avg(CAST(v = lo AS INT)) AS at_lo, avg(CAST(v > hi AS INT)) AS above, avg(CAST(v = hi AS INT)) AS at_hi, {delta} AS delta,
+          avg(v) AS mean, avg(abs(v - truth)) - sum((2 * r - m - 1) * v) / any_value(m * m) AS crps
+        FROM (SELECT *, quantile_cont(v, 0.1::DOUBLE) OVER (PARTITION BY {keys}) AS lo, quantile_cont(v, 0.9::DOUBLE) OVER (PARTITION BY {keys}) AS hi,
+            v - lag(v) OVER (PARTITION BY {keys} ORDER BY v) AS gap, row_number() OVER (PARTITION BY {keys} ORDER BY v) AS r, count(*) OVER (PARTITION BY {keys}) AS m FROM ({rows}))
+        GROUP BY {keys}))"""
+
+
+FUZZY_ROWS = "SELECT vec_id, truth, unnest(draws) AS v FROM counts"
+
+
+@query("a08_fuzzy_coverage", "counts", f"SELECT vec_id, coverage, width, interval_score FROM ({_fuzzy_sql('vec_id', FUZZY_ROWS, 'min(nullif(gap, 0))')})",
+       rnd="coverage width interval_score")
 def _(spark, sf):
     s = Sc.single_scores(V.counts(spark, sf), truth="truth", draws="draws", fuzzy=True)
     return s.select("vec_id", "coverage", "width", "interval_score")
 
 
+@query("a08_fuzzy_coverage_of_trials", "counts", f"SELECT vec_id, coverage, width, interval_score FROM ({_fuzzy_sql('vec_id', FUZZY_ROWS, '1e0 / (5 + vec_id % 20)')})",
+       rnd="coverage width interval_score")
+def _(spark, sf):
+    # The step between possible values is one trial's share, whatever values were drawn.
+    rows = V.counts(spark, sf).withColumn("trials", 5 + F.col("vec_id") % 20)
+    s = Sc.single_scores(rows, truth="truth", draws="draws", fuzzy=True, sizes="trials")
+    return s.select("vec_id", "coverage", "width", "interval_score")
+
+
 @query("a09_interval_sources", "preds long_draws", f"""
     SELECT 'gaussian' AS source, id AS key, est - {V.Z80} * sd AS lower, est + {V.Z80} * sd AS upper FROM preds
     UNION ALL SELECT 'given', id, least(est + sd, est - 2 * sd + id % 100), greatest(est + sd, est - 2 * sd + id % 100) FROM preds
@@ -283,15 +302,23 @@ def _(spark, sf):
 
 
 @query("b08_left_out_columns", "single", """
-    SELECT model, avg(crps) AS crps, -2 * avg(ln(sd)) AS cpo, sum(sq_err) AS dic FROM single GROUP BY model""", rnd="crps cpo dic")
+    SELECT model, avg(crps) AS crps, -2 * avg(ln(sd)) AS log_scale, sum(sq_err) AS misfit FROM single GROUP BY model""", rnd="crps log_scale misfit")
 def _(spark, sf):
-    # Criteria from a fitter arrive as columns and are only carried along.
-    s = V.single(spark, sf).groupBy("model").agg(F.avg("crps").alias("crps"), (-2 * F.avg(F.ln("sd"))).alias("cpo"), F.sum("sq_err").alias("dic"),
+    # A fitter's criteria arrive as columns and are only carried along; these two stand in for them.
+    s = V.single(spark, sf).groupBy("model").agg(F.avg("crps").alias("crps"), (-2 * F.avg(F.ln("sd"))).alias("log_scale"), F.sum("sq_err").alias("misfit"),
                                                  F.avg("width").alias("width"))
-    return s.select("model", "crps", "cpo", "dic")
+    return s.select("model", "crps", "log_scale", "misfit")
+
+
+NOISY = noise_ctes("SELECT vec_id, area, truth, 5 + vec_id % 20 AS n, list_transform(draws, lambda v: 1e0 / (1e0 + exp(-v))) AS p FROM draws", "vec_id", 1) + f""",
+    noised AS (SELECT 'none' AS noise, vec_id, area, truth, i, v FROM states UNION ALL SELECT 'binomial', vec_id, area, any_value(truth), i, count(*) FILTER (u < v) / any_value(n)::DOUBLE
+      FROM (SELECT *, {uniform_sql('a', 'b', 't')} AS u FROM states, range(1, 25) AS r(t) WHERE t <= n) GROUP BY vec_id, area, i)"""
 
 
-@query("b09_with_and_without_noise")
+@query("b09_with_and_without_noise", "draws", f"""
+    SELECT area, noise, avg(truth_error) AS bias, var_pop(truth_error) AS var, avg(sq_err) AS mse, sqrt(avg(sq_err)) AS rmse, avg(crps) AS crps,
+      avg(interval_score) AS interval_score, avg(coverage) AS coverage, avg(width) AS width
+    FROM ({_fuzzy_sql('vec_id, area, noise', 'SELECT * FROM noised', 'min(nullif(gap, 0))')}) GROUP BY area, noise""", rnd=EIGHT_R, ints="area", ctes=NOISY)
 def _(spark, sf):
     d = V.draws(spark, sf).withColumns({"draws": F.transform("draws", lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v))), "n": 5 + F.col("vec_id") % 20})
     noisy = add_noise(d, "vec_id", "draws", "binomial", size="n", seed=1)

@@ -60,10 +60,10 @@ def _(spark, sf):
 
 
 @query("p06_clamp", "preds long_draws", """
-    SELECT id AS key, CASE WHEN est < 0 THEN 0 WHEN est > 40 THEN 40 ELSE est END AS v FROM preds WHERE model = 'A'
+    SELECT id AS key, CASE WHEN est < 0 THEN 0 WHEN est > 40 THEN 40 ELSE est END AS v FROM preds
     UNION ALL SELECT vec_id, sum(greatest(least(v, 1e0), 0e0)) FROM long_draws GROUP BY vec_id""", rnd="v")
 def _(spark, sf):
-    a = V.preds(spark, sf).where("model = 'A'").select(F.col("id").alias("key"), Tf.clamp("est", 0, 40).alias("v"))
+    a = V.preds(spark, sf).select(F.col("id").alias("key"), Tf.clamp("est", 0, 40).alias("v"))
     b = V.draws(spark, sf).select("vec_id", Tf.array_sum(Tf.clamp_array("draws", 0, 1)))
     return a.union(b)
 

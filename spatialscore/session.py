@@ -17,7 +17,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
-        .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spatialscore-ckpt-"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
