@@ -262,19 +262,87 @@ def within_radius(points: DataFrame, refs: DataFrame, pid: str, rid: str, radius
     return points.select(pid).join(hit, pid, "left")
 
 
+def nearest_by_class(points: DataFrame, refs: DataFrame, pid: str, classes: dict[str, Column], px: str = "east", py: str = "north",
+                     rx: str = "east", ry: str = "north", exclude_zero: bool = False, cap: int = 8) -> DataFrame:
+    """``pid`` and for each class the distance to its nearest reference, from one descent for all classes.
+
+    ``classes`` are conditions on the references. Cells keep a count and a box for each class; a point keeps a bound for
+    each class and a cell as long as it may hold the nearest of one. Points without a place have no row.
+    """
+    names = list(classes)
+    r = refs.select(F.col(rx).cast("double").alias("x"), F.col(ry).cast("double").alias("y"), *[c.alias(f"_is_{n}") for n, c in classes.items()])
+    r = r.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(*[F.max(f"_is_{n}").alias(f"_is_{n}") for n in names])
+    own = lambda n, c: F.when(F.col(f"_is_{n}"), c)
+    sides = {"x0": F.col("x"), "x1": -F.col("x"), "y0": F.col("y"), "y1": -F.col("y")}
+    keep = Choice([], lambda n: n, F.lit(True), {f"_n_{n}": F.coalesce(own(n, F.lit(1)), F.lit(0)).cast("bigint") for n in names},
+                  {f"_{side}_{n}": own(n, c) for n in names for side, c in sides.items()}, [])
+    pyr = build_pyramid(r, [], "x", "y", cap, choice=keep)
+    root = pyr.cells.where("lvl = 0").first()
+    every, names = names, [n for n in names if root and root[f"_n_{n}"]]
+    if not names:
+        return points.select(pid, *[F.lit(None).cast("double").alias(n) for n in every]).limit(0)
+    # Places of the point itself may fill a bound: one more is needed then.
+    need = 2 if exclude_zero else 1
+    slack, bounds = 1.0 + 1e-12, [f"ub_{n}" for n in names]
+
+    def span(n: str, p: str, axis: str, far: bool) -> Column:
+        lo, hi, at = F.col(f"_{axis}0_{n}"), -F.col(f"_{axis}1_{n}"), F.col(p)
+        return F.greatest(F.abs(at - lo), F.abs(hi - at)) if far else F.greatest(lo - at, at - hi, F.lit(0.0))
+
+    def reach(n: str, far: bool) -> Column:
+        dx, dy = span(n, "px", "x", far), span(n, "py", "y", far)
+        return dx * dx + dy * dy
+
+    may = reduce(lambda a, b: a | b, [(F.col(f"_n_{n}") > 0) & (reach(n, False) <= F.col(f"ub_{n}") * slack) for n in names])
+    enough = lambda n: F.min(F.when(F.col(f"_n_{n}") >= need, reach(n, True)))
+    size = F.lit(pyr.extent) / F.expr("shiftleft(1L, 2 * lvl)")
+    index = lambda v, origin: F.when(F.col("lvl") == 0, F.lit(0)).otherwise(F.floor((v - F.lit(origin)) / size)).cast("bigint")
+    p = points.select(F.col(pid).alias("pid"), F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
+    cell = ["lvl", "cx", "cy"]
+    around = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(pyr.depth))).alias("lvl")).withColumns({"cx": index(F.col("px"), pyr.x0), "cy": index(F.col("py"), pyr.y0)})
+    bound = around.join(pyr.cells, cell, "left").groupBy("pid", "px", "py").agg(
+        *[F.coalesce(enough(n), F.lit(float("inf"))).alias(f"ub_{n}") for n in names])
+    widest = F.sqrt(F.greatest(*bounds) if len(bounds) > 1 else F.col(bounds[0])) * (1.0 + 1e-9) + F.lit(pyr.extent * 1e-12)
+    level = F.floor(F.log(F.lit(pyr.extent) / F.col("r")) / math.log(SIDE))
+    start = bound.withColumn("r", widest).withColumn("l0", F.when(
+        F.col("r") < float("inf"), F.greatest(F.lit(0), F.least(F.lit(pyr.depth), level))).otherwise(0).cast("int"))
+    line = lambda v, o: F.when(F.col("lvl") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(index(F.col(v) - F.col("r"), o), index(F.col(v) + F.col("r"), o)))
+    start = (start.select("pid", "px", "py", *bounds, "r", "l0", F.explode(F.sequence(F.lit(0), F.col("l0"))).alias("lvl"))
+             .select("*", F.explode(line("px", pyr.x0)).alias("cx")).select("*", F.explode(line("py", pyr.y0)).alias("cy")))
+    held = ["pid", "px", "py", *bounds, *cell, "leaf"]
+    cand = start.join(pyr.cells, cell).where((F.col("leaf") | (F.col("lvl") == F.col("l0"))) & may).select(*held)
+    kid = pyr.cells.where(F.col("lvl") > 0).select(
+        (F.col("lvl") - 1).alias("_kl"), F.floor(F.col("cx") / SIDE).alias("_kx"), F.floor(F.col("cy") / SIDE).alias("_ky"),
+        F.struct(*cell, "leaf").alias("_kid"), *keep.kept)
+    per_point = Window.partitionBy("pid", "px", "py")
+
+    def down(cand: DataFrame) -> DataFrame:
+        """The children of all cells that are no leaves; leaves pass through with what is known of them."""
+        leaves = cand.where("leaf")
+        opened = cand.where(~F.col("leaf")).join(kid, (F.col("lvl") == F.col("_kl")) & (F.col("cx") == F.col("_kx")) & (F.col("cy") == F.col("_ky"))).where(may)
+        tight = [F.least(F.col(f"ub_{n}"), F.min(F.when(F.col(f"_n_{n}") >= need, reach(n, True))).over(per_point)).alias(f"ub_{n}") for n in names]
+        opened = opened.select("pid", "px", "py", *tight, "_kid", *keep.kept).where(may)
+        return leaves.unionByName(opened.select("pid", "px", "py", *bounds, "_kid.*"))
+
+    cand = cut_lineage(down(cand))
+    while not cand.where(~F.col("leaf")).isEmpty():
+        cand = cut_lineage(down(cand))
+    pairs = cand.select("pid", "px", "py", *cell).join(pyr.leaves, cell).withColumn("d", _distance("px", "py", "x", "y"))
+    if exclude_zero:
+        pairs = pairs.where(F.col("d") > 0)
+    return pairs.groupBy("pid").agg(*[F.min(F.when(F.col(f"_is_{n}"), F.col("d"))).alias(n) for n in every]).withColumnRenamed("pid", pid)
+
+
 def stratified_nearest(points: DataFrame, refs: DataFrame, pid: str, rid: str, urban: str = "urban",
                        exclude_zero: bool = True) -> DataFrame:
-    """Nearest distance of every point to all, urban and rural references (one search).
+    """Nearest distance of every point to all, urban and rural references (one descent for all).
 
-    The nearest of all is the nearer of the strata's nearest, so every reference is searched in its stratum only.
+    The nearest of all is the nearest of the urban, rural and unmarked ones.
     """
-    own = F.when(F.col(urban), F.lit("urban")).when(~F.col(urban), F.lit("rural")).otherwise(F.lit("none"))
-    r = refs.withColumn("obs_set", own)
-    sets = sorted(s["obs_set"] for s in r.select("obs_set").distinct().collect())
-    p = points.select("*", F.explode(F.array(*[F.lit(s) for s in sets]).cast("array<string>")).alias("obs_set"))
-    hit = nearest(p, r, pid, rid, group=["obs_set"], exclude_zero=exclude_zero)
-    wide = hit.groupBy(pid).agg(F.min("d").alias("nn_all"), *[
-        F.min(F.when(F.col("obs_set") == s, F.col("d"))).alias(f"nn_{s}") for s in ("urban", "rural")])
+    u = F.col(urban)
+    found = nearest_by_class(points.select(pid, "east", "north"), refs, pid, {
+        "nn_urban": F.coalesce(u, F.lit(False)), "nn_rural": F.coalesce(~u, F.lit(False)), "nn_none": u.isNull()}, exclude_zero=exclude_zero)
+    wide = found.select(pid, F.least("nn_urban", "nn_rural", "nn_none").alias("nn_all"), "nn_urban", "nn_rural")
     return points.select(pid, urban).join(wide, pid, "left")
 
 

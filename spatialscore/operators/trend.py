@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, default_buckets
 from .compare import arg_max
 from .lattice import Layer, basis_row
 from .sparse import conjugate_gradients
@@ -106,7 +106,7 @@ def normal_equations(df: DataFrame, layers: list[Layer], x: str, y: str, value:
     start = np.cumsum([0] + [l.nx * l.ny for l in layers]).tolist()
     cell = [F.floor((F.col(c) - F.lit(o)) / F.lit(layers[0].width)).cast("long") for c, o in ((x, layers[0].x0), (y, layers[0].y0))]
     near = df.select(x, y, F.col(value).cast("double").alias("_v")).where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("_v").isNotNull())
-    near = near.repartitionByRange(*cell, F.xxhash64(x, y, "_v"))
+    near = near.repartitionByRange(default_buckets(df.sparkSession), *cell, F.xxhash64(x, y, "_v"))
     row = F.transform(basis_row(layers, x, y), lambda e: F.struct(
         (F.element_at(F.lit(start), e["layer"]) + e["knot"]).alias("j"), e["a"].alias("a")))
     one = near.select("_v", row.alias("_row")).select("_v", "_row", F.inline("_row").alias("i", "ai"))
