@@ -316,18 +316,20 @@ def nearest_by_class(points: DataFrame, refs: DataFrame, pid: str, classes: dict
         F.struct(*cell, "leaf").alias("_kid"), *keep.kept)
     per_point = Window.partitionBy("pid", "px", "py")
 
-    def down(cand: DataFrame) -> DataFrame:
-        """The children of all cells that are no leaves; leaves pass through with what is known of them."""
-        leaves = cand.where("leaf")
-        opened = cand.where(~F.col("leaf")).join(kid, (F.col("lvl") == F.col("_kl")) & (F.col("cx") == F.col("_kx")) & (F.col("cy") == F.col("_ky"))).where(may)
+    def children(cand: DataFrame) -> DataFrame:
+        opened = cand.join(kid, (F.col("lvl") == F.col("_kl")) & (F.col("cx") == F.col("_kx")) & (F.col("cy") == F.col("_ky"))).where(may)
         tight = [F.least(F.col(f"ub_{n}"), F.min(F.when(F.col(f"_n_{n}") >= need, reach(n, True))).over(per_point)).alias(f"ub_{n}") for n in names]
         opened = opened.select("pid", "px", "py", *tight, "_kid", *keep.kept).where(may)
-        return leaves.unionByName(opened.select("pid", "px", "py", *bounds, "_kid.*"))
-
-    cand = cut_lineage(down(cand))
-    while not cand.where(~F.col("leaf")).isEmpty():
-        cand = cut_lineage(down(cand))
-    pairs = cand.select("pid", "px", "py", *cell).join(pyr.leaves, cell).withColumn("d", _distance("px", "py", "x", "y"))
+        return opened.select("pid", "px", "py", *bounds, "_kid.*")
+
+    # Leaves are put aside as they are met; only the other cells go on.
+    cand = cut_lineage(cand)
+    met, cand = [cand.where("leaf")], cand.where(~F.col("leaf"))
+    while not cand.isEmpty():
+        cand = cut_lineage(children(cand))
+        met, cand = [*met, cand.where("leaf")], cand.where(~F.col("leaf"))
+    found = reduce(lambda a, b: a.unionByName(b), met)
+    pairs = found.select("pid", "px", "py", *cell).join(pyr.leaves, cell).withColumn("d", _distance("px", "py", "x", "y"))
     if exclude_zero:
         pairs = pairs.where(F.col("d") > 0)
     return pairs.groupBy("pid").agg(*[F.min(F.when(F.col(f"_is_{n}"), F.col("d"))).alias(n) for n in every]).withColumnRenamed("pid", pid)
