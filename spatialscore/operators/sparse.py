@@ -2,41 +2,116 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, written
 
+#: Unknowns of a block unless the caller says how to cut them.
+BLOCK = 256
+
+
+def _inverses(batches):
+    """Blocks of the diagonal, inverted; directions without weight stay zero, as the right side has none there either."""
+    for pdf in batches:
+        out = []
+        for n, ridge, row, col, v in zip(pdf["n"], pdf["ridge"], pdf["row"], pdf["col"], pdf["v"]):
+            a = np.zeros((n, n))
+            a[row, col] = v
+            a[np.diag_indices(n)] += ridge
+            values, vectors = np.linalg.eigh(a)
+            keep = values > 1e-14 * max(values[-1], 0.0)
+            out.append(((vectors[:, keep] / values[keep]) @ vectors[:, keep].T).tobytes())
+        yield pdf[["block", "ids", "b"]].assign(inverse=out)
+
+
+def _products(batches):
+    """Products of the columns of a block with its piece of p, added up for every block of rows they reach."""
+    for pdf in batches:
+        out = []
+        for rows, at, cols, v, p in zip(pdf["row_block"], pdf["row"], pdf["col"], pdf["v"], pdf["p"]):
+            w = v * p[cols]
+            order = np.lexsort((at, rows))
+            rows, at, w = rows[order], at[order], w[order]
+            new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])])
+            rows, at, w = rows[new], at[new], np.add.reduceat(w, new)
+            cut = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            out += zip(rows[cut].tolist(), np.split(at, cut[1:]), np.split(w, cut[1:]))
+        yield pd.DataFrame(out, columns=["block", "at", "w"])
+
+
+def _steps(batches):
+    """w = matrix p and its preconditioned form q of every block, with the block's share of the scalar products."""
+    for pdf in batches:
+        out = []
+        for block, parts, ridge, x, r, z, p, inverse in zip(*(pdf[c] for c in ("block", "parts", "ridge", "x", "r", "z", "p", "inverse"))):
+            w = ridge * p
+            for part in (parts if parts is not None else []):
+                w[np.asarray(part["at"])] += np.asarray(part["w"])
+            q = np.frombuffer(inverse).reshape(len(w), len(w)) @ w
+            out.append((block, x, r, z, p, w, q, p @ w, r @ r, r @ z, w @ z, w @ q))
+        yield pd.DataFrame(out, columns=["block", "x", "r", "z", "p", "w", "q", "pw", "rr", "rz", "wz", "wq"])
+
+
+def _starts(batches):
+    for pdf in batches:
+        z = [np.frombuffer(m).reshape(len(b), len(b)) @ b for m, b in zip(pdf["inverse"], pdf["b"])]
+        yield pd.DataFrame({"block": pdf["block"], "x": [np.zeros(len(b)) for b in pdf["b"]], "r": pdf["b"], "z": z, "p": z})
+
 
 def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, ridge: float = 0.0, tolerance: float = 1e-12,
-                        most_rounds: int = 10_000) -> DataFrame:
-    """(i, x) with (matrix + ridge I) x = rhs, by conjugate gradients scaled by the diagonal.
+                        most_rounds: int = 10_000, block: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(i, x) with (matrix + ridge I) x = rhs, by conjugate gradients preconditioned with the diagonal blocks.
 
-    ``matrix`` (i, j, v) holds both halves of a symmetric positive matrix, ``rhs`` is (i, b). A round is one join with the
-    matrix, which is laid out by ``j`` once, and one aggregation; its vectors are one table in the checkpoint folder and
-    only sums of their products reach the driver. Ends when the residual is below ``tolerance`` times the right side.
+    ``matrix`` (i, j, v) holds both halves of a symmetric positive matrix, ``rhs`` is (i, b) with a row for every unknown.
+    ``block`` gives the block of an unknown; blocks should hold some hundred unknowns that depend on each other, however
+    many blocks there are (default: runs of 256 numbers). A round joins the vector, one row a block, with the matrix,
+    which is laid out by block of columns once, and adds up the products by block of rows: what is shuffled is vectors,
+    never entries. Vectors are one table in the checkpoint folder, only sums of their products reach the driver. Ends
+    when the residual is below ``tolerance`` times the right side.
     """
-    m = cut_lineage(matrix.repartition("j"))
-    diagonal = m.where("i = j").select("i", (F.col("v") + F.lit(ridge)).alias("d"))
-    state = rhs.join(diagonal, "i", "left").select("i", F.coalesce("d", F.lit(ridge)).alias("d"), F.lit(0.0).alias("x"), F.col("b").alias("r"))
-    state = state.where("d > 0").withColumn("p", F.col("r") / F.col("d"))
+    of = block or (lambda i: F.floor(i / BLOCK))
+    penalty = F.lit(float(ridge)).alias("ridge")
+    diagonal = matrix.where("i = j").select("i", F.col("v").alias("d"))
+    unknowns = rhs.join(diagonal, "i", "left").where(F.coalesce("d", F.lit(0.0)) + penalty > 0).select("i", of(F.col("i")).cast("long").alias("block"), F.col("b").cast("double").alias("b"))
+    place = cut_lineage(unknowns.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("i")) - 1))
+    side = lambda number, blk, at: place.select(F.col("i").alias(number), F.col("block").alias(blk), F.col("at").alias(at))
+    entries = matrix.join(side("i", "row_block", "row"), "i").join(side("j", "block", "col"), "j")
+    lists = lambda *cols: [F.col(f"e.{c}").alias(c) for c in cols]
+    m = entries.groupBy("block").agg(F.collect_list(F.struct("row_block", "row", "col", "v")).alias("e"))
+    m = cut_lineage(m.select("block", *lists("row_block", "row", "col", "v")))
+
+    ids = place.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "i", "b"))).alias("e")).select("block", F.size("e").alias("n"), *lists("i", "b"))
+    own = m.select("block", F.filter(F.arrays_zip("row_block", "row", "col", "v"), lambda s: s["row_block"] == F.col("block")).alias("e")).select("block", *lists("row", "col", "v"))
+    none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("row", "array<int>"), ("col", "array<int>"), ("v", "array<double>"))]
+    own = ids.withColumnRenamed("i", "ids").join(own, "block", "left").select("block", "ids", "b", "n", penalty, *none)
+    pre = cut_lineage(own.mapInPandas(_inverses, "block long, ids array<long>, b array<double>, inverse binary").repartition("block"))
+
+    vectors = ", ".join(f"{c} array<double>" for c in "xrzp")
+    state = pre.select("block", "b", "inverse").mapInPandas(_starts, f"block long, {vectors}")
+    state = written(state)
+    names = ("pw", "rr", "rz", "wz", "wq")
     goal = None
     for _ in range(most_rounds):
         sums = Observation()
-        moved = m.join(state.select(F.col("i").alias("j"), "p"), "j").select(
-            "i", *[F.lit(None).cast("double").alias(c) for c in ("d", "x", "r", "p")], (F.col("v") * F.col("p")).alias("w"))
-        parts = state.withColumn("w", F.col("p") * F.lit(ridge)).unionByName(moved)
-        step = parts.groupBy("i").agg(*[F.max(c).alias(c) for c in ("d", "x", "r", "p")], F.sum("w").alias("w")).where("d IS NOT NULL")
-        total = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
-        r, w, p, d = F.col("r"), F.col("w"), F.col("p"), F.col("d")
-        step = written(step.observe(sums, total(p * w, "pw"), total(r * r / d, "rz"), total(r * w / d, "wz"), total(w * w / d, "ww"), total(r * r, "rr")))
+        parts = m.join(state.select("block", "p"), "block").select("row_block", "row", "col", "v", "p").mapInPandas(
+            _products, "block long, at array<int>, w array<double>")
+        parts = parts.groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("parts"))
+        step = state.join(pre.select("block", "inverse"), "block").join(parts, "block", "left").withColumn("ridge", penalty).mapInPandas(
+            _steps, f"block long, {vectors}, w array<double>, q array<double>, " + ", ".join(f"{c} double" for c in names))
+        step = written(step.observe(sums, *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]))
         s = sums.get
         goal = tolerance * math.sqrt(s["rr"]) if goal is None else goal
         if math.sqrt(s["rr"]) <= goal or s["pw"] <= 0:
-            return step.select("i", "x")
+            solved = pre.select("block", "ids").join(step.select("block", "x"), "block")
+            return solved.select(F.inline(F.arrays_zip(F.col("ids").alias("i"), "x")))
         alpha = s["rz"] / s["pw"]
-        beta = max(0.0, s["rz"] - 2 * alpha * s["wz"] + alpha * alpha * s["ww"]) / s["rz"]
-        left = r - F.lit(alpha) * w
-        state = step.select("i", "d", (F.col("x") + F.lit(alpha) * p).alias("x"), left.alias("r"), (left / d + F.lit(beta) * p).alias("p"))
+        beta = max(0.0, s["rz"] - 2 * alpha * s["wz"] + alpha * alpha * s["wq"]) / s["rz"]
+        plus = lambda a, b, f: F.zip_with(a, b, lambda u, v: u + F.lit(f) * v)
+        z = plus("z", "q", -alpha)
+        state = step.select("block", plus("x", "p", alpha).alias("x"), plus("r", "w", -alpha).alias("r"), z.alias("z"), plus(z, "p", beta).alias("p"))
     raise RuntimeError(f"no solution within {most_rounds} rounds")

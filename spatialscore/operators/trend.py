@@ -1,10 +1,12 @@
 """Least-squares trends and variogram fits from sums over the rows."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,34 +99,82 @@ def variogram_fit(vg: DataFrame, bounds: dict[str, tuple[float, float]], steps:
     return best
 
 
+#: Knots that a chunk of points may meet before it is halved, and knots of a block of the solver.
+CHUNK_KNOTS, BLOCK_KNOTS = 2048, 512
+
+
+def _gram(knots: np.ndarray, points: np.ndarray, a: np.ndarray, v: np.ndarray):
+    """Upper half of the Gram matrix of some points' entries as (i, j, value); j = -1 is the right side."""
+    ids, col = np.unique(knots, return_inverse=True)
+    if len(ids) > CHUNK_KNOTS and points[0] < points[-1]:
+        cut = np.searchsorted(points, points[0] + (points[-1] - points[0] + 1) // 2)
+        yield from _gram(knots[:cut], points[:cut], a[:cut], v)
+        yield from _gram(knots[cut:], points[cut:], a[cut:], v)
+        return
+    row = points - points[0]
+    dense = np.zeros((row[-1] + 1, len(ids)))
+    dense[row, col] = a
+    gram = np.triu(dense.T @ dense)
+    i, j = np.nonzero(gram)
+    yield ids[i], ids[j], gram[i, j]
+    yield ids, np.full(len(ids), -1), dense.T @ v[points[0]:points[-1] + 1]
+
+
+def _grams(batches):
+    for pdf in batches:
+        for start in range(0, len(pdf), 1024):
+            part = pdf.iloc[start:start + 1024]
+            n = part["j"].str.len().to_numpy(int)
+            if n.sum() == 0:
+                continue
+            for i, j, v in _gram(np.concatenate(part["j"].to_list()), np.repeat(np.arange(len(part)), n), np.concatenate(part["a"].to_list()), part["_v"].to_numpy(float)):
+                yield pd.DataFrame({"i": i, "j": j, "v": v})
+
+
 def normal_equations(df: DataFrame, layers: list[Layer], x: str, y: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Sparse Gram matrix (i, j, v), both halves, and right side (i, b) of the basis; knots are numbered over all layers.
 
     Points are dealt by ranges of their place first, however many share one, so that a task meets few knots and its
-    partial sums are few; what is shuffled then grows with the lattice.
+    partial sums, dense products over chunks of near points, are few; what is shuffled then grows with the lattice.
     """
     start = np.cumsum([0] + [l.nx * l.ny for l in layers]).tolist()
     cell = [F.floor((F.col(c) - F.lit(o)) / F.lit(layers[0].width)).cast("long") for c, o in ((x, layers[0].x0), (y, layers[0].y0))]
     near = df.select(x, y, F.col(value).cast("double").alias("_v")).where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("_v").isNotNull())
-    near = near.repartitionByRange(default_buckets(df.sparkSession), *cell, F.xxhash64(x, y, "_v"))
-    row = F.transform(basis_row(layers, x, y), lambda e: F.struct(
-        (F.element_at(F.lit(start), e["layer"]) + e["knot"]).alias("j"), e["a"].alias("a")))
-    one = near.select("_v", row.alias("_row")).select("_v", "_row", F.inline("_row").alias("i", "ai"))
-    rhs = one.groupBy("i").agg(F.sum(F.col("ai") * F.col("_v")).alias("b"))
-    half = one.select("i", "ai", F.inline("_row")).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("ai") * F.col("a")).alias("v"))
-    half = cut_lineage(half)
-    return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), cut_lineage(rhs)
+    near = near.repartitionByRange(default_buckets(df.sparkSession), *cell, F.xxhash64(x, y, "_v")).sortWithinPartitions(*cell)
+    row = near.select("_v", basis_row(layers, x, y).alias("_row")).select(
+        "_v", F.transform("_row", lambda e: F.element_at(F.lit(start), e["layer"]) + e["knot"]).cast("array<long>").alias("j"),
+        F.transform("_row", lambda e: e["a"]).cast("array<double>").alias("a"))
+    sums = cut_lineage(row.mapInPandas(_grams, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")))
+    half = sums.where("j >= 0")
+    return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), sums.where("j < 0").select("i", F.col("v").alias("b"))
 
 
-def basis_ridge(df: DataFrame, layers: list[Layer], lam: float, x: str, y: str, value: str, tolerance: float = 1e-12) -> DataFrame:
+def basis_ridge(df: DataFrame, layers: list[Layer], lam: float, x: str, y: str, value: str, tolerance: float = 1e-12,
+                block_knots: int = BLOCK_KNOTS) -> DataFrame:
     """Ridge coefficients (layer, knot, c) of the multiresolution basis, for every knot near a point.
 
     Knots without points have the coefficient 0 and no row. The lattice may have any number of knots: the normal
-    equations are sparse, and conjugate gradients solve them on Spark.
+    equations are sparse, and conjugate gradients solve them on Spark. Its blocks are squares that hold at most some
+    ``block_knots`` knots of all layers, so that what layers share is solved within a block.
     """
     gram, rhs = normal_equations(df, layers, x, y, value)
-    solved = conjugate_gradients(gram, rhs, lam, tolerance)
     start = np.cumsum([0] + [l.nx * l.ny for l in layers])
-    layer = sum((F.col("i") >= F.lit(int(s))).cast("int") for s in start[:-1])
-    return solved.select(layer.alias("layer"), "i", F.col("x").alias("c")).select(
+    side = math.sqrt(block_knots / sum(l.width**-2 for l in layers))
+    x0, y0 = min(l.x0 for l in layers), min(l.y0 for l in layers)
+    columns = int(max(l.y0 + l.ny * l.width for l in layers) - y0) // side + 1
+
+    def layer_of(i: Column) -> Column:
+        return sum((i >= F.lit(int(s))).cast("int") for s in start[:-1])
+
+    def block(i: Column) -> Column:
+        out = F.lit(None).cast("long")
+        for l, s in zip(layers, start):
+            at = i - F.lit(int(s))
+            bx = F.floor((F.lit(l.x0 - x0) + F.floor(at / l.ny) * l.width) / side)
+            by = F.floor((F.lit(l.y0 - y0) + at % l.ny * l.width) / side)
+            out = F.when(at >= 0, bx * int(columns + 1) + by).otherwise(out)
+        return out
+
+    solved = conjugate_gradients(gram, rhs, lam, tolerance, block=block)
+    return solved.select(layer_of(F.col("i")).alias("layer"), "i", F.col("x").alias("c")).select(
         "layer", (F.col("i") - F.element_at(F.lit(start[:-1].tolist()), F.col("layer"))).cast("long").alias("knot"), "c")

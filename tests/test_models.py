@@ -102,6 +102,22 @@ def test_ridge_equals_numpy(field, spark):
     assert np.allclose(c, np.linalg.solve(a.T @ a + 0.5 * np.eye(len(k)), a.T @ pdf["z"]))
 
 
+def test_ridge_in_one_block_and_in_many(field, spark):
+    """Two layers that partly say the same, cut to squares of a few knots; a chunk of points that meets too many is halved."""
+    df, pdf = field
+    layers = lattice((0.0, 10.0), (0.0, 10.0), nc=5, n_buffer=1, n_layer=2)
+    one = Tr.basis_ridge(df, layers, 0.5, "x", "y", "z").toPandas().set_index(["layer", "knot"])["c"]
+    many = Tr.basis_ridge(df, layers, 0.5, "x", "y", "z", tolerance=1e-9, block_knots=120).toPandas().set_index(["layer", "knot"])["c"]
+    assert len(one) == len(many) and np.allclose(one.sort_index(), many.sort_index(), atol=1e-6 * one.abs().max())
+    got = list(Tr._gram(np.tile(np.arange(3000), 2), np.repeat([0, 1], 3000), np.ones(6000), np.array([1.0, 5.0])))
+    total = {}
+    for i, j, v in got:
+        for k in zip(i.tolist(), j.tolist(), v.tolist()):
+            if k[0] == 7 and k[1] in (-1, 7, 9):
+                total[k[1]] = total.get(k[1], 0) + k[2]
+    assert total == {-1: 6.0, 7: 2.0, 9: 2.0}
+
+
 def test_solver_of_many_unknowns(spark):
     """A chain of 20,000 unknowns, more than a dense solve takes; its solution is known."""
     n = 20_000
