@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws as D
+from ..session import cut_lineage
 from .ordering import HASH_RANGE, group_quantiles, let, ordered, portable_hash, portable_hash_once, portable_hash_sql
 
 
@@ -42,8 +43,9 @@ def derive_params(df: DataFrame, n_layer: int, spatial_var: str = "spatial_var",
         "cluster_sd": F.sqrt(cluster_var), f"{alpha}{n_layer}": F.lit(1.0) - others})
 
 
-def areal_draws(df: DataFrame, area: list[str], weight: str, draws: str) -> DataFrame:
-    """Weighted mean of every draw over each area.
+def areal_draws(df: DataFrame, area: list[str], weight: str, draws: str, with_weight: bool = False) -> DataFrame:
+    """Weighted mean of every draw over each area; ``with_weight`` adds the area's weight under its name, and the
+    result can then be aggregated further like the rows themselves.
 
     The aggregate works on whole vectors, so draws are never exploded and the shuffle carries one
     vector per area and map task. Rows without draws count as rows without weight; an area of no weight
@@ -51,25 +53,27 @@ def areal_draws(df: DataFrame, area: list[str], weight: str, draws: str) -> Data
     """
     v = df.where((F.col(weight) > 0) & F.col(draws).isNotNull()).select(*area, F.col(weight).cast("double").alias("_w"),
                                            array_to_vector(draws).alias("_v"))
-    means = v.groupBy(*area).agg(Summarizer.metrics("mean").summary(F.col("_v"), F.col("_w")).alias("_s")).select(
-        *[F.col(c).alias(f"_k_{c}") for c in area], vector_to_array("_s.mean").alias("draws"))
+    means = v.groupBy(*area).agg(Summarizer.metrics("mean").summary(F.col("_v"), F.col("_w")).alias("_s"), F.sum("_w").alias("_w")).select(
+        *[F.col(c).alias(f"_k_{c}") for c in area], vector_to_array("_s.mean").alias("draws"), F.col("_w").alias(f"_weight_{weight}"))
     every = df.select(*area).distinct()
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in area])
-    return every.join(means, same, "left").select(*area, "draws")
+    return every.join(means, same, "left").select(*area, "draws", *([F.col(f"_weight_{weight}").alias(weight)] if with_weight else []))
 
 
 def aggregate_levels(df: DataFrame, levels: dict[str, list[str]], weight: str, draws: str, level: float = 0.8,
                      pixel_key: str | None = None) -> DataFrame:
     """One summary row per area of every level, with a ``level`` column and the area as text.
 
-    Every level is a partial aggregate of its own over the pixels.
+    The draws of the pixels are aggregated once, to the finest areas that the keys of all levels make together; these
+    means and weights, stored in the checkpoint folder, are what every level adds up. Levels should nest, or nearly so.
     """
+    finest = cut_lineage(areal_draws(df, list(dict.fromkeys(k for keys in levels.values() for k in keys)), weight, draws, with_weight=True))
     parts = []
     if pixel_key is not None:
         parts.append(summarise_draws(df, draws, level).select(
             F.lit("pixel").alias("level"), F.col(pixel_key).cast("string").alias("area"), "est", "sd", "q10", "q50", "q90"))
     for name, keys in levels.items():
-        a = summarise_draws(areal_draws(df, keys, weight, draws), "draws", level)
+        a = summarise_draws(areal_draws(finest, keys, weight, "draws"), "draws", level)
         parts.append(a.select(F.lit(name).alias("level"), F.concat_ws("/", *keys).alias("area"),
                               "est", "sd", "q10", "q50", "q90"))
     out = parts[0]

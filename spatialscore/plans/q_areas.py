@@ -282,9 +282,22 @@ def _(spark, sf):
     return Ar.domain_box(V.obs(spark, sf), "east", "north", ["region"])
 
 
-@query("d27_convex_hull")
+@query("d27_convex_hull", "points", """
+    WITH RECURSIVE pts AS (SELECT DISTINCT round(east * 100) AS x, round(north * 100) AS y FROM points WHERE east IS NOT NULL AND north IS NOT NULL),
+    wrap AS (SELECT 1::BIGINT AS vertex, x, y, -pi() / 2 AS dir, x AS x0, y AS y0 FROM (SELECT x, y FROM pts ORDER BY x, y LIMIT 1)
+      UNION ALL
+      SELECT vertex + 1, n.x, n.y, atan2(n.y - w.y, n.x - w.x), x0, y0 FROM
+        (SELECT any_value(vertex) AS vertex, any_value(x) AS x, any_value(y) AS y, any_value(x0) AS x0, any_value(y0) AS y0,
+           arg_min({'x': px, 'y': py}, {'turn': turn, 'far': -far}) AS n FROM
+          (SELECT w.*, p.x AS px, p.y AS py, (p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y) AS far,
+             round(atan2(p.y - w.y, p.x - w.x) - dir + CASE WHEN round(atan2(p.y - w.y, p.x - w.x) - dir, 10) < 0 THEN 2 * pi() ELSE 0 END, 10) AS turn
+           FROM wrap w JOIN pts p ON p.x <> w.x OR p.y <> w.y)) w
+      WHERE n IS NOT NULL AND (n.x <> x0 OR n.y <> y0))
+    SELECT vertex, x / 100 AS x, y / 100 AS y FROM wrap""", rnd="x y")
 def _(spark, sf):
-    return Ar.convex_hull(V.points(spark, sf), "east", "north")
+    # Whole hundredths, in which turns are exact and points on an edge are told from vertices.
+    p = V.points(spark, sf).select(*[F.round(F.col(c) * 100).alias(c) for c in ("east", "north")])
+    return Ar.convex_hull(p, "east", "north").select("vertex", F.col("x") / 100, F.col("y") / 100).toDF("vertex", "x", "y")
 
 
 @query("d28_polygon_metrics", "rings edges", """

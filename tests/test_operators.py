@@ -189,3 +189,47 @@ def test_convex_hull(spark):
     pts = np.vstack([rng.random((500, 2)), [[-1, -1], [2, -1], [2, 2], [-1, 2]]])
     h = Ar.convex_hull(spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y"])).repartition(6), "x", "y").orderBy("vertex").collect()
     assert [(r["x"], r["y"]) for r in h] == [(-1, -1), (2, -1), (2, 2), (-1, 2)]
+
+
+def test_convex_hull_of_hull_points_only(spark):
+    """Every point is a vertex, so chords are split until tasks are small; odd inputs have their hull too."""
+    t = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
+    ring = np.round(np.column_stack([np.cos(t), np.sin(t)]), 12)
+    inner = np.random.default_rng(1).random((2000, 2)) - 0.5
+    df = lambda rows: spark.createDataFrame([(float(a), float(b)) for a, b in rows], "x double, y double")
+    h = Ar.convex_hull(df(np.vstack([ring, inner, ring[:50]])).repartition(5), "x", "y", sector_points=100).orderBy("vertex").toPandas()
+    assert h["vertex"].tolist() == list(range(1, 3001))
+    start = int(np.lexsort((ring[:, 1], ring[:, 0]))[0])
+    assert np.array_equal(h[["x", "y"]].to_numpy(), np.roll(ring, -start, axis=0))
+    got = lambda rows: [(r["x"], r["y"]) for r in Ar.convex_hull(df(rows), "x", "y").orderBy("vertex").collect()]
+    assert got([(1, 2)] * 3) == [(1, 2)]
+    assert got([(1, i) for i in range(5)]) == [(1, 0), (1, 4)]
+    assert got([(0, 0), (1, 1), (2, 2), (float("nan"), 5), (float("inf"), 5)]) == [(0, 0), (2, 2)]
+    assert got([(0, 0), (1, 0), (2, 0), (1, 1)]) == [(0, 0), (2, 0), (1, 1)]
+    assert got([]) == []
+
+
+def test_polygon_metrics_of_a_long_ring(spark):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.random(10_000)) * 2 * np.pi
+    rings = [np.column_stack([3 * np.cos(t), np.sin(t)]), rng.random((300, 2)), np.array([[0, 0], [4, 0], [4, 3], [0, 3]]),
+             np.array([[0, 0], [2, 1]]), np.array([[1, 1]]), np.array([[0, 0], [5, 0], [0, 1]])]
+    rows = [("a", i, [(float(x), float(y)) for x, y in r]) for i, r in enumerate(rings)]
+    df = spark.createDataFrame(rows, "area string, ring_id long, vertices array<struct<x: double, y: double>>")
+    got = {r["ring_id"]: r for r in Ar.polygon_metrics(df).collect()}
+    for i, r in enumerate(rings):
+        far = max(np.hypot(*(r - p).T).max() for p in r) / 2
+        assert got[i]["radius"] == pytest.approx(far, abs=1e-12)
+        area = abs(np.sum(r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1])) / 2
+        assert got[i]["ring_area"] == pytest.approx(area, abs=1e-9)
+    assert [i for i, r in got.items() if r["largest"]] == [2]
+
+
+def test_levels_add_up_from_the_finest(spark):
+    rows = [("p1", "c1", "r1", 2.0, [1.0, 2.0]), ("p2", "c1", "r1", 1.0, [4.0, 5.0]), ("p3", "c2", "r1", 1.0, [0.0, 3.0]),
+            ("p4", "c3", "r2", 0.0, [9.0, 9.0]), ("p5", "c2", "r1", 5.0, None)]
+    df = spark.createDataFrame(rows, "pixel string, county string, region string, w double, draws array<double>")
+    out = Po.aggregate_levels(df, {"county": ["county"], "region": ["region"]}, "w", "draws")
+    got = {(r["level"], r["area"]): r["est"] for r in out.collect()}
+    assert got == {("county", "c1"): pytest.approx(2.5), ("county", "c2"): pytest.approx(1.5), ("county", "c3"): None,
+                   ("region", "r1"): pytest.approx(2.25), ("region", "r2"): None}
