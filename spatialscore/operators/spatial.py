@@ -423,25 +423,22 @@ def raster_extract(points: DataFrame, raster: DataFrame, pid: str, x: str, y: st
                    step: tuple[float, float], method: str = "bilinear") -> DataFrame:
     """Raster value at each point; cell (ix, iy) has its centre at origin + index * step.
 
-    Bilinear uses the four centres around the point and is NULL when one of them is missing; simple
-    takes the containing cell.
+    Bilinear uses the four centres around the point and is NULL when one of them is missing; they are put together
+    once for each square of the raster, so points are joined once. Simple takes the containing cell.
     """
     fx, fy = (F.col(x) - origin[0]) / step[0], (F.col(y) - origin[1]) / step[1]
     r = raster.select(F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), "value")
     if method == "simple":
         p = points.select(pid, F.floor(fx + 0.5).alias("ix"), F.floor(fy + 0.5).alias("iy"))
         return p.join(r, ["ix", "iy"], "left").select(pid, "value")
+    corners = [(0, 0), (1, 0), (0, 1), (1, 1)]
+    quads = r.where("value IS NOT NULL").select("value", F.inline(F.array(*[
+        F.struct((F.col("ix") - dx).alias("bx"), (F.col("iy") - dy).alias("by"), F.lit(k).alias("k")) for k, (dx, dy) in enumerate(corners)])))
+    quads = quads.groupBy("bx", "by").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in range(4)])
     p = points.select(pid, fx.alias("fx"), fy.alias("fy")).withColumns({"bx": F.floor("fx"), "by": F.floor("fy")})
-    p = p.withColumns({"tx": F.col("fx") - F.col("bx"), "ty": F.col("fy") - F.col("by")})
-    one = F.lit(1.0)
-    corner = lambda dx, dy, w: F.struct((F.col("bx") + dx).alias("ix"), (F.col("by") + dy).alias("iy"), w.alias("w"))
-    corners = F.array(
-        corner(0, 0, (one - F.col("tx")) * (one - F.col("ty"))), corner(1, 0, F.col("tx") * (one - F.col("ty"))),
-        corner(0, 1, (one - F.col("tx")) * F.col("ty")), corner(1, 1, F.col("tx") * F.col("ty")))
-    c = p.select(pid, F.inline(corners))
-    return c.join(r, ["ix", "iy"], "left").groupBy(pid).agg(
-        F.sum(F.col("w") * F.col("value")).alias("v"), F.count("value").alias("c")).select(
-        pid, F.when(F.col("c") == 4, F.col("v")).alias("value"))
+    tx, ty = F.col("fx") - F.col("bx"), F.col("fy") - F.col("by")
+    weight = [(tx if dx else F.lit(1.0) - tx) * (ty if dy else F.lit(1.0) - ty) for dx, dy in corners]
+    return p.join(quads, ["bx", "by"], "left").select(pid, reduce(lambda u, v: u + v, [w * F.col(f"v{k}") for k, w in enumerate(weight)]).alias("value"))
 
 
 def rasterise(points: DataFrame, x: str, y: str, z: str, origin: tuple[float, float],
