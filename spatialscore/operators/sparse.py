@@ -45,22 +45,26 @@ def _products(batches):
 
 
 def _steps(batches):
-    """w = matrix p and its preconditioned form q of every block, with the block's share of the scalar products."""
+    """w = matrix p and the preconditioned forms z of r and q of w of every block, with its share of the scalar products.
+
+    z is made from r anew each time: carried along beside r it would keep rounding errors as large as the first residual.
+    """
     for pdf in batches:
         out = []
-        for block, parts, ridge, x, r, z, p, inverse in zip(*(pdf[c] for c in ("block", "parts", "ridge", "x", "r", "z", "p", "inverse"))):
+        for block, parts, ridge, x, r, p, inverse in zip(*(pdf[c] for c in ("block", "parts", "ridge", "x", "r", "p", "inverse"))):
             w = ridge * p
             for part in (parts if parts is not None else []):
                 w[np.asarray(part["at"])] += np.asarray(part["w"])
-            q = np.frombuffer(inverse).reshape(len(w), len(w)) @ w
-            out.append((block, x, r, z, p, w, q, p @ w, r @ r, r @ z, w @ z, w @ q))
-        yield pd.DataFrame(out, columns=["block", "x", "r", "z", "p", "w", "q", "pw", "rr", "rz", "wz", "wq"])
+            m = np.frombuffer(inverse).reshape(len(w), len(w))
+            z, q = m @ r, m @ w
+            out.append((block, x, r, z, p, w, q, p @ w, r @ r, r @ p, w @ z, w @ q))
+        yield pd.DataFrame(out, columns=["block", "x", "r", "z", "p", "w", "q", "pw", "rr", "rp", "wz", "wq"])
 
 
 def _starts(batches):
     for pdf in batches:
         z = [np.frombuffer(m).reshape(len(b), len(b)) @ b for m, b in zip(pdf["inverse"], pdf["b"])]
-        yield pd.DataFrame({"block": pdf["block"], "x": [np.zeros(len(b)) for b in pdf["b"]], "r": pdf["b"], "z": z, "p": z})
+        yield pd.DataFrame({"block": pdf["block"], "x": [np.zeros(len(b)) for b in pdf["b"]], "r": pdf["b"], "p": z})
 
 
 def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, ridge: float = 0.0, tolerance: float = 1e-12,
@@ -91,10 +95,10 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, ridge: float = 0.0, t
     own = ids.withColumnRenamed("i", "ids").join(own, "block", "left").select("block", "ids", "b", "n", penalty, *none)
     pre = cut_lineage(own.mapInPandas(_inverses, "block long, ids array<long>, b array<double>, inverse binary").repartition("block"))
 
-    vectors = ", ".join(f"{c} array<double>" for c in "xrzp")
-    state = pre.select("block", "b", "inverse").mapInPandas(_starts, f"block long, {vectors}")
+    vectors = lambda names: ", ".join(f"{c} array<double>" for c in names)
+    state = pre.select("block", "b", "inverse").mapInPandas(_starts, f"block long, {vectors('xrp')}")
     state = written(state)
-    names = ("pw", "rr", "rz", "wz", "wq")
+    names = ("pw", "rr", "rp", "wz", "wq")
     goal = None
     for _ in range(most_rounds):
         sums = Observation()
@@ -102,16 +106,16 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, ridge: float = 0.0, t
             _products, "block long, at array<int>, w array<double>")
         parts = parts.groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("parts"))
         step = state.join(pre.select("block", "inverse"), "block").join(parts, "block", "left").withColumn("ridge", penalty).mapInPandas(
-            _steps, f"block long, {vectors}, w array<double>, q array<double>, " + ", ".join(f"{c} double" for c in names))
+            _steps, f"block long, {vectors('xrzpwq')}, " + ", ".join(f"{c} double" for c in names))
         step = written(step.observe(sums, *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]))
         s = sums.get
         goal = tolerance * math.sqrt(s["rr"]) if goal is None else goal
         if math.sqrt(s["rr"]) <= goal or s["pw"] <= 0:
             solved = pre.select("block", "ids").join(step.select("block", "x"), "block")
             return solved.select(F.inline(F.arrays_zip(F.col("ids").alias("i"), "x")))
-        alpha = s["rz"] / s["pw"]
-        beta = max(0.0, s["rz"] - 2 * alpha * s["wz"] + alpha * alpha * s["wq"]) / s["rz"]
+        # The best step along p, and the next direction made conjugate to it, whatever rounding did to earlier ones.
+        alpha = s["rp"] / s["pw"]
+        beta = (alpha * s["wq"] - s["wz"]) / s["pw"]
         plus = lambda a, b, f: F.zip_with(a, b, lambda u, v: u + F.lit(f) * v)
-        z = plus("z", "q", -alpha)
-        state = step.select("block", plus("x", "p", alpha).alias("x"), plus("r", "w", -alpha).alias("r"), z.alias("z"), plus(z, "p", beta).alias("p"))
+        state = step.select("block", plus("x", "p", alpha).alias("x"), plus("r", "w", -alpha).alias("r"), plus(plus("z", "q", -alpha), "p", beta).alias("p"))
     raise RuntimeError(f"no solution within {most_rounds} rounds")
