@@ -8,9 +8,11 @@ a height left to compare. A cell therefore keeps a parity, few heights and the s
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import default_buckets
+
 #: Cells per side of a ring's box: two for each unit of the root of its number of vertices, within these bounds.
 FEWEST, MOST = 8, 256
 #: Rounding slack around a segment, in cells.
@@ -85,3 +87,114 @@ def points_in_rings(points: DataFrame, rings: DataFrame, x: str, y: str) -> Data
     placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("*", F.inline(levels)).withColumns({"gx": at(x), "gy": at(y)})
     hit = placed.join(cells, ["glvl", "gx", "gy"]).where(inside_cell(x, y))
     return hit.select(*points.columns, "area", "ring_id")
+
+
+#: Partly covered areas of a cell that one row lists, and halvings between the widths of whole stretches of cells.
+LISTED, HALVINGS = 64, 2
+
+
+def _boxes(rings: DataFrame, n: int, domain: float) -> DataFrame:
+    """(area, glvl, s, g0, g1): side of the cells of an area and its first and last column of them.
+
+    ``n`` points on ``domain`` square units are expected; the more of them in an area's box, the finer its cells, so that
+    cells along its border and points in them grow alike.
+    """
+    v = F.col("vertices")
+    axis = lambda c: F.transform(v, lambda p: p[c])
+    box = rings.groupBy("area").agg(
+        F.min(F.array_min(axis("x"))).alias("rx0"), F.max(F.array_max(axis("x"))).alias("rx1"), F.min(F.array_min(axis("y"))).alias("ry0"),
+        F.max(F.array_max(axis("y"))).alias("ry1"), F.sum(F.size(v)).cast("double").alias("size"))
+    ext = F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0"), F.lit(1e-9))
+    expected = F.lit(float(n)) * F.least(F.lit(1.0), ext * ext / F.lit(max(domain, 1e-18)))
+    sides = F.least(F.greatest(2.0 * F.sqrt("size"), F.sqrt(expected) / 2.0, F.lit(float(FEWEST))), F.lit(float(MOST)))
+    box = box.withColumn("glvl", F.ceil(F.log2(ext / sides)).cast("int")).withColumn("s", F.pow(F.lit(2.0), F.col("glvl")))
+    cell = lambda c: F.floor(c / F.col("s")).cast("bigint")
+    return box.select("area", "glvl", "s", cell(F.col("rx0")).alias("g0"), cell(F.col("rx1")).alias("g1"))
+
+
+def _stretches(rings: DataFrame, box: DataFrame) -> DataFrame:
+    """(area, glvl, gy, a, b, odd, heights, own): stretches of cells a to b of a row that are alike to the rings of an area.
+
+    All rings of an area are tested together, since a point in an odd number of them meets an odd number of all their edges.
+    """
+    v = F.col("vertices")
+    cell = lambda c: F.floor(c / F.col("s")).cast("bigint")
+    nexts = F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1))
+    pairs = F.zip_with(v, nexts, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    edges = rings.select("area", F.inline(pairs)).where("ay <> by").join(box, "area")
+    edges = edges.select("*", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by")))).alias("gy"))
+    low, high = F.col("gy") * F.col("s"), (F.col("gy") + 1) * F.col("s")
+    at = lambda y: F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    ends = [at(F.greatest(low, F.least("ay", "by"))), at(F.least(high, F.greatest("ay", "by")))]
+    inside = lambda c: F.least(F.greatest(c, F.col("g0")), F.col("g1"))
+    first, last = inside(cell(F.least(*ends) - F.col("s") * SLACK)), inside(cell(F.greatest(*ends) + F.col("s") * SLACK))
+    # Few bytes become many cells, so the number of tasks is not left to the size.
+    edges = edges.repartition(default_buckets(rings.sparkSession), "area", "gy")
+    rows = edges.groupBy("area", "glvl", "s", "g0", "g1", "gy").agg(
+        F.collect_list(F.struct("ax", "ay", "bx", "by", first.alias("c0"), last.alias("c1"))).alias("es"))
+    # Between two of these cells neither the edges of a cell nor those to the right of it change.
+    turns = F.concat(F.array("g0"), F.transform("es", lambda e: e["c0"]), F.transform("es", lambda e: e["c1"] + 1))
+    turns = F.array_sort(F.array_distinct(F.filter(turns, lambda c: c <= F.col("g1"))))
+    rows = rows.withColumn("t", turns).select("area", "glvl", "gy", "es", low.alias("low"), high.alias("high"), F.inline(F.zip_with(
+        "t", F.concat(F.slice("t", 2, F.size("t")), F.array(F.col("g1") + 1)), lambda a, b: F.struct(a.alias("a"), (b - 1).alias("b")))))
+    right = F.filter("es", lambda e: e["c0"] > F.col("a"))
+    rows = rows.withColumn("tops", F.filter(F.flatten(F.transform(right, lambda e: F.array(e["ay"], e["by"]))), lambda y: y > F.col("low")))
+    own = F.transform(F.filter("es", lambda e: (e["c0"] <= F.col("a")) & (e["c1"] >= F.col("a"))),
+                      lambda e: F.struct(*[e[c].alias(c) for c in ("ax", "ay", "bx", "by")]))
+    rows = rows.select("area", "glvl", "gy", "a", "b", own.alias("own"), (F.size(F.filter("tops", lambda y: y >= F.col("high"))) % 2 == 1).alias("odd"),
+                       F.filter("tops", lambda y: y < F.col("high")).alias("mid"))
+    heights = F.filter(F.array_distinct("mid"), lambda y: F.size(F.filter("mid", lambda z: z == y)) % 2 == 1)
+    return rows.select("area", "glvl", "gy", "a", "b", "odd", heights.alias("heights"), "own")
+
+
+def _within(p: Column, x: str, y: str) -> Column:
+    """Whether a point of a cell lies inside an area that the cell lists (:func:`inside_cell` for a struct)."""
+    def crossed(acc: Column, e: Column) -> Column:
+        spans = (e["ay"] > F.col(y)) != (e["by"] > F.col(y))
+        at = e["ax"] + (F.col(y) - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])
+        return F.when(spans & (F.col(x) < at), ~acc).otherwise(acc)
+
+    return F.aggregate(p["own"], F.aggregate(p["heights"], p["odd"], lambda acc, h: acc != (h > F.col(y))), crossed)
+
+
+def areas_at_points(points: DataFrame, rings: DataFrame, pid: str, x: str, y: str) -> DataFrame:
+    """(pid, area, n_areas) of the points that lie in an area: the first area and the number of areas.
+
+    Cells wholly inside an area only add to a count and a least area, which are kept for stretches of 4^k cells and summed
+    for the cells in use, so a point never meets the areas around it one by one. The other cells list their areas with what
+    is left to test. A point then meets a row or two for each side in use, however many areas overlap.
+    """
+    placed = points.select(pid, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
+    r = placed.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("px", "py")]).first()
+    domain = (r["max_px"] - r["min_px"]) * (r["max_py"] - r["min_py"]) if r["n"] else 0.0
+    rings = rings.where(F.size("vertices") > 2)
+    box = _boxes(rings, r["n"], domain)
+    parts = _stretches(rings, box)
+    sides = sorted(u[0] for u in box.select("glvl").distinct().collect())  # one number per size class of areas
+    levels = F.array(*[F.struct(F.lit(u).alias("glvl"), F.lit(2.0**u).alias("s")) for u in sides or [0]])
+    at = lambda c: F.floor(F.col(c) / F.col("s")).cast("bigint")
+    placed = placed.select("*", F.inline(levels)).select(pid, "px", "py", "glvl", at("px").alias("gx"), at("py").alias("gy"))
+    cell = ["glvl", "gx", "gy"]
+    plain = (F.size("own") == 0) & (F.size("heights") == 0)
+    # Whole stretches as few pieces of 4^k cells: those that do not fit into a piece of the next width.
+    widths = list(range(0, MOST.bit_length(), HALVINGS))
+    whole = parts.where(plain & F.col("odd")).select("area", "glvl", "gy", "a", "b", F.explode(F.lit(widths)).alias("k"))
+    none = F.array().cast("array<bigint>")
+    span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(none)
+    # Pieces of width k inside [a, b] are lo..hi, of which the wider ones hold 4 wlo .. 4 whi + 3.
+    whole = whole.withColumns({"lo": F.expr("shiftright(a + shiftleft(1L, k) - 1, k)"), "hi": F.expr("shiftright(b + 1, k) - 1")})
+    whole = whole.withColumns({"wlo": F.expr(f"shiftright(a + shiftleft(1L, k + {HALVINGS}) - 1, k + {HALVINGS})"), "whi": F.expr(f"shiftright(b + 1, k + {HALVINGS}) - 1")})
+    pieces = F.when(F.col("wlo") > F.col("whi"), span(F.col("lo"), F.col("hi"))).otherwise(F.concat(
+        span(F.col("lo"), F.col("wlo") * 2**HALVINGS - 1), span((F.col("whi") + 1) * 2**HALVINGS, F.col("hi"))))
+    whole = whole.select("area", "glvl", "gy", "k", F.explode(pieces).alias("m"))
+    whole = whole.groupBy("glvl", "gy", "k", "m").agg(F.count(F.lit(1)).alias("n"), F.min("area").alias("least"))
+    used = placed.select(*cell).distinct().select("*", F.explode(F.lit(widths)).alias("k")).withColumn("m", F.expr("shiftright(gx, k)"))
+    whole = used.join(whole, ["glvl", "gy", "k", "m"]).groupBy(*cell).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    partly = parts.where(~plain).select("area", "glvl", "gy", F.struct("area", "odd", "heights", "own").alias("e"), F.explode(F.sequence("a", "b")).alias("gx"))
+    partly = partly.withColumn("row", F.floor((F.row_number().over(Window.partitionBy(*cell).orderBy("area")) - 1) / LISTED))
+    partly = partly.groupBy(*cell, "row").agg(F.collect_list("e").alias("list")).drop("row")
+    rows = partly.unionByName(whole, allowMissingColumns=True)
+    met = F.transform(F.filter("list", lambda p: _within(p, "px", "py")), lambda p: p["area"])
+    hit = placed.join(rows, cell).select(pid, "n", "least", met.alias("met"))
+    hit = hit.select(pid, F.coalesce("n", F.size("met")).cast("bigint").alias("n"), F.coalesce("least", F.array_min("met")).alias("area"))
+    return hit.where("n > 0").groupBy(pid).agg(F.min("area").alias("area"), F.sum("n").alias("n_areas"))
