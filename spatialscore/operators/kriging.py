@@ -263,7 +263,8 @@ def grid_cv(df: DataFrame, pid: str, fold: str, n_folds: int, params: list[dict]
             z: str = "truth", k: int = 15) -> DataFrame:
     """M6: mean cross-validated CRPS of every parameter set; neighbours are found once for the whole grid."""
     nb = left_out_neighbours(df, pid, fold, n_folds, x, y, z, k)
-    p = solve_neighbours(nb, params).join(df.select(pid, F.col(z).alias("_y")), pid)
+    # The truth joins the points once, not once for each parameter set.
+    p = solve_neighbours(nb.join(df.select(pid, F.col(z).alias("_y")), pid), params)
     return p.groupBy("param").agg(F.avg(gaussian_crps("_y", "pred", "sd")).alias("crps"), F.count(F.lit(1)).alias("n"))
 
 
