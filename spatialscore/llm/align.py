@@ -6,15 +6,19 @@ span (a byte of B's byte fallback), the cuts inside follow from the tokens' deco
 decoded bytes of all its tokens are the text.
 
 No token of either side reaches over a single blank between two other characters (checked when B is loaded), so texts
-are cut there, a word is aligned once, many new words a call, and each Python worker remembers a bounded number.
+are cut there, a word is aligned once, many new words a call, and each Python worker remembers a bounded number. Nor
+does a token reach from a letter over the punctuation or the line end behind it (checked too), so a new word is made
+from its parts: only parts not met before go to the tokenizers.
 """
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from contextlib import contextmanager
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +32,33 @@ from .common import stored
 
 #: A blank that no token of either side reaches over.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: Places inside a word that no token of either side reaches over: behind a letter before punctuation, and around a
+#: single line end before a letter. Apostrophes (A's contractions) and the signs of special tokens are not among these.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;=?@[]")
+PARTS = re.compile(rf"(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=[{_LETTER}{_SIGN}])(?=\n[{_LETTER}])|(?<=[{_LETTER}{_SIGN}]\n)(?=[{_LETTER}])")
 #: B's letter for a blank, a fixed value of the model format.
 BLANK = "▁"
 #: Words in each of a worker's two memories; when the newer is full it becomes the older, which changes no result.
 REMEMBERED_WORDS = 200_000
+REMEMBERED_PARTS = 50_000
 REMEMBERED_LENGTH = 64
 WORDS_AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE = 2048, 256, 8_000_000
 #: Pairs of ids whose counts are broadcast (17 bytes each); the counts of all others are joined by shuffle.
 BROADCAST_PAIRS = 1 << 20
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No cyclic garbage collection inside: what words are made of has no cycles, yet each new one would be visited."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 class Bytes:
     """Decoded bytes of every id of one tokenizer."""
 
@@ -93,9 +114,13 @@ class Aligner:
         # Ids as text with what follows them: a comma within a group, else the end of the side.
         self.text = {(side, end): np.array([f"{i}{end}" for i in range(n)], dtype=object)
                      for side, n, last in (("a", max(of_id) + 1, "|"), ("b", len(pieces), ";")) for end in (",", last)}
-        before = json.loads(spec).get("pre_tokenizer") or {}
+        spec = json.loads(spec)
+        before = spec.get("pre_tokenizer") or {}
         self.breaks = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                        and not any(BLANK in p.lstrip(BLANK) for p in pieces))
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.parts = self.breaks and not any(PARTS.search(t) for t in chain(pieces, added))
+        self.behind: dict[str, Word | None] = {}
         self.known: dict[str, Word | None] = {}
         self.older: dict[str, Word | None] = {}
 
@@ -119,61 +144,92 @@ class Aligner:
         begin, end = np.where(begin > 0, begin + 1, 0), np.where(end > 0, end + 1, 0)
         return (ids_a, cuts(span[:, 0], span[:, 1], self.bytes_a.lengths[ids_a]), ids_b, cuts(begin, end, self.bytes_b.lengths[ids_b]))
 
-    def aligned(self, words: list[str]) -> list[Word | None]:
-        """Alignments of words in one call each of the libraries; None for a word that a side does not give back."""
-        found = self.spans(" ".join(words))
+    def aligned(self, words: list[tuple[str, ...]]) -> list[list[Word | None]]:
+        """Alignments of the parts of words in one call each of the libraries; None if a side does not give a word back."""
+        found = self.spans(" ".join(["".join(parts) for parts in words]))
         if found is None:
-            return [None] if len(words) == 1 else [self.aligned([w])[0] for w in words]
+            return [[None] * len(words[0])] if len(words) == 1 else [self.aligned([parts])[0] for parts in words]
         ids_a, cut_a, ids_b, cut_b = found
-        both = np.intersect1d(cut_a, cut_b, assume_unique=True)
-        every = np.union1d(cut_a, cut_b)
+        ends = np.cumsum([len(part.encode()) + (k == 0) for parts in words for k, part in enumerate(parts)])
+        in_a, in_b = np.zeros((2, ends[-1] + 1), dtype=bool)
+        in_a[cut_a] = in_b[cut_b] = True
+        both, every = np.flatnonzero(in_a & in_b), np.flatnonzero(in_a | in_b)
         links = ids_a[np.searchsorted(cut_a, every)] << 32 | ids_b[np.searchsorted(cut_b, every)]
         group_a, group_b = np.searchsorted(both, cut_a), np.searchsorted(both, cut_b)
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
         shown = np.concatenate([np.where(last_a, self.text["a", "|"][ids_a], self.text["a", ","][ids_a]),
                                 np.where(last_b, self.text["b", ";"][ids_b], self.text["b", ","][ids_b])])[order].tolist()
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
         tokens, linked = np.searchsorted(cut_a, ends) + 1, np.searchsorted(every, ends) + 1
         upto = (tokens + np.searchsorted(cut_b, ends) + 1).tolist()
-        packed, out, i, j, k = links.tobytes(), [], 0, 0, 0
+        packed, flat, i, j, k = links.tobytes(), [], 0, 0, 0
         for n, p, q in zip(tokens.tolist(), upto, (8 * linked).tolist()):
-            out.append((n - i, "".join(shown[j:p])[:-1], packed[k:q]))
+            flat.append((n - i, "".join(shown[j:p])[:-1], packed[k:q]))
             i, j, k = n, p, q
-        return out
+        each = iter(flat)
+        return [list(islice(each, len(parts))) for parts in words]
 
     def learn(self, words: set[str]) -> dict[str, Word | None]:
         """Alignments of the words not known yet; short ones are remembered."""
         new: dict[str, Word | None] = {}
-        plain = []
+        plain, made, behind = set(), [], set()
         for w in words:
-            if w in self.older:
+            if w in self.known:
+                new[w] = self.known[w]
+            elif w in self.older:
                 new[w] = self.older[w]
             elif w and len(w) <= REMEMBERED_LENGTH and not w[0].isspace() and not w[-1].isspace() and BLANK not in w:
-                plain.append(w)
+                parts = PARTS.split(w) if self.parts else [w]
+                plain.add(parts[0])
+                if len(parts) > 1:
+                    made.append((w, parts))
+                    behind.update(parts[1:])
             else:
-                new[w] = self.aligned([w])[0]
+                new[w] = self.aligned([(w,)])[0][0]
+        for store in (self.known, self.older, new):
+            new.update((w, store[w]) for w in plain if w in store)
+        plain = [w for w in plain if w not in new]
         for start in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[start:start + WORDS_AT_ONCE]
-            new.update(zip(part, self.aligned(part)))
+            new.update(zip(part, [x for x, in self.aligned([(w,) for w in part])]))
+        if made:
+            after = self.parts_behind(behind)
+            for w, parts in made:
+                cells = [new[parts[0]], *[after[p] for p in parts[1:]]]
+                new[w] = None if None in cells else (sum(c[0] for c in cells), ";".join([c[1] for c in cells]), b"".join([c[2] for c in cells]))
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
         self.known.update((w, x) for w, x in new.items() if len(w) <= REMEMBERED_LENGTH)
         return new
 
+    def parts_behind(self, parts: set[str]) -> dict[str, Word | None]:
+        """Alignments of parts that follow others in a word: aligned behind a letter, or a letter and a line end."""
+        out = {p: self.behind[p] for p in parts if p in self.behind}
+        new = [p for p in parts if p not in out]
+        for start in range(0, len(new), WORDS_AT_ONCE):
+            part = new[start:start + WORDS_AT_ONCE]
+            found = self.aligned([("a", p, "a") if p == "\n" else ("a", "\n", p) if p[0].isalpha() else ("a", p) for p in part])
+            out.update((p, x[1] if p == "\n" else x[-1]) for p, x in zip(part, found))
+        if len(self.behind) + len(new) > REMEMBERED_PARTS:
+            self.behind = {}
+        self.behind.update((p, out[p]) for p in new)
+        return out
+
     def rows(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, np.ndarray]]:
         """(tokens of A, tokens of B, groups, links) of every text."""
-        split = [(BREAK.split(t) if self.breaks else [t]) if t else [] for t in texts]
-        known = self.known
-        new = self.learn({w for words in split for w in words if w not in known})
-        for words in split:
-            cells = [known.get(w) or new.get(w) for w in words]
-            if not cells or None in cells:
-                yield 0, 0, "", np.zeros(0, dtype=np.int64)
-                continue
-            counts, texts, packed = zip(*cells)
-            n_a, groups, links = sum(counts), ";".join(texts), np.frombuffer(b"".join(packed), dtype=np.int64)
-            yield n_a, len(links) + groups.count(";") + 1 - n_a, groups, links
+        with uncollected():
+            split = [(BREAK.split(t) if self.breaks else [t]) if t else [] for t in texts]
+            found = [list(map(self.known.get, words)) for words in split]
+            new = self.learn({w for words, cells in zip(split, found) for w, c in zip(words, cells) if c is None})
+            for words, cells in zip(split, found):
+                if None in cells:
+                    cells = [new[w] if c is None else c for w, c in zip(words, cells)]
+                if not cells or None in cells:
+                    yield 0, 0, "", np.zeros(0, dtype=np.int64)
+                    continue
+                counts, texts, packed = zip(*cells)
+                n_a, groups, links = sum(counts), ";".join(texts), np.frombuffer(b"".join(packed), dtype=np.int64)
+                yield n_a, len(links) + groups.count(";") + 1 - n_a, groups, links
 
 
 _ALIGNERS: dict[int, Aligner] = {}

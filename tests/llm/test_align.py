@@ -1,4 +1,5 @@
 """Token alignment against whole-text encodings of both libraries and plain counting."""
+import gc
 import hashlib
 from collections import Counter
 
@@ -136,3 +137,17 @@ def test_rare_pairs_join_as_broadcast_ones(spark):
         assert sorted((str(r["doc_id"]), r["n_best"], r["count_sum"]) for r in out.collect()) == sorted(want)
     empty = align.scored(align.alignments(d.limit(0), PATH_A, PATH_B))
     assert empty.count() == 0 and "n_best" in empty.columns
+
+
+def test_new_words_are_made_from_known_parts_without_collections():
+    """F op11: parts met before are not encoded again, and no collection walks through the words."""
+    aligner = align.Aligner(open(PATH_A, encoding="utf-8").read(), open(PATH_B, "rb").read())
+    sent = []
+    spans = aligner.spans
+    aligner.spans = lambda text: sent.append((text, gc.isenabled())) or spans(text)
+    made = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{end}" for i in range(600)) for end in ("", ".", ",")]
+    odd = ["a.\nB", "don't.", "don'.t", "<|endoftext|>x.", "</s>.", "é.\nÉ", "a\n\nb", "a\n", "b\r\nc.", "ab²..", "a.́b", "x-y;z\nA"]
+    got = list(aligner.rows(made[:1])) + list(aligner.rows(made[1:] + odd))
+    assert sum(len(text) for text, _ in sent) < 1.5 * len(made[0]) and not any(on for _, on in sent) and gc.isenabled()
+    for text, (n_a, n_b, groups, links) in zip(made + odd, got):
+        assert (n_a, n_b, groups, [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in links]) == brute(text)
