@@ -148,7 +148,9 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, tie: str, ranks: Ca
     Value ranges are counted first; only rows of ranges that hold a wanted rank are ordered, each range by itself. Of the
     input no more than the named columns is stored. Rows whose value is NULL have no rank.
     """
-    narrow = written(df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value, tie])))
+    # NULLs go after the value is stored: a filter in front of that would be pushed below what makes the value, and there
+    # hold its whole expression once more, with every column that it uses several times worked out as often.
+    narrow = written(df.select(*dict.fromkeys([*keys, value, tie]))).where(F.col(value).isNotNull())
     ranged = with_ranges(narrow, value, tie, n_buckets or FINER * default_buckets(df.sparkSession))
     part = ranged.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c"))
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
