@@ -116,17 +116,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     with its smallest vector. Products that leave 64 bits are not defined. Other columns are not read.
 
     Shard blocks go to ``shards`` groups by hash and query blocks to each of them, so a vector is sent once and a
-    query ``shards`` times, both as packed blocks; a task holds one tile and its running lists.
+    query ``shards`` times, both as packed blocks; a task holds one tile and its running lists. Unless given, groups are
+    as many as shuffle partitions, but beyond the cores' number no more than make the copies of the queries as many as
+    the vectors.
     """
     spark = vectors.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     form = lambda d: d.select(d[id_col].cast("long").alias("vec_id"), quantise(d[vector_col]).alias("v")).where(
         "vec_id IS NOT NULL AND v IS NOT NULL")
     asked = form(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    if shards is None:
+        fair = -(-vectors.count() // max(1, queries.count()))
+        shards = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, fair))
     q = packed(asked, query_block).select(
         "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
     v = packed(form(vectors), block).withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    tiles = v.join(q, ["s", "dim"]).select("dim", "q_ids", "q", "ids", "matrix")
+    # Spark sizes the queries as they were before they were copied and would collect all copies on the driver to broadcast
+    # them, so the join is told to shuffle.
+    tiles = v.join(q.hint("merge"), ["s", "dim"]).select("dim", "q_ids", "q", "ids", "matrix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
