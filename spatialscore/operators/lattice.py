@@ -80,16 +80,18 @@ def smallest_lattice(boxes: DataFrame, keys: list[str], n_min: str, n_buffer: in
         *keys, n_min, F.col("_b.nc").alias("nc"), F.col("_b.knots").alias("knots"))
 
 
-def basis_entries(points: DataFrame, layers: list[Layer], pid: str, x: str, y: str) -> DataFrame:
+def basis_entries(points: DataFrame, layers: list[Layer], pid: str, x: str, y: str, carry: list[str] = ()) -> DataFrame:
     """Rows (point, layer, knot, a) of the sparse basis with compact support.
 
     Knots sit on a regular lattice, so the few knots near a point follow from its coordinates and no
-    join is planned. ``knot`` is 0-based, x-major.
+    join is planned. ``knot`` is 0-based, x-major. ``carry`` names columns of the points that their entries keep: a join
+    of the entries with a table of points would move or broadcast dozens of rows for each point.
     """
+    keep = {c: f"_c_{c}" for c in carry}
     lay = F.array(*[F.struct(
         F.lit(l.layer).alias("layer"), F.lit(l.x0).alias("x0"), F.lit(l.y0).alias("y0"), F.lit(l.width).alias("w"),
         F.lit(l.nx).alias("nx"), F.lit(l.ny).alias("ny")) for l in layers])
-    p = points.select(F.col(pid).alias("pid"), F.col(x).alias("px"), F.col(y).alias("py")).select("*", F.inline(lay))
+    p = points.select(F.col(pid).alias("pid"), F.col(x).alias("px"), F.col(y).alias("py"), *[F.col(c).alias(n) for c, n in keep.items()]).select("*", F.inline(lay))
     lo = lambda c, c0: F.ceil((F.col(c) - F.col(c0)) / F.col("w") - OVERLAP).cast("int")
     hi = lambda c, c0: F.floor((F.col(c) - F.col(c0)) / F.col("w") + OVERLAP).cast("int")
 
@@ -100,10 +102,10 @@ def basis_entries(points: DataFrame, layers: list[Layer], pid: str, x: str, y: s
     p = p.select("*", axis("px", "x0", "nx").alias("kx")).select("*", axis("py", "y0", "ny").alias("ky"))
     dx = F.col("px") - (F.col("x0") + F.col("kx") * F.col("w"))
     dy = F.col("py") - (F.col("y0") + F.col("ky") * F.col("w"))
-    p = p.select("pid", "layer", "ny", "kx", "ky", (F.sqrt(dx * dx + dy * dy) / (F.col("w") * OVERLAP)).alias("s"))
+    p = p.select("pid", *keep.values(), "layer", "ny", "kx", "ky", (F.sqrt(dx * dx + dy * dy) / (F.col("w") * OVERLAP)).alias("s"))
     return p.where(F.col("s") < 1.0).select(
         F.col("pid").alias(pid), "layer", (F.col("kx").cast("bigint") * F.col("ny") + F.col("ky")).alias("knot"),
-        wendland_inside("s").alias("a"))
+        wendland_inside("s").alias("a"), *[F.col(n).alias(c) for c, n in keep.items()])
 
 
 def basis_row(layers: list[Layer], x: str, y: str) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, default_buckets
+from ..session import cut_lineage, default_buckets, written
 from .compare import arg_max
 from .lattice import Layer, basis_row
 from .sparse import conjugate_gradients
@@ -176,5 +176,6 @@ def basis_ridge(df: DataFrame, layers: list[Layer], lam: float, x: str, y: str,
         return out
 
     solved = conjugate_gradients(gram, rhs, lam, tolerance, block=block)
-    return solved.select(layer_of(F.col("i")).alias("layer"), "i", F.col("x").alias("c")).select(
-        "layer", (F.col("i") - F.element_at(F.lit(start[:-1].tolist()), F.col("layer"))).cast("long").alias("knot"), "c")
+    # Written, so that Spark knows their size when entries meet them, dozens for each point.
+    return written(solved.select(layer_of(F.col("i")).alias("layer"), "i", F.col("x").alias("c")).select(
+        "layer", (F.col("i") - F.element_at(F.lit(start[:-1].tolist()), F.col("layer"))).cast("long").alias("knot"), "c"))

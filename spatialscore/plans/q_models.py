@@ -208,9 +208,11 @@ def _(spark, sf):
 def _(spark, sf):
     # The solved coefficients, put back through the basis and its transpose, must give the right side at every knot.
     p, coef = basis_fit(spark, sf)
-    e = basis_entries(p.where("role = 'train'"), LAYERS, "id", "east", "north")
-    fitted = sparse_apply(e, coef, "id")
-    back = e.join(fitted, "id").groupBy("layer", "knot").agg(F.sum(F.col("a") * F.col("value")).alias("v"), F.max("a").alias("top"))
+    # Fitted values join the points, not their entries, whose number the planner does not know and which it may broadcast.
+    train = p.where("role = 'train'")
+    fitted = sparse_apply(basis_entries(train, LAYERS, "id", "east", "north"), coef, "id")
+    e = basis_entries(train.join(fitted, "id"), LAYERS, "id", "east", "north", ["value"])
+    back = e.groupBy("layer", "knot").agg(F.sum(F.col("a") * F.col("value")).alias("v"), F.max("a").alias("top"))
     return back.where("top > 1e-6").join(coef, ["layer", "knot"]).select("layer", "knot", (F.col("v") + F.col("c")).alias("rhs"))
 
 
