@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_ppf_const
+from ..session import written
 from .compare import arg_max
-from .ordering import portable_hash
-from .posterior import weighted_quantiles
+from .ordering import with_portable_hashes
+from .posterior import weighted_quantiles_of
 from .sampling import equal_parts
 from .scoring import gaussian_crps
-from .spatial import Choice, nearest, other_folds
+from .spatial import Choice, nearest_lists, other_folds
 
 MAX_GROUP = 6000   # training rows of one dense solve
 MAX_CHUNK = 4000   # test rows of one task
@@ -199,12 +200,10 @@ def block_predict(train: DataFrame, test: DataFrame, block: str, pid: str, x: st
 # --- local kriging --------------------------------------------------------------------------------
 
 def neighbour_rows(train: DataFrame, test: DataFrame, pid: str, rid: str, x: str, y: str, z: str, k: int,
-                   group: list[str] = (), choice: Choice | None = None) -> DataFrame:
-    """One row per test point with arrays of its k neighbours' distance, place and value."""
-    near = nearest(test, train, pid, rid, px=x, py=y, rx=x, ry=y, k=k, group=group, carry=[x, y, z], choice=choice)
-    nb = F.array_sort(F.collect_list(F.struct("rank", "d", F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))))
-    return near.groupBy(pid, *group).agg(nb.alias("_nb")).select(
-        pid, *group, *[F.col(f"_nb.{c}").alias(f"nb_{c}") for c in ("d", "x", "y", "z")])
+                   group: list[str] = (), choice: Choice | None = None, own: list[str] = ()) -> DataFrame:
+    """One row per test point with arrays of its k neighbours' distance, place and value; ``own`` names columns that stay."""
+    near = nearest_lists(test, train, pid, rid, px=x, py=y, rx=x, ry=y, k=k, group=group, carry=[x, y, z], choice=choice, own=own, ids=False)
+    return near.select(pid, *[g for g in group if g != pid], *own, F.col("_d").alias("nb_d"), *[F.col(f"_c_{c}").alias(f"nb_{n}") for c, n in ((x, "x"), (y, "y"), (z, "z"))])
 
 
 def _pad(col: pd.Series, k: int) -> np.ndarray:
@@ -252,20 +251,22 @@ def local_krige(train: DataFrame, test: DataFrame, pid: str, rid: str, params: d
     return solve_neighbours(neighbour_rows(train, test, pid, rid, x, y, z, k, group), [params]).drop("param")
 
 
-def left_out_neighbours(df: DataFrame, pid: str, fold: str, n_folds: int, x: str, y: str, z: str, k: int) -> DataFrame:
+def left_out_neighbours(df: DataFrame, pid: str, fold: str, n_folds: int, x: str, y: str, z: str, k: int, own: list[str] = ()) -> DataFrame:
     """Neighbours of every row of folds 1 to ``n_folds`` among the rows of all other folds, which are summarised once."""
-    rows = df.where(F.col(fold).isNotNull()).withColumn("_of", F.col(fold).cast("int"))
+    # Stored, as references and points are both read more than once.
+    rows = written(df.where(F.col(fold).isNotNull()).select(*dict.fromkeys([pid, x, y, z, *own]), F.col(fold).cast("int").alias("_of")))
     left_out = rows.where(F.col("_of").between(1, n_folds)).withColumnRenamed("_of", "_fold")
-    return neighbour_rows(rows, left_out, pid, pid, x, y, z, k, choice=other_folds(list(range(1, n_folds + 1))))
+    return neighbour_rows(rows, left_out, pid, pid, x, y, z, k, choice=other_folds(list(range(1, n_folds + 1))), own=own)
 
 
 def grid_cv(df: DataFrame, pid: str, fold: str, n_folds: int, params: list[dict], x: str = "east", y: str = "north",
             z: str = "truth", k: int = 15) -> DataFrame:
     """M6: mean cross-validated CRPS of every parameter set; neighbours are found once for the whole grid."""
-    nb = left_out_neighbours(df, pid, fold, n_folds, x, y, z, k)
-    # The truth joins the points once, not once for each parameter set.
-    p = solve_neighbours(nb.join(df.select(pid, F.col(z).alias("_y")), pid), params)
-    return p.groupBy("param").agg(F.avg(gaussian_crps("_y", "pred", "sd")).alias("crps"), F.count(F.lit(1)).alias("n"))
+    # The truth stays with the points, so their neighbours' arrays meet no table.
+    nb = left_out_neighbours(df.withColumn("_y", F.col(z)), pid, fold, n_folds, x, y, z, k, own=["_y"])
+    p = solve_neighbours(nb, params)
+    # Stored: worked out again, sums in another order would differ in their last digits from those that a caller compares.
+    return written(p.groupBy("param").agg(F.avg(gaussian_crps("_y", "pred", "sd")).alias("crps"), F.count(F.lit(1)).alias("n")))
 
 
 def cross_validate(df: DataFrame, pid: str, fold: str, n_folds: int, models: dict[str, dict], x: str = "east",
@@ -283,14 +284,17 @@ def subset_combine(train: DataFrame, test: DataFrame, pid: str, rid: str, n_subs
                    k: int = 15, n_draws: int = 20, seed: int = 0) -> DataFrame:
     """An independent fit per random subset, normal draws from each, weighted quantiles of the pool."""
     weights = weights or [1.0 / n_subsets] * n_subsets
-    parts = equal_parts(train, rid, n_subsets, seed)
-    every = test.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))).alias("subset"))
+    parts = written(equal_parts(train.select(*dict.fromkeys([rid, x, y, z])), rid, n_subsets, seed))
+    every = test.select(*dict.fromkeys([pid, x, y]), F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))).alias("subset"))
     fit = local_krige(parts, every, pid, rid, params, x, y, z, k, ["subset"])
-    # Repeatable uniforms from the row key, turned normal by Box-Muller.
-    u = lambda salt: (portable_hash(F.xxhash64(pid, "subset", "draw", F.lit(salt)), seed) + 0.5) / F.lit(4294967296.0)
-    d = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw"))
-    normal = F.sqrt(F.lit(-2.0) * F.ln(u(1))) * F.cos(F.lit(2.0 * np.pi) * u(2))
-    w = F.element_at(F.array(*[F.lit(float(v) / n_draws) for v in weights]), F.col("subset") + 1)
-    d = d.select(pid, (F.col("pred") + F.col("sd") * normal).alias("atom"), w.alias("w"),
-                 (F.col("subset") * n_draws + F.col("draw")).alias("atom_id"))
-    return weighted_quantiles(d, [pid], "atom", "w", "atom_id", {"q_lower": 0.025, "q50": 0.5, "q_upper": 0.975})
+    # Repeatable uniforms from the row key, turned normal by Box-Muller. The fits of a point meet before they are drawn
+    # from, so draws stay in its row.
+    draws = range(1, n_draws + 1)
+    hashed = with_portable_hashes(fit.repartition(pid), {f"_u{i}_{salt}": F.xxhash64(pid, "subset", F.lit(i), F.lit(salt)) for i in draws for salt in (1, 2)}, seed)
+    u = lambda i, salt: (F.col(f"_u{i}_{salt}") + 0.5) / F.lit(4294967296.0)
+    normal = lambda i: F.sqrt(F.lit(-2.0) * F.ln(u(i, 1))) * F.cos(F.lit(2.0 * np.pi) * u(i, 2))
+    drawn = hashed.select(pid, "subset", F.array(*[F.col("pred") + F.col("sd") * normal(i) for i in draws]).alias("_v"))
+    w = F.array(*[F.lit(float(v) / n_draws) for v in weights])
+    atoms = F.transform("_v", lambda v, i: F.struct(v.alias("value"), (F.col("subset") * n_draws + i + 1).alias("tie"), F.element_at(w, F.col("subset") + 1).alias("weight")))
+    pooled = drawn.select(pid, atoms.alias("_atoms")).groupBy(pid).agg(F.flatten(F.collect_list("_atoms")).alias("_atoms"))
+    return weighted_quantiles_of(pooled, [pid], "_atoms", {"q_lower": 0.025, "q50": 0.5, "q_upper": 0.975})

@@ -60,6 +60,18 @@ def portable_hash_once(x: Column, seed: int = 0) -> Column:
     return let(x, lambda v: let(fold(v), lambda h: let(turn(h, a), lambda g: let(turn(g, b), last))))
 
 
+def with_portable_hashes(df: DataFrame, values: dict[str, Column], seed: int = 0) -> DataFrame:
+    """``df`` with the same hash of every value under its name; a projection for each step, so that none is worked out twice."""
+    mask = lambda c: c.bitwiseAND(F.lit(HASH_MASK))
+    mixed = ((seed & HASH_MASK) * 2654435761 + 40503) & HASH_MASK
+    turn = lambda m: lambda h: mask(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(m))
+    fold = lambda x: mask(x).bitwiseXOR(mask(mask(F.shiftright(x, 32)) * F.lit(HASH_FOLD)).bitwiseXOR(F.lit(mixed)))
+    df = df.withColumns({n: c.cast("bigint") for n, c in values.items()})
+    for step in (fold, *[turn(m) for m in HASH_ROUNDS], lambda h: h.bitwiseXOR(F.shiftright(h, 15))):
+        df = df.withColumns({n: step(F.col(n)) for n in values})
+    return df
+
+
 def portable_hash_sql(id_expr: str, seed: int = 0) -> str:
     return _hash_steps(f"CAST({id_expr} AS BIGINT)", seed, lambda a, b: f"({a} & {b})", lambda a, b: f"xor({a}, CAST({b} AS BIGINT))",
                        lambda a, b: f"({a} >> {b})", lambda a, b: f"({a} * {b})")

@@ -107,6 +107,22 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
     return o.groupBy(*keys).agg(*[F.min(F.when(share >= p, F.col(value))).alias(n) for n, p in probs.items()])
 
 
+def weighted_quantiles_of(df: DataFrame, keys: list[str], atoms: str, probs: dict[str, float]) -> DataFrame:
+    """D17 where a row holds all its atoms, as ARRAY<STRUCT<value, tie, weight>>: (keys, quantiles) of every row with an atom."""
+    plain = df.select(*keys, F.array_sort(F.filter(atoms, lambda a: a["value"].isNotNull())).alias("_a")).where(F.size("_a") > 0)
+    summed = plain.select("*", F.aggregate("_a", F.lit(0.0), lambda acc, a: acc + a["weight"]).alias("_total"))
+
+    def step(acc: Column, a: Column) -> Column:
+        def with_sum(cum: Column) -> Column:
+            # Rounding in sums of weights must not push an atom past its probability.
+            share = cum / F.col("_total") + F.lit(1e-12)
+            return F.struct(cum.alias("cum"), *[F.coalesce(acc[n], F.when(share >= p, a["value"])).alias(n) for n, p in probs.items()])
+        return let(acc["cum"] + a["weight"], with_sum)
+
+    start = F.struct(F.lit(0.0).alias("cum"), *[F.lit(None).cast("double").alias(n) for n in probs])
+    return summed.select(*keys, F.aggregate("_a", start, step).alias("_q")).select(*keys, *[F.col(f"_q.{n}").alias(n) for n in probs])
+
+
 def simulation_se(df: DataFrame, draws: str, sigma: float) -> DataFrame:
     """sqrt(sample variance of the draws + sigma^2)."""
     s = df.withColumn("_m", D.mean_draws(draws))
