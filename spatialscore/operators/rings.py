@@ -121,7 +121,9 @@ def _stretches(rings: DataFrame, box: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(c / F.col("s")).cast("bigint")
     nexts = F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1))
     pairs = F.zip_with(v, nexts, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    edges = rings.select("area", F.inline(pairs)).where("ay <> by").join(box, "area")
+    # An area's box joins its rings before these become edges, and by shuffle: Spark does not know how many edges a row
+    # will hold and would collect all of them on the driver to broadcast them.
+    edges = rings.join(box.hint("merge"), "area").select(*box.columns, F.inline(pairs)).where("ay <> by")
     edges = edges.select("*", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by")))).alias("gy"))
     low, high = F.col("gy") * F.col("s"), (F.col("gy") + 1) * F.col("s")
     at = lambda y: F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
@@ -189,7 +191,7 @@ def areas_at_points(points: DataFrame, rings: DataFrame, pid: str, x: str, y: st
     whole = whole.select("area", "glvl", "gy", "k", F.explode(pieces).alias("m"))
     whole = whole.groupBy("glvl", "gy", "k", "m").agg(F.count(F.lit(1)).alias("n"), F.min("area").alias("least"))
     used = placed.select(*cell).distinct().select("*", F.explode(F.lit(widths)).alias("k")).withColumn("m", F.expr("shiftright(gx, k)"))
-    whole = used.join(whole, ["glvl", "gy", "k", "m"]).groupBy(*cell).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    whole = used.hint("merge").join(whole, ["glvl", "gy", "k", "m"]).groupBy(*cell).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     partly = parts.where(~plain).select("area", "glvl", "gy", F.struct("area", "odd", "heights", "own").alias("e"), F.explode(F.sequence("a", "b")).alias("gx"))
     partly = partly.withColumn("row", F.floor((F.row_number().over(Window.partitionBy(*cell).orderBy("area")) - 1) / LISTED))
     partly = partly.groupBy(*cell, "row").agg(F.collect_list("e").alias("list")).drop("row")

@@ -11,6 +11,7 @@ from ..operators import scoring as Sc
 from ..operators import spatial as Sp
 from ..operators.lattice import lattice_sizes, smallest_lattice
 from ..operators.ordering import group_quantiles, portable_hash_sql
+from ..session import written
 from . import views as V
 from .q_joins import CENTROIDS, LAGS, THRESH
 from .q_scans import AREA_HITS
@@ -126,7 +127,8 @@ def _(spark, sf):
     inside = Sp.assign_area(cells, V.rings(spark, sf), "id").where("n_areas > 0").select("id", "area")
     pop = Sp.raster_extract(cells, V.grid(spark, sf), "id", "east", "north", (0.0, 0.0), (1.0, 1.0))
     g = inside.join(pop, "id").where("value IS NOT NULL").select("id", "area", F.col("value").alias("pop"))
-    g = g.withColumn("pct_urban", (F.col("area") % 5 + 1) / 10.0)
+    # Stored, as the threshold and the flag both read it.
+    g = written(g.withColumn("pct_urban", (F.col("area") % 5 + 1) / 10.0))
     t = Ar.urban_threshold(g, "area", "pop", "id", "pct_urban")
     return Ar.urban_flag(g, t, "area", "pop").select("id", "area", "pop", "threshold", "urban")
 
