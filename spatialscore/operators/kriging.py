@@ -272,11 +272,12 @@ def grid_cv(df: DataFrame, pid: str, fold: str, n_folds: int, params: list[dict]
 def cross_validate(df: DataFrame, pid: str, fold: str, n_folds: int, models: dict[str, dict], x: str = "east",
                    y: str = "north", z: str = "truth", k: int = 15) -> DataFrame:
     """Left-out predictions of every model, ready for the scoring operators."""
-    nb = left_out_neighbours(df, pid, fold, n_folds, x, y, z, k)
+    # The columns stay with the points, so predictions, one for each model, meet no table.
+    nb = left_out_neighbours(df, pid, fold, n_folds, x, y, z, k, own=[c for c in df.columns if c != pid])
     names = list(models)
     p = solve_neighbours(nb, [models[m] for m in names])
     label = F.element_at(F.array(*[F.lit(m) for m in names]), F.col("param") + 1)
-    return p.withColumn("model", label).drop("param").join(df, pid)
+    return p.withColumn("model", label).drop("param")
 
 
 def subset_combine(train: DataFrame, test: DataFrame, pid: str, rid: str, n_subsets: int, params: dict,
